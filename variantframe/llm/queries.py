@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, minhash, mixing, token_counts
+from . import bpe_automaton, minhash, mixing, quality, token_counts
+from .common import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    figures = store(quality.text_figures(docs).drop("text"), "figures")
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality.judge(figures).select("doc_id", *[f"figures.{c}" for c in base], "quality.base_failed", "quality.kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mixture(docs)
@@ -102,6 +110,7 @@ FROM n LEFT JOIN low ON low.a = n.doc_id
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_mixing": op5_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
