@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, minhash, mixing, quality, token_counts
-from .common import store
+from . import bpe_automaton, language, minhash, mixing, quality, token_counts, toxicity
+from .common import crc_mod, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(figures).select("doc_id", *[f"figures.{c}" for c in base], "quality.base_failed", "quality.kept")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    scored = toxicity.toxicity(docs, model, into="score")
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    found = language.identify(docs.select("doc_id", "text"), model, into="language", spans=False)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mixture(docs)
@@ -111,6 +125,8 @@ FROM n LEFT JOIN low ON low.a = n.doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op4_language": op4_language,
     "op5_mixing": op5_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
