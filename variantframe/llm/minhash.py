@@ -40,7 +40,7 @@ ROWS = 5
 #: Probability of missing a pair at the threshold.
 MISS = 1e-6
 #: Members of a block of a large bucket or component.
-BLOCK = 1024
+BLOCK = 512
 #: Standard deviations that a signature's estimate may lie below the threshold.
 SLACK = 5.0
 #: Texts whose sets are held at a time.
@@ -137,14 +137,20 @@ def _near_components(coordinates: int, percent: int):
         comp = pd.factorize(pdf["comp"])[0]
         size = pdf["comp_size"].to_numpy()
         n = pdf["n"].to_numpy()
+        own, apart = pdf["own"].to_numpy(), pdf["i"][0] != pdf["j"][0]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        bands = np.stack(pdf["bands"].to_numpy())
+        band = int(pdf["band"][0])
         found: set[tuple[int, int]] = set()
         for i in range(len(pdf)):
             # the class of the smaller component is compared with the larger component
             other = (comp != comp[i]) & ((size > size[i]) | (size == size[i]) & (comp > comp[i]))
             other &= (n * 100 >= percent * n[i]) & (n[i] * 100 >= percent * n)
+            if apart:  # pairs within one part of a large bucket are another task's
+                other &= own != own[i]
             at = np.flatnonzero(other)
-            if len(at):
+            if len(at):  # a pair that meets in several bands is told of once, in the first
+                at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
                 close = at[(sig[at] == sig[i]).sum(axis=1) >= least]
                 found.update((i, int(j)) for j in {comp[c]: c for c in close}.values())
         rows = sorted(found)
@@ -202,9 +208,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     base = store(sketches(rows, "text", k, bands, "s").select("id", "s.*"), "sketches")
     alive = base.where("key is not null and id is not null")
     classes = alive.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    entries = classes.select("key", F.explode("bands").alias("h"))
-    buckets = entries.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    met = store(entries.join(buckets, "h"), "met")
+    entries = classes.select("key", F.posexplode("bands").alias("band", "h"))
+    buckets = entries.groupBy("band", "h").agg(F.min("key").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    met = store(entries.join(buckets, ["band", "h"]), "met")
 
     nodes = met.select("key").distinct().join(alive.groupBy("key").agg(F.min("id").alias("rep")), "key")
     found = rows.join(nodes.withColumnRenamed("rep", "id"), "id")
@@ -218,23 +224,23 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     roots = connected_components(stars)
 
     # Buckets whose members, but for the pivot that was compared with all, are still in different components.
-    within = met.where("members > 2 and key <> pivot").select("h", "key")
-    within = within.join(roots.withColumnRenamed("node", "key"), "key", "left").select("h", "key", F.coalesce("root", "key").alias("comp"))
-    open_ = within.groupBy("h").agg(
+    within = met.where("members > 2 and key <> pivot").select("band", "h", "key")
+    within = within.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "h", "key", F.coalesce("root", "key").alias("comp"))
+    open_ = within.groupBy("band", "h").agg(
         F.min("comp").alias("lo"),
         F.max("comp").alias("hi"),
         F.count("*").alias("m"),
         F.sum(F.xxhash64("key") % 1_000_003).alias("s1"),
         F.sum(F.xxhash64("key", F.lit(1)) % 1_000_003).alias("s2"),
     )
-    open_ = open_.where("lo <> hi").groupBy("m", "s1", "s2", "lo", "hi").agg(F.min("h").alias("h"))  # buckets of the same members once
+    open_ = open_.where("lo <> hi").groupBy("m", "s1", "s2", "lo", "hi").agg(F.min(F.struct("band", "h")).alias("first"))  # buckets of the same members once
     sizes = roots.groupBy("root").agg(F.count("*").alias("comp_size"))
-    facts = classes.select("key", "n", "sig")
-    todo = within.join(open_.select("h", "m"), "h").join(facts, "key").join(sizes.withColumnRenamed("root", "comp"), "comp", "left")
+    facts = classes.select("key", "n", "sig", "bands")
+    todo = within.join(open_.select("first.band", "first.h", "m"), ["band", "h"]).join(facts, "key").join(sizes.withColumnRenamed("root", "comp"), "comp", "left")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     todo = todo.withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    todo = todo.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "comp", "n", "sig", F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
-    near = todo.groupBy("h", "i", "j").applyInPandas(_near_components(bands * ROWS, percent), "x binary, comp binary")
+    todo = todo.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "bands", "key", "comp", "n", "sig", F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+    near = todo.groupBy("band", "h", "i", "j").applyInPandas(_near_components(bands * ROWS, percent), "x binary, comp binary")
     near = store(near.distinct(), "near")
 
     # A component's members, and the classes near it, meet in blocks.
