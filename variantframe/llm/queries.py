@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, language, minhash, mixing, quality, token_counts, toxicity
+from . import ann, bpe_automaton, language, minhash, mixing, quality, token_counts, toxicity, url_filter
 from .common import crc_mod, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0").select("vec_id"), k=10)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
@@ -70,6 +75,20 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 """
 
 
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, tokenizer_path("word_bpe_49k.json"), into="n_tokens")
@@ -126,8 +145,10 @@ FROM n LEFT JOIN low ON low.a = n.doc_id
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
+    "op3_cross_polytope": op3_cross_polytope,
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op6_url_filter": op6_url_filter,
     "op8_token_counts": op8_token_counts,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
