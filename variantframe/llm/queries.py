@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_automaton, language, minhash, mixing, quality, token_counts, toxicity, url_filter
+from . import ann, bpe_automaton, html_extract, language, minhash, mixing, quality, token_counts, toxicity, url_filter
 from .common import crc_mod, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), into="main_text")
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, tokenizer_path("word_bpe_49k.json"), into="n_tokens")
@@ -149,6 +154,7 @@ QUERIES: dict[str, Query] = {
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
+    "op7_html_extract": op7_html_extract,
     "op8_token_counts": op8_token_counts,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
