@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from variantframe.plans import annotation, cohort, gwas, linkage, ranges, records, scores, statistics
+
+MODULES = (scores, statistics, ranges, annotation, cohort, linkage, gwas, records)
+
 QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+ORACLES: dict[str, str] = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
+
+FLAGSHIP = "prs_percentile_by_sex"
