@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship
+from .common import fresh, hold, ship
 
 #: Distinct chunks kept by a worker before it starts afresh.
 CHUNKS_KEPT = 400_000
@@ -249,16 +249,6 @@ class Codec:
         return b"".join(map(self.labels.__getitem__, ids.split(","))) if ids else b""
 
 
-_loaded: dict[int, Codec] = {}
-
-
-def load(spec: str) -> Codec:
-    key = hash(spec)
-    if key not in _loaded:
-        _loaded[key] = Codec(spec)
-    return _loaded[key]
-
-
 def ids_and_text(csv: str, decoded: bytes) -> dict:
     """The operator's own output of one document."""
     return {"ids": list(map(int, csv.split(","))) if csv else [], "decoded": decoded.decode("utf-8", "replace")}
@@ -294,7 +284,7 @@ def bpe_codec(
 
     @F.arrow_udf(ddl)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = load(spec)
+        codec = hold(("bpe", hash(spec)), lambda: Codec(spec))
         for batch in batches:
             out = []
             for value in batch:

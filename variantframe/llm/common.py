@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Hashable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +90,23 @@ def limit_threads() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def hold(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a Python worker between tasks: tables and dictionaries.
+
+    Workers outlive operators, so only one operator's things are kept: another
+    key drops them first, and their memory goes back to the system.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _held[key] = make()
+    return _held[key]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, ship
+from .common import fresh, hold, ship
 
 #: Documents of each language that are collected to learn from; the bound of the sample.
 SAMPLE = 800
@@ -248,8 +248,6 @@ def fit(docs: DataFrame, allowed: Column | None = None, id: str = "doc_id", text
     return train([(r["lang_"], r["text_"]) for r in sorted(got, key=lambda r: (r["lang_"], str(r["id_"]), r["text_"]))])
 
 
-_scores: dict[int, tuple[dict[str, int], list]] = {}
-
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))])
 DDL = "struct<lang: string, score: double, spans: array<struct<first: int, last: int, lang: string>>>"
 
@@ -310,9 +308,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", into: str =
 
     @F.arrow_udf(DDL)
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if mark not in _scores:
-            _scores.clear()
-        known = _scores.setdefault(mark, {})
+        known = hold(("language", mark), dict)
         for batch in batches:
             out: list[dict] = []
             for at in range(0, len(batch), BLOCK):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, limit_threads, ship
+from .common import fresh, hold, limit_threads, ship
 
 #: Separators that Python's split() knows and the tokenizer does not take as white space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -29,20 +29,15 @@ DICTIONARY_SIZE = 400_000
 #: Documents whose unknown pre-tokens are counted in one call.
 BLOCK = 256
 
-_loaded: dict[int, tuple[object, dict[str, int]]] = {}
-
-
 def _load(spec: str) -> tuple[object, dict[str, int]]:
-    key = hash(spec)
-    if key not in _loaded:
-        limit_threads()
-        from tokenizers import Tokenizer
+    """The tokenizer of a file's content, and an empty dictionary of pre-tokens."""
+    limit_threads()
+    from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(spec)
-        tok.no_truncation()
-        tok.no_padding()
-        _loaded[key] = (tok, {})
-    return _loaded[key]
+    tok = Tokenizer.from_str(spec)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok, {}
 
 
 def count_block(texts: list[str | None], tok, pieces: dict[str, int]) -> list[int]:
@@ -94,7 +89,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", into: str =
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tok, pieces = _load(spec)
+        tok, pieces = hold(("token_counts", hash(spec)), lambda: _load(spec))
         for batch in batches:
             out: list[int] = []
             for i in range(0, len(batch), BLOCK):

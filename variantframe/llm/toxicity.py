@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship
+from .common import fresh, hold, ship
 
-#: Labelled documents of each class that are collected to train on; the bound of the sample.
-SAMPLE = 2000
+#: Labelled toxic documents that are collected to train on, and twice as many others; the bound of the sample.
+SAMPLE = 1500
 #: Landmark words of each class.
 LANDMARKS = 120
 #: Clean words trained against.
@@ -40,7 +41,7 @@ LETTERS = 63
 #: Words are scored in windows of so many characters.
 WINDOW = 24
 #: Word scores kept by a worker before it starts afresh.
-SCORES_KEPT = 500_000
+SCORES_KEPT = 400_000
 BLOCK = 256
 #: Three or more single characters in a row: a word spelled out.
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -171,27 +172,28 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: list[tuple[set[str], int]]) -> Model | None:
+def train(docs: list[tuple[Collection[str], int]]) -> Model | None:
     """Machine for documents given as word sets with labels 0 and 1; None unless both labels occur."""
     counts = {0: Counter(), 1: Counter()}
-    groups: dict[int, set] = {0: set(), 1: set()}
-    owners: dict[int, dict[str, set]] = {0: {}, 1: {}}
+    groups: dict[int, dict[tuple, set]] = {0: {}, 1: {}}
     for words, label in docs:
         if not words:
             continue
         # Near copies share both smallest hashes, and count as one witness.
         group = (min(map(_hash, words)), min(_hash(w + "#") for w in words))
-        groups[label].add(group)
+        held = groups[label].setdefault(group, set())
         counts[label].update(words)
         if label:
-            for w in words:
-                owners[1].setdefault(w, set()).add(group)
+            held.update(words)
     n1, n0 = len(groups[1]), len(groups[0])
     if not n1 or not n0:
         return None
+    toxic_groups = list(groups[1].values())
+    support = Counter()
+    for held in toxic_groups:
+        support.update(held)
     letters = "".join(c for c, _ in sorted(Counter("".join(counts[1] | counts[0])).items(), key=lambda t: (-t[1], t[0])) if c.isalpha())[:LETTERS]
-    support = {w: len(g) for w, g in owners[1].items()}
-    positive = sorted(_seeds(docs, n1, n0), key=lambda w: (-support[w], w))
+    positive = sorted(_seeds(toxic_groups, counts[0], n1, n0), key=lambda w: (-support[w], w))
     least = 2
     clean = sorted(counts[0].items(), key=lambda t: (-t[1], t[0]))
     negative = [w for w, _ in clean[: CLEAN_WORDS // 2]] + sorted((w for w, _ in clean[CLEAN_WORDS // 2 :]), key=_hash)[: CLEAN_WORDS // 2]
@@ -200,7 +202,7 @@ def train(docs: list[tuple[set[str], int]]) -> Model | None:
     positive = positive[:1200]
     positive += [v for w in positive[:400] for v in _disguised(w)]
     model = _fit(positive, negative, letters, support)
-    vocabulary = sorted(counts[0], key=_hash)[: 20 * CLEAN_WORDS]
+    vocabulary = sorted(counts[0], key=_hash)[: 60 * CLEAN_WORDS]
     toxic = [sorted(words) for words, label in docs if label and words]
     flat = sorted({w for words in toxic for w in words})
     for _ in range(3):
@@ -227,29 +229,23 @@ def _parts(word: str) -> set[str]:
     return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)} or {word}
 
 
-def _seeds(docs: list[tuple[set[str], int]], n1: int, n0: int) -> set[str]:
+def _seeds(toxic_groups: list[set[str]], clean: Counter[str], n1: int, n0: int) -> set[str]:
     """Words of toxic documents with a part that toxic documents share and clean ones lack.
 
     A part counts if so many toxic documents, near copies taken as one, would
     hold it by chance once in a million.
     """
-    clean: set[str] = set()
-    for words, label in docs:
-        if not label:
-            clean.update(words)
     held: Counter[str] = Counter()
-    for w in clean:
-        held.update(_parts(w))
-    groups: dict[str, set] = {}
-    for words, label in docs:
-        if label and words:
-            group = min(map(_hash, words))
-            for p in {p for w in words if w not in clean for p in _parts(w)}:
-                groups.setdefault(p, set()).add(group)
+    for words in toxic_groups:
+        held.update({p for w in words if w not in clean for p in _parts(w)})
     need = math.log(1e6) / math.log((n1 + n0) / n1)
     need = min(need, max(2.0, n1 / 5))
-    parts = {p for p, g in groups.items() if len(g) >= need and held[p] <= 0.002 * len(g) and sum(map(str.isalpha, p)) >= 3}
-    return {w for words, label in docs if label for w in words if w not in clean and _parts(w) & parts}
+    parts = {p for p, k in held.items() if k >= need and sum(map(str.isalpha, p)) >= 3}
+    innocent: Counter[str] = Counter()
+    for w in clean:
+        innocent.update(_parts(w) & parts)
+    parts = {p for p in parts if innocent[p] <= 0.002 * held[p]}
+    return {w for words in toxic_groups for w in words if w not in clean and _parts(w) & parts}
 
 
 def _hash(word: str) -> int:
@@ -308,29 +304,28 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """Train on at most ``sample`` labelled documents of each class, those with the smallest id hashes.
+    """Train on at most ``sample`` toxic and twice as many other labelled documents, those with the smallest id hashes.
 
     ``allowed`` is a condition on ``labels`` (held-out rows stay out).  Null ids
     and labels are left out; of several labels of one id the largest counts.
     """
     known = labels if allowed is None else labels.where(allowed)
     known = known.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).alias("label"))
-    picked = None
+    picked = None  # type: DataFrame | None
     for value in (0, 1):
-        part = known.where(F.col("label") == value).orderBy(F.xxhash64(id), id).limit(sample)
+        part = known.where(F.col("label") == value).orderBy(F.xxhash64(id), id).limit(sample if value else 2 * sample)
         picked = part if picked is None else picked.unionByName(part)
-    picked = F.broadcast(picked.select(F.col(id).alias("picked_id"), "label"))  # at most 2 * sample rows
+    picked = F.broadcast(picked.select(F.col(id).alias("picked_id"), "label"))  # at most 3 * sample rows
     rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("words_of")).join(picked, F.col("doc") == F.col("picked_id"))
     got = rows.select("doc", "words_of", "label").collect()
     seen: dict = {}
     for r in sorted(got, key=lambda r: (r["doc"], r["words_of"] or "")):
-        seen.setdefault(r["doc"], (text_words(r["words_of"]), int(r["label"])))
+        if r["doc"] not in seen:
+            seen[r["doc"]] = (tuple(map(sys.intern, sorted(text_words(r["words_of"])))), int(r["label"]))
+    del got
     return train(list(seen.values()))
 
 
-_scores: dict[int, dict[str, float]] = {}
-
-
 def toxicity(df: DataFrame, model: Model | None, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Add ``into``: the probability (0 to 1) that each whole text is toxic.
 
@@ -347,9 +342,7 @@ def toxicity(df: DataFrame, model: Model | None, text: str = "text", into: str =
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if mark not in _scores:
-            _scores.clear()
-        known = _scores.setdefault(mark, {})
+        known = hold(("toxicity", mark), dict)
         for batch in batches:
             out = []
             for at in range(0, len(batch), BLOCK):
