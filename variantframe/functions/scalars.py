@@ -48,7 +48,7 @@ def not_nan(c: Column) -> Column:
 def any_flag(flags: Sequence[Column]) -> Column:
     """1 if any flag is positive, 0 else; nulls count as 0."""
     top = F.greatest(*flags) if len(flags) > 1 else flags[0]
-    return F.coalesce(F.least(top, F.lit(1)), F.lit(0)).cast("int")
+    return F.least(F.coalesce(top, F.lit(0)), F.lit(1)).cast("int")
 
 
 def cascade(rules: Sequence[tuple[Column, str]], default: str) -> Column:

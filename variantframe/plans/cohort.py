@@ -13,7 +13,7 @@ from .common import Book
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
 FLAGS = [f for f, _ in cohort.SITES]
-BASE = "coalesce(least(greatest(" + ", ".join(FLAGS) + "), 1), 0)"
+BASE = "least(coalesce(greatest(" + ", ".join(FLAGS) + "), 0), 1)"
 PHENO = f"""ph AS (SELECT *, {BASE} AS EVIDENCE_BASELINE, coalesce(D040, 0) AS EVIDENCE_MORTALITY FROM cohort),
 pc AS (SELECT *, CASE WHEN EVIDENCE_BASELINE = 1 AND EVIDENCE_MORTALITY = 0 THEN 'BASELINE_ONLY' WHEN EVIDENCE_BASELINE = 0 AND EVIDENCE_MORTALITY = 1 THEN 'MORTALITY_ONLY' WHEN EVIDENCE_BASELINE = 1 THEN 'BOTH' ELSE 'NONE' END AS CANCER_SOURCE,
   CASE WHEN EVIDENCE_BASELINE = 1 OR EVIDENCE_MORTALITY = 1 THEN 'CASE' ELSE 'CONTROL' END AS STATUS FROM ph)"""
