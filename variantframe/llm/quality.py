@@ -31,7 +31,7 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def text_figures(df: DataFrame, text: str = "text", into: str = "figures", window: int = 3) -> DataFrame:
+def text_figures(df: DataFrame, text: str = "text", into: str = "figures", window: int = 3, keep_text: bool = True) -> DataFrame:
     """Add struct ``into`` of long figures of the whole text.
 
     n_words, word_chars (code points in words), n_symbols, n_capitals, n_bangs,
@@ -41,6 +41,8 @@ def text_figures(df: DataFrame, text: str = "text", into: str = "figures", windo
     A text's windows are sorted as one array of longs, hash in the high bits
     and place in the low ones, so repeats stand side by side whatever the
     text's length; equal hashes are confirmed on the words.  Null text: zeros.
+    The result is stored (without the text if ``keep_text`` is false): figures
+    are used many times, and filters pushed below them would work them out anew.
     """
     names = {n: fresh(df, f"_{n}") for n in ("t", "w", "bits", "sorted", "lines", "at")}
     t, w, bits, srt, lines, at = (F.col(names[n]) for n in ("t", "w", "bits", "sorted", "lines", "at"))
@@ -78,7 +80,9 @@ def text_figures(df: DataFrame, text: str = "text", into: str = "figures", windo
         "n_repeat_words": repeated,
     }
     into = fresh(df, into)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(*[v.cast("long").alias(k) for k, v in made.items()]).alias(into))
+    kept = [c for c in df.columns if keep_text or c != text]
+    figures = out.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[v.cast("long").alias(k) for k, v in made.items()]).alias(into))
+    return store(figures, "figures")
 
 
 def base_failed(f: str) -> Column:
@@ -133,7 +137,7 @@ def fit_votes(patterns: DataFrame, n_rules: int, steps: int = STEPS, prior: floa
 def judge(df: DataFrame, figures: str = "figures", into: str = "quality", steps: int = STEPS, prior: float = PRIOR) -> DataFrame:
     """Add struct ``into``: votes by rule, posterior (0 to 1), base_failed, kept.
 
-    ``df`` has `text_figures`' struct and is read twice, so it should be stored.
+    ``df`` has `text_figures`' struct and is read twice.
     kept: the base filter holds and the posterior is at least `KEEP`.  Texts
     without words fail the base filter.  An empty table stays empty; other
     columns are kept and ``into`` gets underscores if the name is taken.
@@ -153,7 +157,7 @@ def judge(df: DataFrame, figures: str = "figures", into: str = "quality", steps:
 
 def filter_quality(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``df`` that are kept.  Null and empty texts go."""
-    figures = store(text_figures(df, text, "figures"), "figures")
+    figures = text_figures(df, text)
     name = figures.columns[-1]
     judged = judge(figures, name)
     return judged.where(F.col(f"{judged.columns[-1]}.kept")).select(*[F.col(f"`{c}`") for c in df.columns])

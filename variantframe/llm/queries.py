@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe_automaton, html_extract, language, minhash, mixing, quality, token_counts, toxicity, url_filter
-from .common import crc_mod, store
+from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    figures = store(quality.text_figures(docs).drop("text"), "figures")
+    figures = quality.text_figures(docs, keep_text=False)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality.judge(figures).select("doc_id", *[f"figures.{c}" for c in base], "quality.base_failed", "quality.kept")
 
