@@ -11,10 +11,11 @@ from .common import store
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the same for all nodes of a component) for every node that has a link.
 
-    Each round leads every node to the smallest of itself and its neighbours
-    and contracts the links accordingly; nodes that are no local minimum vanish,
-    so rounds grow with the logarithm of the longest chain.  Every round is
-    stored, which cuts the lineage.  Null ends, self-links and repeated links
+    Each round leads every node to the smallest of itself and its neighbours,
+    follows these leads to their ends by doubling, and contracts the links
+    accordingly.  At least half of the nodes vanish in a round, so rounds and
+    doublings both grow with a logarithm.  Every step is stored, which cuts the
+    lineage.  Null ends, self-links and repeated links
     are ignored; an empty table has no nodes.
     """
     ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
@@ -24,6 +25,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         led = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("at"), F.least("a", "to").alias("to"))
         led = store(led, "led")
+        while True:
+            ahead = led.select(F.col("at").alias("mid"), F.col("to").alias("end"))
+            jumped = store(led.join(ahead, led["to"] == ahead["mid"]).select("at", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "led")
+            led = jumped.select("at", "to")
+            if not jumped.where("moved").take(1):
+                break
         if roots is None:
             roots = led.select(F.col("at").alias("node"), F.col("to").alias("root"))
         else:
