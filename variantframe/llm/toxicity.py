@@ -219,8 +219,7 @@ def train(docs: list[tuple[Collection[str], int]]) -> Model | None:
     x = np.array([max((value[w] for w in ws), default=model.bias) for ws, _ in docs])
     y = np.array([label for _, label in docs], float)
     forms = [v for w in positive[:100] for v in _disguised(w)]
-    x, y = np.concatenate([x, score_words(forms, model)]) if forms else x, np.concatenate([y, np.ones(len(forms))])
-    model.slope, model.offset = _calibrate(x, y)
+    model.slope, model.offset = _calibrate(x, y, score_words(forms, model) if forms else np.zeros(0))
     return model
 
 
@@ -290,17 +289,25 @@ def _disguised(word: str) -> list[str]:
     return [".".join(word), word[:half] + "x" + word[half:]] if 4 <= len(word) <= WINDOW // 2 else []
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve through best scores, slope not negative."""
+def _calibrate(x: np.ndarray, y: np.ndarray, forms: np.ndarray) -> tuple[float, float]:
+    """Logistic curve through documents' best scores (and, with less weight, disguised insults'), slope not negative.
+
+    One half lies above the scores of nearly all clean training documents, so
+    that a model learned from few examples rather misses than accuses.
+    """
+    clean = x[y == 0]
+    weight = np.where(y > 0, 0.4 / max(y.sum(), 1), 0.5 / max(len(clean), 1)) * len(y)
+    weight = np.concatenate([weight, np.full(len(forms), 0.1 / max(len(forms), 1) * len(y))])
+    x, y = np.concatenate([x, forms]), np.concatenate([y, np.ones(len(forms))])
     design = np.column_stack([x, np.ones(len(x))])
     w = np.array([2.0, 0.0])
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (weight * (y - p)) - 0.05 * w
         hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
         w = w + np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return float(max(w[0], 1e-3)), float(w[1])
+    slope, offset = float(max(w[0], 1e-3)), float(w[1])
+    return slope, min(offset, -slope * float(np.quantile(clean, 0.998)) - 0.1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
