@@ -118,9 +118,9 @@ def _odds(r):
     return rounded(statistics.decile_odds(windows.ntile(r("scores"), "raw", "sample_id"), "decile", "status"))
 
 
-@book.add("prevalence_by_decile", "SELECT decile, count(*) AS n, round(avg(status::DOUBLE), 6) AS observed, round(avg(raw), 6) AS predicted FROM (SELECT ntile(10) OVER (ORDER BY raw, sample_id)::INT AS decile, status, raw FROM scores) GROUP BY decile", "scores")
+@book.add("prevalence_by_decile", "SELECT decile, count(*) AS n, round(avg(status::DOUBLE), 9) AS observed, round(avg(raw), 9) AS predicted FROM (SELECT ntile(10) OVER (ORDER BY raw, sample_id)::INT AS decile, status, raw FROM scores) GROUP BY decile", "scores")
 def _prevalence(r):
-    return rounded(statistics.prevalence(windows.ntile(r("scores"), "raw", "sample_id"), "decile", "status", "raw"))
+    return rounded(statistics.prevalence(windows.ntile(r("scores"), "raw", "sample_id"), "decile", "status", "raw"), 9)
 
 
 @book.add("pairwise_agreement", """WITH x AS (SELECT prs AS a, raw AS b, rank() OVER (ORDER BY prs) + (count(*) OVER (PARTITION BY prs) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY raw) + (count(*) OVER (PARTITION BY raw) - 1) / 2.0::DOUBLE AS rb FROM scores)
@@ -203,9 +203,9 @@ def _dedup(r):
 
 
 @book.add("gene_rollup", f"""WITH {RANKED}, c AS (SELECT gene_name, string_agg(consequence || '=' || c, ';' ORDER BY consequence) AS consequences FROM (SELECT gene_name, consequence, count(*) AS c FROM ranked GROUP BY 1, 2) GROUP BY 1)
-  SELECT r.gene_name, count(*) AS n, round(sum(abs(BETA)), 5) AS sum_abs_beta, round(avg(af), 6) AS mean_af, round(avg(cadd), 6) AS mean_cadd, round(avg(rank_score), 6) AS mean_score, any_value(c.consequences) AS consequences FROM ranked r JOIN c USING (gene_name) GROUP BY r.gene_name""", "annotated")
+  SELECT r.gene_name, count(*) AS n, round(sum(abs(BETA)), 5) AS sum_abs_beta, round(avg(af), 10) AS mean_af, round(avg(cadd), 10) AS mean_cadd, round(avg(rank_score), 10) AS mean_score, any_value(c.consequences) AS consequences FROM ranked r JOIN c USING (gene_name) GROUP BY r.gene_name""", "annotated")
 def _rollup(r):
-    return rounded(ranking.gene_rollup(ranked(r)).withColumn("sum_abs_beta", F.round("sum_abs_beta", 5)))
+    return rounded(ranking.gene_rollup(ranked(r)).withColumn("sum_abs_beta", F.round("sum_abs_beta", 5)), 10)
 
 
 @book.add("gene_pgs_matrix", f"WITH {RANKED}, t AS (SELECT *, {CATEGORY} AS category FROM ranked) SELECT gene_name, PRS_ID, count(*) AS n, count(*) FILTER (WHERE category IN ('pLoF', 'missense', 'synonymous')) AS n_coding, count(*) FILTER (WHERE contains(consequence, 'splice')) AS n_splice, round(sum(abs(BETA)), 5) AS sum_abs_beta, round(avg(cadd), 9) AS mean_cadd, max(rank_score) AS max_score, round(avg(rank_score), 9) AS mean_score FROM t GROUP BY 1, 2 HAVING count(*) >= 3", "annotated")
