@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from variantframe.functions import alleles, columns, scalars
+from variantframe.operators.common import running_sum
 from variantframe.operators import annotation, cohort, gwas, linkage, matching, ranges, ranking, scoring, sets, statistics, windows
 
 
@@ -239,3 +240,19 @@ def test_overlap_ignores_nulls_and_repeats(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
     b = spark.createDataFrame([(2,), (3,)], "k long")
     assert tuple(sets.overlap(a, b, "k").first()) == (1, 1, 1, 3)
+
+
+def test_running_sum_by_ranges_equals_one_window(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, rng.randrange(40), rng.randrange(5)) for i in range(500)], "k long, x long, v long").repartition(3)
+    order = [F.col("x").desc(), F.col("k")]
+    assert rows(running_sum(df, order, F.col("v"), "s")) == rows(running_sum(df, order, F.col("v"), "s", limit=0))
+
+
+def test_ntile_equals_sql(spark):
+    for n in (0, 3, 9, 10, 11, 25):
+        df = spark.range(n).select(F.col("id"), (F.col("id") * 7 % 5).alias("v"))
+        from pyspark.sql import Window
+
+        want = df.withColumn("decile", F.ntile(10).over(Window.orderBy("v", "id")))
+        assert rows(windows.ntile(df, "v", "id")) == rows(want)

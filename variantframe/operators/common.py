@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if the optimizer's estimate of its size is within ``limit``, else as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
 def first_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -47,3 +51,22 @@ def store_round(df: DataFrame) -> DataFrame:
             base = "file://" + tempfile.mkdtemp(prefix="variantframe_")
         sc.setCheckpointDir(base)
     return df.checkpoint()
+
+
+def running_sum(df: DataFrame, order: Sequence[Column], value: Column, into: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row in one order over the whole table.
+
+    The order must end in a unique key.  A table within ``limit`` estimated
+    bytes is one window.  A larger one is dealt out by ranges of the order and
+    checkpointed; each range is summed up by itself and the ranges before it
+    are added from a table with one row for each range.
+    """
+    if estimated_bytes(df) <= limit:
+        return df.withColumn(into, F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    dealt = store_round(df.withColumn("_rs_value", value).repartitionByRange(*order).withColumn("_rs_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_rs_part").agg(F.sum("_rs_value").alias("_rs_sum"))
+    before = F.coalesce(F.sum("_rs_sum").over(Window.orderBy("_rs_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_rs_part", before.alias("_rs_before"))
+    own = F.sum("_rs_value").over(Window.partitionBy("_rs_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = dealt.withColumn("_rs_own", own).join(F.broadcast(parts), "_rs_part")  # one row for each range
+    return out.withColumn(into, F.col("_rs_own") + F.col("_rs_before")).drop("_rs_value", "_rs_part", "_rs_own", "_rs_before")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import running_sum, small
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = (), percents: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
@@ -99,8 +99,12 @@ def average_rank(df: DataFrame, value: str, into: str, by: Sequence[str] = ()) -
     """
     key, n = "_value", "_n"
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias(key)).agg(F.count("*").alias(n))
-    before = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*[F.col(c).alias(f"_k_{c}") for c in by], key, (before + (F.col(n) + 1) / F.lit(2.0)).cast("double").alias(into))
+    if by:
+        counts = counts.withColumn("_to", F.sum(n).over(Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        counts = running_sum(counts, [F.col(key)], F.col(n), "_to")
+    rank = F.col("_to") - F.col(n) + (F.col(n) + 1) / F.lit(2.0)
+    ranks = counts.select(*[F.col(c).alias(f"_k_{c}") for c in by], key, rank.cast("double").alias(into))
     on = [df[value] == ranks[key]] + [df[c].eqNullSafe(ranks[f"_k_{c}"]) for c in by]
     return df.join(ranks, on, "left").drop(key, *[f"_k_{c}" for c in by])
 

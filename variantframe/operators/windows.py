@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import running_sum
 from .statistics import average_rank
 
 
@@ -38,7 +39,16 @@ def zscore(df: DataFrame, value: str, into: str = "z", by: Sequence[str] = ()) -
 
 
 def ntile(df: DataFrame, value: str, key: str, n: int = 10, into: str = "decile", by: Sequence[str] = ()) -> DataFrame:
-    """Groups of equal size in the order of value and key."""
+    """Groups of equal size in the order of value (nulls first) and key, the larger groups first; without ``by`` over the whole table."""
+    if not by:
+        total = df.count()
+        order = [F.col(value).asc_nulls_first(), F.col(key)]
+        row = running_sum(df, order, F.lit(1), "_row")
+        size, more = divmod(total, n)
+        edge = more * (size + 1)  # rows in the larger groups
+        late = more + F.floor((F.col("_row") - 1 - edge) / max(size, 1)) + 1
+        group = F.when(F.col("_row") <= edge, F.floor((F.col("_row") - 1) / (size + 1)) + 1).otherwise(late)
+        return row.withColumn(into, group.cast("int")).drop("_row")
     return df.withColumn(into, F.ntile(n).over(Window.partitionBy(*by).orderBy(value, key)))
 
 
@@ -56,10 +66,11 @@ def quantile_groups(df: DataFrame, value: str, n: int = 10, into: str = "decile"
 def cumulative_share(df: DataFrame, value: str, key: str, ranks: Sequence[int] | None = None) -> DataFrame:
     """rank and the share of the sum of |value| that the largest ranks hold, at all or at given ranks."""
     a = F.abs(F.col(value))
-    w = Window.orderBy(F.col("a").desc(), F.col(key))
     rows = df.select(a.alias("a"), key).where("a is not null")
-    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("run", F.sum("a").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("a").over(Window.partitionBy()))
-    out = rows.select("rank", F.try_divide("run", "total").alias("share"))
+    total = rows.agg(F.sum("a")).first()[0]
+    both = running_sum(rows, [F.col("a").desc(), F.col(key)], F.lit(1), "rank")
+    both = running_sum(both, [F.col("rank")], F.col("a"), "run")
+    out = both.select(F.col("rank").cast("int").alias("rank"), F.try_divide(F.col("run"), F.lit(total)).alias("share"))
     return out if ranks is None else out.where(F.col("rank").isin(*ranks))
 
 
