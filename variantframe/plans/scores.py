@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from variantframe.operators import matching, scoring, windows
+from variantframe.operators.common import store_round
 from variantframe.sources import genomics
 
 from .common import Book, rounded
@@ -130,6 +131,7 @@ def _arrays(r):
 )
 def _flagship(r):
     s = rounded(scoring.score_samples(best(r), r("dosage"), "skip")).select("sample_id", (F.col("sample_id") % 2).cast("int").alias("sex"), "PRS")
+    s = store_round(s)  # a row for each sample: ranks and z-scores read it, and dosages are summed up once
     ranked = windows.percentile_rank(s, "PRS", "percentile", ["sex"])
     return rounded(windows.zscore(ranked, "PRS", "z", ["sex"]).select("sample_id", "sex", "PRS", "percentile", "z"))
 
