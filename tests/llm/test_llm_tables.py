@@ -158,3 +158,15 @@ def test_pipeline_stages(spark):
     assert clean.count() == scored.where("s < 0.5").count()
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.where("n_tokens > 0").count() == out.count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    rel = con.sql(queries.ORACLES[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert sorted(tuple(r) for r in df.select(*rel.columns).collect()) == sorted(rel.fetchall())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_automaton, html_extract, language, minhash, mixing, quality, token_counts, toxicity, url_filter
+from . import ann, bpe_automaton, html_extract, language, minhash, mixing, oracles, quality, token_counts, toxicity, url_filter
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,23 +58,6 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
-OP5_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
-o AS (SELECT *, 3 * source_size AS lim, row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS k FROM s),
-f AS (SELECT *, (SELECT sum(source_size) FROM o)::BIGINT - coalesce(sum(lim) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rest,
-  sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM o),
-l AS (SELECT *, min(CASE WHEN (rest / ws) * weight < lim THEN k END) OVER () AS k0 FROM f),
-t AS (SELECT l.source, l.source_size, CASE WHEN l.k < l.k0 OR l.k0 IS NULL THEN l.lim::DOUBLE
-  ELSE least((SELECT rest / ws FROM l WHERE k = k0) * l.weight, l.lim::DOUBLE) END AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
-"""
-
-
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -127,26 +110,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
 
-OP9_SQL = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: list_aggregate(ws[i:i + 2], 'string_agg', ' '))
-    WHEN len(ws) > 0 THEN [list_aggregate(ws, 'string_agg', ' ')] ELSE [] END) AS s FROM w),
-n AS (SELECT doc_id, len(s) AS n FROM sets),
-u AS (SELECT doc_id, unnest(s) AS g FROM sets),
-both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
-low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
-SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id,
-  n.doc_id = least(n.doc_id, coalesce(m, n.doc_id)) AS kept
-FROM n LEFT JOIN low ON low.a = n.doc_id
-"""
-
-
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -161,6 +124,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_mixing": OP5_SQL,
-    "op9_minhash_near_dedup": OP9_SQL,
+    "op1_quality_rules": oracles.OP1_SQL,
+    "op5_mixing": oracles.OP5_SQL,
+    "op9_minhash_near_dedup": oracles.OP9_SQL,
 }
