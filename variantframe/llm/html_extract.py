@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh, ship
 
 #: Pages that the trees are trained on.
-PAGES = 900
+PAGES = 1400
 TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.2, 32, 20
 #: Pages rated at a time.
 BLOCK = 128
@@ -55,14 +55,14 @@ _ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-_SCOPE = {"table", "td", "th", "button", "html", "object", "template", "caption"}
+_SCOPE = {"table", "td", "th", "button", "html", "object", "template", "caption", "noscript"}
 #: Attribute words that speak for main text, and those that speak against it.
 _FOR = set("article articlebody body content entry main post prose story text".split())
 _AGAINST = set(
     "actions ad ads advert advertisement advertorial adverts alert author bar banner breadcrumb breadcrumbs button byline comment comments consent contact cookie cookies copyright "
     "dialog disqus disclaimer dropdown feedback foot footer form gdpr head header hidden login legal links masthead menu meta modal nav navbar navigation newsletter notice notices "
     "notification outbrain overlay pager pagination popup privacy promo promoted promotion recommended related replies reply respond review rss search share sharing shoutbox sidebar "
-    "signup site skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar tools top trending ugc user warning widget".split()
+    "signup skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar tools top trending ugc user warning widget".split()
 )
 _COMMENTS = {"comment", "comments", "disqus", "replies", "reply", "respond", "shoutbox", "ugc", "discussion", "thread"}
 _GROUPS = [{"article", "main"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "menu", "dl"}, {"li", "dt", "dd"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "search"}, {"table", "tbody", "tr", "td", "th"}, {"blockquote", "pre", "figure", "figcaption"}, {"body", "html"}]
