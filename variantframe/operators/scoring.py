@@ -33,12 +33,13 @@ def score_samples(matched: DataFrame, dosages: DataFrame, missing: str = "mean")
     return d.groupBy("sample_id").agg(F.sum(F.col("BETA") * F.col("d")).alias("PRS"), F.count("*").alias("n_variants"))
 
 
-def score_arrays(matched: DataFrame, variants: DataFrame, samples: Sequence[str] | None = None, missing: str = "mean") -> DataFrame:
+def score_arrays(matched: DataFrame, variants: DataFrame, samples: Sequence[str] | None = None, missing: str = "mean", counts: bool = False) -> DataFrame:
     """The same scores from one row for each variant with an array of dosages (zarr_idx, dosages); sample is the place in the array.
 
     Only matched variants' arrays are read.  Each partition adds up one vector
     of samples, and the vectors' elements are summed by place: what is shuffled
-    grows with partitions times samples, not with variants.
+    grows with partitions times samples, not with variants.  ``counts`` adds
+    n_variants; with ``skip`` samples without any dosage are left out.
     """
     m = matched.groupBy("zarr_idx", "flip").agg(F.sum("BETA").alias("BETA"))
     rows = variants.select("zarr_idx", F.col("dosages").cast("array<double>").alias("dosages")).join(small(m), "zarr_idx")
@@ -46,7 +47,7 @@ def score_arrays(matched: DataFrame, variants: DataFrame, samples: Sequence[str]
     def add(batches):
         import pandas as pd
 
-        total = None
+        total = n = None
         for pdf in batches:
             for dos, flip, beta in zip(pdf["dosages"], pdf["flip"], pdf["BETA"], strict=True):
                 d = np.array([np.nan if x is None else x for x in dos], float) if dos is not None else np.zeros(0)
@@ -55,20 +56,24 @@ def score_arrays(matched: DataFrame, variants: DataFrame, samples: Sequence[str]
                 gap = np.isnan(d)
                 if len(d) == 0 or gap.all():
                     continue
-                if gap.any():
+                if gap.any():  # a skipped dosage adds 0 and doesn't count
                     d = np.where(gap, d[~gap].mean() if missing == "mean" else 0.0, d)
                 if total is None:
-                    total = np.zeros(len(d))
+                    total, n = np.zeros(len(d)), np.zeros(len(d), np.int64)
                 total = total + beta * d
+                n += ~gap if missing == "skip" else 1
         if total is not None:
-            yield pd.DataFrame({"place": np.arange(len(total)), "part": total})
+            yield pd.DataFrame({"place": np.arange(len(total)), "part": total, "n": n})
 
-    parts = rows.mapInPandas(add, "place bigint, part double")
-    out = parts.groupBy("place").agg(F.sum("part").alias("PRS"))
+    parts = rows.mapInPandas(add, "place bigint, part double, n bigint")
+    out = parts.groupBy("place").agg(F.sum("part").alias("PRS"), F.sum("n").alias("n_variants"))
+    if missing == "skip":
+        out = out.where("n_variants > 0")
+    values = ["PRS", "n_variants"] if counts else ["PRS"]
     if samples is None:
-        return out.select(F.col("place").alias("sample"), "PRS")
+        return out.select(F.col("place").alias("sample"), *values)
     names = out.sparkSession.createDataFrame([(i, s) for i, s in enumerate(samples)], "place bigint, sample_id string")
-    return out.join(small(names), "place").select("sample_id", "PRS")
+    return out.join(small(names), "place").select("sample_id", *values)
 
 
 def score_by_chrom(matched: DataFrame, dosages: DataFrame, chroms: Sequence[str]) -> DataFrame:

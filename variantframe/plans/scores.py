@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from variantframe.operators import matching, scoring, windows
@@ -107,18 +108,30 @@ def _pivot(r):
     return rounded(scoring.score_by_chrom(best(r), r("dosage"), _BRANDS))
 
 
+def array_scores(r):
+    """Scores of all samples from the array layout; a sample's further dosages of one variant make further arrays."""
+    matched, dosage = best(r), r("dosage")
+    ids = [str(x["sample_id"]) for x in dosage.select("sample_id").distinct().orderBy("sample_id").collect()]  # the layout's header
+    used = dosage.join(matched.select("zarr_idx").distinct(), "zarr_idx", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("zarr_idx", "sample_id").orderBy("dosage"))
+    long = used.select(F.struct("zarr_idx", nth.alias("nth")).alias("zarr_idx"), "sample_id", "dosage")
+    arrays = genomics.long_to_arrays(long, ids).withColumn("zarr_idx", F.col("zarr_idx.zarr_idx"))
+    return scoring.score_arrays(matched, arrays, ids, "skip", counts=True).withColumn("sample_id", F.col("sample_id").cast("long"))
+
+
 @book.add("prs_array_layout", "SELECT 'ok' AS result", "")
 def _arrays(r):
-    """Array layout and long layout agree; samples are the 40 smallest ids."""
-    ids = list(range(40))
-    long = r("dosage").where(F.col("sample_id").isin(ids)).groupBy("zarr_idx", "sample_id").agg(F.max("dosage").alias("dosage"))
-    matched = best(r)
-    arrays = genomics.long_to_arrays(long, [str(i) for i in ids])
-    full = arrays.select("zarr_idx", F.posexplode("dosages").alias("sample_id", "dosage"))
-    a = scoring.score_arrays(matched, arrays, None, "zero").select(F.col("sample").alias("sample_id"), F.round("PRS", 6).alias("a"))
-    b = scoring.score_samples(matched, full, "zero").select("sample_id", F.round("PRS", 6).alias("b"))
-    wrong = a.join(b, "sample_id", "full").agg(F.count_if(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))) > 1e-5).alias("w"))
-    return wrong.select(F.when(F.col("w") == 0, "ok").otherwise("different").alias("result"))
+    """Array layout and long layout agree on the scores of all samples, of which there are some."""
+    a = array_scores(r).select("sample_id", F.col("PRS").alias("a"), F.col("n_variants").alias("na"))
+    b = scoring.score_samples(best(r), r("dosage"), "skip").select("sample_id", F.col("PRS").alias("b"), F.col("n_variants").alias("nb"))
+    equal = (F.abs(F.col("a") - F.col("b")) <= 1e-5) & (F.col("na") == F.col("nb"))
+    same = a.join(b, "sample_id", "full").agg(F.count("*").alias("n"), F.count_if(equal).alias("equal"))
+    return same.select(F.when((F.col("n") > 0) & (F.col("n") == F.col("equal")), "ok").otherwise("different").alias("result"))
+
+
+@book.add("prs_array_scores", f"WITH {CANDIDATES}, {PRS} SELECT sample_id, round(PRS, 6) + 0 AS PRS, n_variants FROM prs", "catalog weights dosage")
+def _array_scores(r):
+    return rounded(array_scores(r))
 
 
 @book.add(

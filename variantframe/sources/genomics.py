@@ -109,9 +109,20 @@ def genotypes_to_long(df: DataFrame, samples: Sequence[str]) -> DataFrame:
 
 
 def long_to_arrays(df: DataFrame, samples: Sequence[str]) -> DataFrame:
-    """One row for each variant with its samples' dosages in order; absent ones are null."""
-    wide = df.groupBy("zarr_idx").pivot("sample_id", list(samples)).agg(F.first("dosage"))
-    return wide.select("zarr_idx", F.array(*[F.col(f"`{s}`") for s in samples]).alias("dosages"))
+    """One row for each variant with its samples' dosages in order; absent ones are null.
+
+    A variant's known dosages are collected and the gaps between their places
+    filled, so the plan doesn't grow with the samples.
+    """
+    places = df.sparkSession.createDataFrame([(i, str(s)) for i, s in enumerate(samples)], "place int, sample_name string")
+    known = df.withColumn("sample_name", F.col("sample_id").cast("string")).join(places, "sample_name", "left")
+    cells = known.groupBy("zarr_idx", "place").agg(F.first("dosage").alias("dosage"))
+    lists = cells.groupBy("zarr_idx").agg(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "dosage")))).alias("cells"))
+    none = F.lit(None).cast(df.schema["dosage"].dataType)
+    before = lambda i: F.coalesce(F.get("cells", i - 1)["place"], F.lit(-1))
+    filled = F.flatten(F.transform("cells", lambda x, i: F.concat(F.array_repeat(none, x["place"] - before(i) - 1), F.array(x["dosage"]))))
+    rest = F.array_repeat(none, F.lit(len(samples) - 1) - before(F.size("cells")))
+    return lists.select("zarr_idx", F.concat(filled, rest).alias("dosages"))
 
 
 def variant_catalog(df: DataFrame) -> DataFrame:
