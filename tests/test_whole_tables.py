@@ -41,3 +41,15 @@ def test_long_to_arrays_fills_gaps(spark):
     df = spark.createDataFrame([(1, "b", 2.0), (1, "e", 1.0), (2, "a", 0.0), (2, "c", None), (3, "x", 1.0)], "zarr_idx long, sample_id string, dosage double")
     got = {r[0]: r[1] for r in genomics.long_to_arrays(df, list("abcde")).collect()}
     assert got == {1: [None, 2.0, None, None, 1.0], 2: [0.0, None, None, None, None], 3: [None] * 5}
+
+
+def test_offsets_hold_all_intervals(spark, duck):  # noqa: F811
+    assert len(both(spark, duck, "cds_offsets_all")) == role(spark, SF, "intervals").count()
+
+
+def test_offsets_of_equal_begins_and_high_ids(spark, monkeypatch):
+    rows = [(iv, 10, 10 + iv) for iv in (301, 351)] + [(401, 5, 8)]
+    cut = spark.createDataFrame([(302, 7, 9), *rows], "iv long, b long, e long")
+    monkeypatch.setattr("variantframe.plans.common.role", lambda *a: cut)
+    got = {r["iv"]: r["cds_offset"] for r in registry.QUERIES["cds_offsets_all"](spark, SF).collect()}
+    assert got == {302: 0, 401: 0, 301: 3, 351: 304}

@@ -92,10 +92,10 @@ def exclusive_running_sum(df: DataFrame, by: Sequence[str], order: Sequence, val
     return df.withColumn(into, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def coding_offsets(cds: DataFrame) -> DataFrame:
-    """Bases of the coding sequence before each CDS part of a transcript, in the direction of its strand."""
+def coding_offsets(cds: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """Bases of the coding sequence before each CDS part of a transcript, in the direction of its strand; parts of one begin in the order of ``ties``."""
     key = F.when(F.col("strand") == "-", -F.col("begin")).otherwise(F.col("begin"))
-    return exclusive_running_sum(cds.withColumn("_len", F.col("end") - F.col("begin")), ["transcript_id"], [key], "_len", "cds_offset").drop("_len")
+    return exclusive_running_sum(cds.withColumn("_len", F.col("end") - F.col("begin")), ["transcript_id"], [key, *ties], "_len", "cds_offset").drop("_len")
 
 
 def winsorize(df: DataFrame, value: str, low: float, high: float, into: str) -> DataFrame:

@@ -111,6 +111,13 @@ def _offsets(r):
     return coding_offsets(cds).select("transcript_id", "begin", F.col("cds_offset").cast("long").alias("cds_offset"))
 
 
+@book.add("cds_offsets_all", """SELECT iv, transcript_id, b AS begin, coalesce(sum(e - b) OVER (PARTITION BY transcript_id ORDER BY CASE WHEN iv % 50 % 2 = 0 THEN -b ELSE b END, iv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cds_offset FROM (SELECT *, 'T' || (iv % 50) AS transcript_id FROM intervals)""", "intervals")
+def _offsets_all(r):
+    """Offsets of every interval's part; cds_offsets and its SQL hold the intervals below 300 only."""
+    cds = r("intervals").select("iv", F.concat(F.lit("T"), F.col("iv") % 50).alias("transcript_id"), F.col("b").alias("begin"), F.col("e").alias("end"), F.when(F.col("iv") % 50 % 2 == 0, "-").otherwise("+").alias("strand"))
+    return coding_offsets(cds, ["iv"]).select("iv", "transcript_id", "begin", F.col("cds_offset").cast("long").alias("cds_offset"))
+
+
 @book.add("chrom_normalize", "SELECT zarr_idx, CASE x WHEN '23' THEN 'X' WHEN '24' THEN 'Y' WHEN 'M' THEN 'MT' ELSE x END AS chrom FROM (SELECT zarr_idx, upper((zarr_idx % 26)::VARCHAR) AS x FROM catalog)")
 def _chrom(r):
     c = F.concat(F.when(F.col("zarr_idx") % 2 == 0, "chr").otherwise("CHR"), (F.col("zarr_idx") % 26).cast("string"))
