@@ -53,3 +53,7 @@ def test_offsets_of_equal_begins_and_high_ids(spark, monkeypatch):
     monkeypatch.setattr("variantframe.plans.common.role", lambda *a: cut)
     got = {r["iv"]: r["cds_offset"] for r in registry.QUERIES["cds_offsets_all"](spark, SF).collect()}
     assert got == {302: 0, 401: 0, 301: 3, 351: 304}
+
+
+def test_mapping_holds_all_orders(spark, duck):  # noqa: F811
+    assert len(both(spark, duck, "chained_mapping_all")) == role(spark, SF, "orders").count()

@@ -154,6 +154,14 @@ def _chained(r):
     return cohort.mapped_sex(o.select("IID"), o, sex)
 
 
+@book.add("chained_mapping_all", "SELECT o_orderkey AS IID, o_custkey AS PATID, CASE WHEN o_custkey % 4 <> 0 THEN (o_custkey % 2)::INT END AS sex FROM orders")
+def _chained_all(r):
+    """Sex of every order's customer; chained_mapping and its SQL hold a tenth of the orders only."""
+    o = r("orders").select(F.col("o_orderkey").alias("IID"), F.col("o_custkey").alias("PATID"))
+    sex = r("customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("PATID"), (F.col("c_custkey") % 2).cast("int").alias("sex"))
+    return cohort.mapped_sex(o.select("IID"), o, sex)
+
+
 @book.add("pairs_per_row", "SELECT p_partkey, x AS a_item, y AS b_item FROM part, unnest(string_split(p_name, ' ')) t(x), unnest(string_split(p_type, 'N')) u(y)")
 def _pairs(r):
     p = r("part").select("p_partkey", F.split("p_name", " ").alias("a"), F.split("p_type", "N").alias("b"))
