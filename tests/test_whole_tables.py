@@ -57,3 +57,7 @@ def test_offsets_of_equal_begins_and_high_ids(spark, monkeypatch):
 
 def test_mapping_holds_all_orders(spark, duck):  # noqa: F811
     assert len(both(spark, duck, "chained_mapping_all")) == role(spark, SF, "orders").count()
+
+
+def test_sessions_hold_all_trials(spark, duck):  # noqa: F811
+    assert len(both(spark, duck, "attach_session_all")) == role(spark, SF, "lineitem").count()

@@ -72,3 +72,11 @@ def _session(r):
     t = r("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("k"))
     s = r("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
     return linkage.attach_session(t, s, ["k"], "o").drop("k")
+
+
+@book.add("attach_session_all", "SELECT l_orderkey, l_linenumber, l_partkey, o FROM lineitem LEFT JOIN (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1) s ON s.k = l_suppkey")
+def _session_all(r):
+    """Every trial with its session; attach_session and its SQL hold the first line of each order only."""
+    t = r("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("k"))
+    s = r("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
+    return linkage.attach_session(t, s, ["k"], "o").drop("k")
