@@ -31,6 +31,8 @@ from .common import fresh, hold, ship
 
 #: Labelled toxic documents that are collected to train on, and twice as many others; the bound of the sample.
 SAMPLE = 1500
+#: Words that stand for insults at first, of these the ones that also stand disguised, and clean words that are searched for hard ones.
+SEEDS, DISGUISED, VOCABULARY = 1200, 400, 240_000
 #: Landmark words of each class.
 LANDMARKS = 120
 #: Clean words trained against.
@@ -38,7 +40,7 @@ CLEAN_WORDS = 4000
 DECAY, SPAN = 0.7, 5
 #: Characters told apart; all others count as one that matches nothing.
 LETTERS = 63
-#: Words are scored in windows of so many characters.
+#: Words are scored in windows of so many characters; of a training word the first window counts.
 WINDOW = 24
 #: Word scores kept by a worker before it starts afresh.
 SCORES_KEPT = 400_000
@@ -199,10 +201,10 @@ def train(docs: list[tuple[Collection[str], int]]) -> Model | None:
     negative = [w for w, _ in clean[: CLEAN_WORDS // 2]] + sorted((w for w, _ in clean[CLEAN_WORDS // 2 :]), key=_hash)[: CLEAN_WORDS // 2]
     if not positive or not negative:
         return None
-    positive = positive[:1200]
-    positive += [v for w in positive[:400] for v in _disguised(w)]
+    positive = positive[:SEEDS]
+    positive += [v for w in positive[:DISGUISED] for v in _disguised(w)]
     model = _fit(positive, negative, letters, support)
-    vocabulary = sorted(counts[0], key=_hash)[: 60 * CLEAN_WORDS]
+    vocabulary = sorted(counts[0], key=_hash)[:VOCABULARY]
     toxic = [sorted(words) for words, label in docs if label and words]
     flat = sorted({w for words in toxic for w in words})
     for _ in range(3):
@@ -311,13 +313,15 @@ def _calibrate(x: np.ndarray, y: np.ndarray, forms: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """Train on at most ``sample`` toxic and twice as many other labelled documents, those with the smallest id hashes.
+    """Train on at most ``sample`` toxic and twice as many other labelled documents of ``docs``, those with the smallest id hashes.
 
     ``allowed`` is a condition on ``labels`` (held-out rows stay out).  Null ids
-    and labels are left out; of several labels of one id the largest counts.
+    and labels are left out, as are labels of documents that ``docs`` lacks; of
+    several labels of one id the largest counts.
     """
     known = labels if allowed is None else labels.where(allowed)
     known = known.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).alias("label"))
+    known = known.join(docs.select(F.col(id).alias("doc")), F.col(id) == F.col("doc"), "left_semi")
     picked = None  # type: DataFrame | None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64(id), id).limit(sample if value else 2 * sample)
