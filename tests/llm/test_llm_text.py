@@ -418,3 +418,38 @@ def test_shingles_across_pieces(monkeypatch):
         for s, t in zip(got, arr.to_pylist()):
             w = [x.lower() if x.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
             assert len(s) == len({tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set()))
+
+
+def family(n, seed=5):
+    """Texts that are near misses of each other, a few of them linked."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [rng.choice(vocab) for _ in range(60)]
+    rows = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 2, 2))):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append(" ".join(w))
+    return list(enumerate(rows))
+
+
+def test_near_duplicates_in_small_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rows = family(120)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == components(rows, 3, 85)
+
+
+def test_near_misses_give_few_rows(spark, monkeypatch):
+    made = {}
+
+    def counted(df, tag):
+        made[tag] = (kept := store(df, tag)).count()
+        return kept
+
+    store = minhash.store
+    monkeypatch.setattr(minhash, "store", counted)
+    for n in (100, 400):
+        minhash.near_duplicates(spark.createDataFrame(family(n), "doc_id long, text string"), k=3, percent=85)
+        assert made["links"] < n and made["stars"] < n * minhash.band_count(0.85) and made["within"] <= n * minhash.band_count(0.85)

@@ -7,13 +7,15 @@ table.  Rows of coordinates are banded; documents meet in buckets.  Links are
 confirmed on full shingle sets:
 
 1. Documents with equal sets form one class; only classes go on.
-2. In each bucket the pivot (the smallest key) is compared with every member.
-   This costs one pair for each member and joins most of a large group.
-3. What a bucket still holds in different components is compared by
-   signatures, blockwise inside a task; a class near a component is then
-   compared on full sets with that component's members, in blocks of bounded
-   size.  Nothing is capped: a link between different sets is lost only if the
-   bands or the signature miss it (each about 1 in a million at the threshold).
+2. In each bucket the pivot, the member with the most companions, is compared
+   with every member on full sets.  This costs one pair for each member and
+   joins most of a large group.
+3. What a bucket still holds in different components meets in blocks of bounded
+   size: pairs that the signature leaves possible are compared on full sets,
+   and the block gives the links of a spanning forest of its components, so no
+   more rows than it has members.  Nothing is capped: a link between different
+   sets is lost only if the bands or the signature miss it (each about 1 in a
+   million at the threshold).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, ship, store
@@ -39,8 +41,8 @@ UNIVERSE = 1 << 22
 ROWS = 5
 #: Probability of missing a pair at the threshold.
 MISS = 1e-6
-#: Members of a block of a large bucket or component.
-BLOCK = 512
+#: Members of one part of a large bucket, and shingles that a part's sets hold; a block has one or two parts.
+BLOCK, SHINGLES = 2048, 3_000_000
 #: Standard deviations that a signature's estimate may lie below the threshold.
 SLACK = 5.0
 #: Texts whose sets are held at a time.
@@ -101,90 +103,77 @@ def sketches(df: DataFrame, text: str, k: int, bands: int, into: str) -> DataFra
     return df.withColumn(into, sketch.asNondeterministic()(F.col(text)))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+class _Sets:
+    """Full shingle sets of a block's texts, as codes of the block's own universe."""
 
+    def __init__(self, texts: pd.Series, k: int):
+        sets = shingle_sets(pa.array(texts.tolist(), pa.string()), k)
+        self.sizes = np.array([len(s) for s in sets])
+        begins = np.cumsum([0, *self.sizes])
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.codes = [codes[p:q] for p, q in zip(begins[:-1], begins[1:], strict=True)]
+        self.mark = np.zeros(len(values), bool)
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
+    def linked(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the others have 100 * intersection >= percent * union with i."""
+        near = others[(self.sizes[others] * 100 >= percent * self.sizes[i]) & (self.sizes[i] * 100 >= percent * self.sizes[others])]
+        if not len(near):
+            return near
+        self.mark[self.codes[i]] = True
+        begins = np.cumsum([0, *self.sizes[near[:-1]]])
+        both = np.add.reduceat(self.mark[np.concatenate([self.codes[j] for j in near])], begins, dtype=np.int64)
+        self.mark[self.codes[i]] = False
+        return near[100 * both >= percent * (self.sizes[near] + self.sizes[i] - both)]
 
-    @F.arrow_udf("boolean")
-    def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            out: list[bool] = []
-            for i in range(0, len(left), TEXTS):
-                sets = zip(shingle_sets(left.slice(i, TEXTS), k), shingle_sets(right.slice(i, TEXTS), k), strict=True)
-                out += [linked(x, y, percent) for x, y in sets]
-            yield pa.array(out, pa.bool_())
 
-    one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.withColumn("ok", check.asNondeterministic()("text_a", "text_b")).where("ok").select("a", "b")
+def _star_links(k: int, percent: int):
+    """For one part of a pivot's members: links between the pivot and them."""
 
+    def star(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, hub = pdf["key"].tolist(), int(np.flatnonzero(pdf["hub"].to_numpy())[0])
+        others = np.flatnonzero(~pdf["hub"].to_numpy())
+        ok = _Sets(pdf["text"], k).linked(hub, others, percent)
+        return pd.DataFrame({"a": [keys[hub]] * len(ok), "b": [keys[j] for j in ok]}, dtype=object)
 
-def _near_components(coordinates: int, percent: int):
-    """For one block of a bucket: classes and components other than theirs that they may be linked with."""
+    return star
+
+
+def _block_forest(coordinates: int, k: int, percent: int):
+    """For one block of a bucket: links that join its members' components, as pairs of components, fewer than it has members."""
     t = percent / 100
     least = coordinates * (t - SLACK * math.sqrt(t * (1 - t) / coordinates))
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
-        comp = pd.factorize(pdf["comp"])[0]
-        size = pdf["comp_size"].to_numpy()
-        n = pdf["n"].to_numpy()
+        comp = pdf["comp"].tolist()
+        label = pd.factorize(pdf["comp"])[0]
         own, apart = pdf["own"].to_numpy(), pdf["i"][0] != pdf["j"][0]
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        bands = np.stack(pdf["bands"].to_numpy())
         band = int(pdf["band"][0])
-        found: set[tuple[int, int]] = set()
-        for i in range(len(pdf)):
-            # the class of the smaller component is compared with the larger component
-            other = (comp != comp[i]) & ((size > size[i]) | (size == size[i]) & (comp > comp[i]))
-            other &= (n * 100 >= percent * n[i]) & (n[i] * 100 >= percent * n)
-            if apart:  # pairs within one part of a large bucket are another task's
-                other &= own != own[i]
-            at = np.flatnonzero(other)
-            if len(at):  # a pair that meets in several bands is told of once, in the first
-                at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
-                close = at[(sig[at] == sig[i]).sum(axis=1) >= least]
-                found.update((i, int(j)) for j in {comp[c]: c for c in close}.values())
-        rows = sorted(found)
-        return pd.DataFrame({"x": [pdf["key"][i] for i, _ in rows], "comp": [pdf["comp"][j] for _, j in rows]}, dtype=object)
-
-    return near
-
-
-def _cross_links(k: int, percent: int):
-    """For one block: links between visiting classes and a component's members, by full sets."""
-
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets(pa.array(pdf["text"].tolist(), pa.string()), k)
-        visit = pdf["visits"].to_numpy()
-        keys = pdf["key"].tolist()
-        hosts = np.flatnonzero(~visit)
-        rows = []
-        if len(hosts):
-            flat = np.concatenate([sets[j] for j in hosts])
-            values, codes = np.unique(flat, return_inverse=True)
-            begins = np.cumsum([0, *[len(sets[j]) for j in hosts]])
-            sizes = np.diff(begins)
-            for i in np.flatnonzero(visit):
-                at = np.searchsorted(values, sets[i])
-                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[i])]
-                mark = np.zeros(len(values), np.int64)
-                mark[at] = 1
-                both = np.add.reduceat(mark[codes], begins[:-1])
-                ok = np.flatnonzero(100 * both >= percent * (sizes + len(sets[i]) - both))
-                if len(ok):  # one link joins the class with the component
-                    rows.append((keys[i], keys[hosts[ok[0]]]))
+        rows: list[tuple[bytes, bytes]] = []
+        if (label != label[0]).any() and not (apart and (own == own[0]).all()):
+            sets = _Sets(pdf["text"], k)
+            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+            bands = np.stack(pdf["bands"].to_numpy())
+            for i in range(len(pdf) - 1):
+                rest = np.arange(i + 1, len(pdf))
+                at = rest[label[rest] != label[i]]
+                if apart:  # pairs within one part of a large bucket are another task's
+                    at = at[own[at] != own[i]]
+                if len(at):  # a pair that meets in several bands is compared once, in the first
+                    at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
+                at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
+                for j in sets.linked(i, at, percent).tolist():
+                    if label[j] != label[i]:
+                        rows.append((comp[i], comp[j]))
+                        label[label == label[j]] = label[i]
         return pd.DataFrame(rows, columns=["a", "b"], dtype=object)
 
-    return cross
+    return forest
+
+
+def _parts(members: Column, shingles: Column) -> Column:
+    """Into how many parts so many members with so many shingles are cut."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / SHINGLES), F.lit(1)).cast("int")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -209,55 +198,59 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     alive = base.where("key is not null and id is not null")
     classes = alive.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     entries = classes.select("key", F.posexplode("bands").alias("band", "h"))
-    buckets = entries.groupBy("band", "h").agg(F.min("key").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members")).where("members > 1")
     met = store(entries.join(buckets, ["band", "h"]), "met")
 
-    nodes = met.select("key").distinct().join(alive.groupBy("key").agg(F.min("id").alias("rep")), "key")
-    found = rows.join(nodes.withColumnRenamed("rep", "id"), "id")
+    # The facts and texts of classes that meet another, each class once.
+    hubs = met.groupBy("key").agg(F.sum("members").alias("weight"))
+    nodes = hubs.join(classes, "key")
+    found = rows.join(nodes.select("key", F.col("rep").alias("id")), "id")
     if df.select(id).groupBy(id).count().where("count > 1").take(1):  # a shared id: keep the text that the key stands for
         again = sketches(found, "text", k, bands, "s")
         found = again.where("s.key = key").select("key", "text").dropDuplicates(["key"])
-    texts = store(found.select("key", "text"), "texts")
-
-    pairs = met.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    stars = store(_verified(pairs, texts, k, percent), "stars")
+    texts = store(nodes.drop("rep").join(found.select("key", "text"), "key"), "texts")
+
+    # Each bucket's pivot: the member with the most companions, which a group's buckets mostly share.
+    pivots = met.join(hubs, "key").groupBy("band", "h").agg(F.max(F.struct("weight", "key"))["key"].alias("pivot"))
+    met = store(met.join(pivots, ["band", "h"]), "pivots")
+    pairs = met.where("key <> pivot").select("pivot", "key").distinct()
+    sized = store(pairs.join(texts.select("key", "n"), "key"), "pairs")
+    shape = sized.groupBy("pivot").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    member = sized.join(shape, "pivot").select("pivot", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), "key", F.lit(False).alias("hub"))
+    centre = shape.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("key"), F.lit(True).alias("hub"))
+    filled = member.select("pivot", "part").distinct()
+    stars = member.unionByName(centre.join(filled, ["pivot", "part"], "left_semi").select(member.columns)).join(texts.select("key", "text"), "key")
+    stars = store(stars.groupBy("pivot", "part").applyInPandas(_star_links(k, percent), "a binary, b binary"), "stars")
     roots = connected_components(stars)
 
     # Buckets whose members, but for the pivot that was compared with all, are still in different components.
     within = met.where("members > 2 and key <> pivot").select("band", "h", "key")
     within = within.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "h", "key", F.coalesce("root", "key").alias("comp"))
+    within = store(within.join(texts.select("key", "n"), "key"), "within")
     open_ = within.groupBy("band", "h").agg(
         F.min("comp").alias("lo"),
         F.max("comp").alias("hi"),
         F.count("*").alias("m"),
+        F.sum("n").alias("n"),
         F.sum(F.xxhash64("key") % 1_000_003).alias("s1"),
         F.sum(F.xxhash64("key", F.lit(1)) % 1_000_003).alias("s2"),
     )
-    open_ = open_.where("lo <> hi").groupBy("m", "s1", "s2", "lo", "hi").agg(F.min(F.struct("band", "h")).alias("first"))  # buckets of the same members once
-    sizes = roots.groupBy("root").agg(F.count("*").alias("comp_size"))
-    facts = classes.select("key", "n", "sig", "bands")
-    todo = within.join(open_.select("first.band", "first.h", "m"), ["band", "h"]).join(facts, "key").join(sizes.withColumnRenamed("root", "comp"), "comp", "left")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    todo = todo.withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    todo = todo.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "bands", "key", "comp", "n", "sig", F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
-    near = todo.groupBy("band", "h", "i", "j").applyInPandas(_near_components(bands * ROWS, percent), "x binary, comp binary")
-    near = store(near.distinct(), "near")
-
-    # A component's members, and the classes near it, meet in blocks.
-    member = nodes.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("comp"))
-    counts = near.groupBy("comp").agg(F.count("*").alias("visitors"))
-    hosts = member.join(counts, "comp")
-    shape = hosts.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"), F.ceil(F.first("visitors") / BLOCK).cast("int").alias("xs"))
-    side_y = member.join(shape, "comp").select("comp", "key", F.pmod(F.xxhash64("key"), F.col("ys")).alias("y"), F.explode(F.expr("sequence(0L, bigint(xs) - 1)")).alias("x"), F.lit(False).alias("visits"))
-    side_x = near.select("comp", F.col("x").alias("key")).join(shape, "comp").select("comp", "key", F.explode(F.expr("sequence(0L, bigint(ys) - 1)")).alias("y"), F.pmod(F.xxhash64("key"), F.col("xs")).alias("x"), F.lit(True).alias("visits"))
-    meet = side_y.unionByName(side_x).join(texts, "key")
-    more = meet.groupBy("comp", "y", "x").applyInPandas(_cross_links(k, percent), "a binary, b binary")
-    links = store(stars.unionByName(more), "all_links")
-
-    roots = connected_components(links)
-    reach = alive.groupBy("key").agg(F.min("id").alias("rep")).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    lowest = roots.join(reach.select(F.col("key").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("low"))
-    component = reach.join(lowest, "root", "left").select("key", F.coalesce("low", "rep").alias("component_id"))
+    open_ = open_.where("lo <> hi").groupBy("m", "n", "s1", "s2", "lo", "hi").agg(F.min(F.struct("band", "h")).alias("first"))  # buckets of the same members once
+    open_ = open_.select("first.band", "first.h", _parts(F.col("m"), F.col("n")).alias("parts"))
+    todo = within.select("band", "h", "key", "comp").join(open_, ["band", "h"])
+    todo = todo.withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    todo = todo.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "comp")
+    todo = todo.join(texts.select("key", "sig", "bands", "text"), "key")
+    links = store(todo.groupBy("band", "h", "i", "j").applyInPandas(_block_forest(bands * ROWS, k, percent), "a binary, b binary"), "links")
+    joined = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+    ends = roots.join(joined, "root", "left").select(F.col("node").alias("key"), F.coalesce("top", "root").alias("root"))
+    lone = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("key"), F.col("top").alias("root"))
+    reach = classes.select("key", "rep").join(ends.unionByName(lone), "key")
+    lowest = reach.groupBy("root").agg(F.min("rep").alias("low"))
+    component = store(reach.join(lowest, "root").select("key", F.col("low").alias("component_id")), "components")
+    reps = alive.groupBy("key").agg(F.min("id").alias("rep"))
+    component = reps.join(component, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     out = base.select("id", "n", "key").join(component, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     own = F.when(F.col("id").isNotNull(), own)
