@@ -54,7 +54,7 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     rows += [(100 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(40)]
     bad = [(200, None), (201, [0.0] * 4), (202, [1.0, None, 2.0, 3.0]), (203, [float("nan")] * 4), (204, [float("inf"), 0.0, 0.0, 1.0]), (205, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows + bad + [rows[0]], "vec_id long, embedding array<double>").withColumn("class", F.lit("x"))
-    out = ann.nearest(df, df.where("vec_id in (0, 100, 110, 200)"), tables=12, probes=8).collect()
+    out = ann.nearest(df, df.where("vec_id in (0, 100, 110, 200)")).collect()
     for q in (100, 110):
         own = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
         ids = [i for i in range(100, 140) if i != q][:10]
@@ -63,10 +63,52 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     assert all(r["vec_id"] < 200 for r in out)
     assert ann.nearest(df.where("vec_id < 0"), df).count() == 0
     assert ann.nearest(df, df.where("vec_id < 0")).count() == 0
-    few = ann.nearest(df.where("vec_id < 3"), df.where("vec_id = 1"), tables=12, probes=8)
+    few = ann.nearest(df.where("vec_id < 3"), df.where("vec_id = 1"))
     assert sorted(r["vec_id"] for r in few.collect()) == [0, 2]
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 11, 12, 40, 60])
+def test_neighbours_of_small_tables_are_whole(spark, n):
+    rng = np.random.default_rng(n)
+    rows = {i: [float(x) for x in rng.normal(size=64)] for i in range(n)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    out = ann.nearest(df, df).collect()
+    for q in rows:
+        own = sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == q)
+        assert [r for r, _ in own] == list(range(1, min(10, n - 1) + 1))
+    if n <= 11:
+        assert {(r["query_id"], r["vec_id"]) for r in out} == {(a, b) for a in rows for b in rows if a != b}
+
+
+@pytest.mark.parametrize("rotations", [1, 2])
+def test_recall_of_fitted_probes(spark, rotations):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    e = {r["vec_id"]: np.array(r["embedding"], np.float32).astype(float) for r in vectors.collect()}
+    asked = [i for i in e if i % 10 == 0]
+    want = exact(e, asked, 10)
+    fitted = [np.array([e[j] for _, j in want[q]]) for q in asked[::2]]
+    sample = np.array([e[q] for q in asked[::2]])
+    t = ann.Tables(64, rotations, 8)
+    ranks = np.sort(np.concatenate([ann.probe_ranks(sample[i : i + 1], x, t)[0] for i, x in enumerate(fitted)]))
+    t = ann.Tables(64, rotations, 8, int(ranks[int(0.97 * len(ranks))]) + 1)
+    out = ann.nearest(vectors, vectors.where("vec_id % 10 = 0"), index=t).collect()
+    found = sum(len({r["vec_id"] for r in out if r["query_id"] == q} & {j for _, j in want[q]}) for q in asked)
+    assert found / (10 * len(asked)) >= 0.9
+
+
+def test_probe_ranks_follow_the_buckets():
+    x = np.random.default_rng(2).normal(size=(40, 12))
+    for rotations in (1, 2):
+        t = ann.Tables(12, rotations, 3, 50)
+        got, where = ann.buckets(x[:5], t, 50), ann.buckets(x, t, 1)[:, :, 0]
+        ranks = ann.probe_ranks(x[:5], x, t)
+        for q in range(5):
+            for r in range(40):
+                at = [np.flatnonzero(got[q, i] == where[r, i]) for i in range(3)]
+                first = min((int(a[0]) for a in at if len(a)), default=None)
+                assert ranks[q, r] == first if first is not None else ranks[q, r] >= min(50, 32)
+
+
 def test_url_parts_and_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?q#f", "https://example.org/en/12", "http://org/", "http://x.com/fr/", "http://notexample.org/es/1", "ftp://com", "http://a.com?x=://b/c", "http://h.net/p#f?x", "x://y://z/k"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
