@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -294,9 +295,15 @@ def test_token_counts_equal_library(spark):
     texts = [*sample_texts(5), "It's DON'T <|startoftext|>x  İSTANBUL ΣΑΣ e\u0301 \u00a0y\u2028z \x85"]
     tok = Tokenizer.from_file(path)
     want = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
-    df = token_counts.token_counts(docs(spark, texts).withColumn("N_TOKENS", F.lit(0)), path)
-    assert df.columns == ["doc_id", "text", "N_TOKENS", "n_tokens_"]
-    assert {r[0]: r[3] for r in df.collect()} == want
+    for head in (token_counts.HEAD, 40, 0):  # all pre-tokens at the workers, some, none
+        df = token_counts.token_counts(docs(spark, texts).withColumn("N_TOKENS", F.lit(0)), path, head=head)
+        assert df.columns == ["doc_id", "text", "N_TOKENS", "n_tokens_"]
+        assert {r[0]: r[3] for r in df.collect()} == want
+    assert token_counts.token_counts(docs(spark, texts), path, keep_text=False).columns == ["doc_id", "n_tokens"]
+    table = token_counts.pre_token_table(docs(spark, texts), open(path).read())
+    assert {r["word"]: r["n"] for r in table.collect()} == Counter(w for t in texts for w in token_counts.pre_tokens(t))
+    for head in (1, 40, 500):
+        assert table.where(F.col("n") >= token_counts.head_from(table, head)).count() <= head
     assert token_counts.token_counts(docs(spark, []), path).count() == 0
 
 

@@ -78,14 +78,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.token_counts(docs, tokenizer_path("word_bpe_49k.json"), into="n_tokens")
-    return counted.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        "n_tokens",
-        (F.col("n_tokens") > 2048).alias("over_limit"),
-    )
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes)
+    counted = token_counts.token_counts(docs, tokenizer_path("word_bpe_49k.json"), into="n_tokens", keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 def digests(csv: str, decoded: bytes) -> dict:
