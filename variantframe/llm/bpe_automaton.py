@@ -6,11 +6,15 @@ merge (a, b) -> c then adds a gadget: the state p that the a-arcs lead to is
 copied without its b-arc, the a-arcs are led to the copy, and each state with
 an a-arc gets a c-arc to where a then b led before.  All arcs with one label
 lead to one state, so a state is a chain of copies and each copy records its
-parent, the label it lost and the merge that made it.  Arcs are looked up
-along these records and tabulated as they are used.
-
-A pre-split word is encoded by the one accepted path that spells it; decoding
-emits the arcs' labels.
+parent, the label it lost and the merge that made it.
+
+A deterministic table of byte transitions is compiled from the automaton.  Of
+every prefix of a word the automaton accepts one path, so reading a byte leads
+to one state, which knows the last arc of that path.  A state is the longest
+end of the prefix that begins a label, with the last arcs at the places inside
+it.  Transitions are compiled when they are first needed and tabulated; all of
+them together would not fit in memory.  A word is encoded by one transition a
+byte, then its arcs are read off from its end.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from .common import fresh, hold, ship
 
 #: Distinct chunks kept by a worker before it starts afresh.
 CHUNKS_KEPT = 400_000
-#: Arcs tabulated by a worker before it starts afresh.
-ARCS_KEPT = 400_000
+#: States of the byte table kept by a worker before it starts afresh.
+STATES_KEPT = 200_000
 #: Chunks longer than this are encoded but not kept.
 LONGEST_KEPT = 48
 #: A space after white space: such texts are not cut at spaces before they are split.
@@ -59,32 +63,78 @@ class Automaton:
         self.target = [0] * top  # state that the arcs with a label lead to
         self.made = [-1] * top  # merge that made the label, -1 for bytes
         self.first = [-1] * top  # its left part
-        self.table: dict[int, bool] = {}  # arcs looked up so far, by label before and label
         for k, (a, b) in enumerate(merges):
             self._gadget(k, a, b)
         self._index()
         self._spell()
 
     def _spell(self) -> None:
-        """Tables that read bytes: a trie of the labels, and each label's longest proper prefix that is a label."""
+        """A trie of the labels: its arcs, each node's depth and fall-back (the longest end of it that is a node), and the labels that end there."""
         self.step: dict[int, int] = {}
-        self.token_at = [-1]
+        self.depth, self.back = [0], [0]
+        own = [-1]
+        level: list[tuple[int, bytes]] = []
         for label, token in self.ids.items():
             node = 0
             for byte in label:
                 nxt = self.step.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.step[node << 8 | byte] = len(self.token_at)
-                    self.token_at.append(-1)
+                    nxt = self.step[node << 8 | byte] = len(own)
+                    own.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.back.append(0)
+                    level.append((node, byte))
                 node = nxt
-            self.token_at[node] = token
-        self.shorter, self.width = [-1] * len(self.target), [0] * len(self.target)
+            own[node] = token
+        self.width = [0] * len(self.target)
         for label, token in self.ids.items():
             self.width[token] = len(label)
-            for end in range(len(label) - 1, 0, -1):
-                if (prefix := self.ids.get(label[:end])) is not None:
-                    self.shorter[token] = prefix
-                    break
+        # Shorter nodes first: a node falls back to where its parent's fall-backs go by its byte.
+        order = sorted(range(1, len(own)), key=self.depth.__getitem__)
+        self.ends: list[int] = [-1] * len(own)  # longest label that ends the node
+        self.shorter: list[int] = [0] * len(own)  # next node along the fall-backs that has one
+        for node in order:
+            parent, byte = level[node - 1]
+            if parent:
+                self.back[node] = self._goto(self.back[parent], byte)
+            back = self.back[node]
+            self.ends[node] = own[node] if own[node] >= 0 else self.ends[back]
+            self.shorter[node] = (back if own[node] >= 0 else self.shorter[back]) if self.ends[node] >= 0 else 0
+        self._restart()
+
+    def _goto(self, node: int, byte: int) -> int:
+        while (nxt := self.step.get(node << 8 | byte)) is None:
+            if not node:
+                return 0
+            node = self.back[node]
+        return nxt
+
+    def _restart(self) -> None:
+        """An empty table; state 0 has read nothing."""
+        self.states: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
+        self.at: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
+        self.last = [-1]  # last arc of each state's path
+        self.delta: dict[int, int] = {}  # state and byte -> state
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte: the one label that ends there and may follow the arc before it."""
+        node, arcs = self.at[state]
+        node = end = self._goto(node, byte)
+        while True:
+            token = self.ends[end]
+            if token < 0:
+                raise ValueError(f"byte {byte} has no token")
+            before = arcs[-self.width[token]]
+            if before < 0 or self.has_arc(self.target[before], token):
+                break
+            end = self.shorter[end]
+        key = (node, (*arcs, token)[-self.depth[node] - 1 :])
+        to = self.states.setdefault(key, len(self.at))
+        if to == len(self.at):
+            self.at.append(key)
+            self.last.append(token)
+        self.delta[state << 8 | byte] = to
+        return to
 
     def _gadget(self, k: int, a: int, b: int) -> None:
         c = self.ids[self.labels[a] + self.labels[b]]
@@ -136,60 +186,22 @@ class Automaton:
             state = self.above[self.run[state]]
         return True
 
-    def follows(self, token: int, before: int) -> bool:
-        """Tabulated arcs: whether ``token`` may come after ``before``."""
-        key = before << 20 | token
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > ARCS_KEPT:
-                self.table.clear()
-            known = self.table[key] = self.has_arc(self.target[before], token)
-        return known
-
     def encode(self, word: bytes) -> list[int]:
-        """Tokens of a pre-split word: the accepted path that spells it.
-
-        Longer arcs are tried first.  A prefix has one accepted path, so a
-        position that was left once without success is not tried again.
-        """
-        whole = self.ids.get(word)
-        if whole is not None:
-            return [whole]
-        step, token_at, shorter, width, table = self.step, self.token_at, self.shorter, self.width, self.table
-        n, at, before = len(word), 0, -1
-        path: list[int] = []
-        dead: set[int] = set()
-        token = -2  # -2: look up the longest arc from here
-        while at < n:
-            if token == -2:
-                node, token, i = 0, -1, at
-                while i < n:
-                    node = step.get(node << 8 | word[i])
-                    if node is None:
-                        break
-                    i += 1
-                    if token_at[node] >= 0:
-                        token = token_at[node]
-            while token >= 0:
-                end = at + width[token]
-                if end not in dead:
-                    if before < 0:
-                        break
-                    known = table.get(before << 20 | token)
-                    if known or known is None and self.follows(token, before):
-                        break
-                token = shorter[token]
-            if token >= 0:
-                path.append(token)
-                before, at, token = token, end, -2
-            elif path:
-                dead.add(at)
-                token = path.pop()
-                at -= width[token]
-                before = path[-1] if path else -1
-                token = shorter[token]
-            else:
-                raise ValueError(f"byte without a token at {at} of {word[:40]!r}")
+        """Tokens of a pre-split word."""
+        if len(self.at) > STATES_KEPT:
+            self._restart()
+        delta, last, width = self.delta, self.last, self.width
+        state, arcs = 0, []
+        for byte in word:
+            to = delta.get(state << 8 | byte)
+            state = self._compile(state, byte) if to is None else to
+            arcs.append(last[state])
+        path, end = [], len(word)
+        while end:
+            token = arcs[end - 1]
+            path.append(token)
+            end -= width[token]
+        path.reverse()
         return path
 
 
