@@ -197,6 +197,37 @@ def test_scripts_narrow_candidates():
     assert language.script("a") == "latin" and language.script("я") == "cyrillic" and language.script("1") == "other" and language.script("中") == "han"
 
 
+def test_language_of_most_words_wins():
+    de = "der hund und die katze gehen über die straße nach hause wo das kind mit dem ball spielt".split()
+    en = "the dog and the cat walk over the street back home where the child plays with the ball".split()
+    model = language.train([("de", " ".join(de * 30)), ("en", " ".join(en * 30))])
+    got = language.identify_block([" ".join(de[:6] + en * 4 + de[6:12]), " ".join(en[:6] + de * 4 + en[6:12]), "кошка и собака", "x1 12"], model, {})
+    assert [r["lang"] for r in got[:2]] == ["en", "de"] and 0.7 < got[0]["score"] < 0.95
+    assert [s["lang"] for s in got[0]["spans"]] == ["de", "en", "de"]
+    assert got[2]["lang"] == "de" and got[2]["score"] == 0.0
+
+
+def test_letters_beyond_the_classes_tell_languages_apart():
+    rng = random.Random(5)
+    one, two = [[chr(0x4E00 + 2 * i + k) for i in range(900)] for k in (0, 1)]  # two languages of one script
+    text = lambda pool: " ".join("".join(rng.choice(pool) for _ in range(3)) for _ in range(3000))
+    model = language.train([("a", text(one)), ("b", text(two))])
+    assert len(model.letters) == 1800 and model.scripts.sum() == 2
+    got = language.identify_block([text(one[:500])[:400], text(two[200:])[:400]], model, {})
+    assert [r["lang"] for r in got] == ["a", "b"]
+
+
+def test_language_learns_from_bounded_samples(spark, monkeypatch):
+    rows = [(i, "the cat sat" if i % 3 else "der hund lief", "en" if i % 3 else "de") for i in range(900)] + [(5000, None, "fr"), (5001, "mot", None), (None, "x", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(language, "train_words", seen.update)
+    language.fit(d, sample=100)
+    assert set(seen) == {"en", "de"} and all(60 <= w.most_common(1)[0][1] <= 100 for w in seen.values())
+    language.fit(d, sample=10_000)
+    assert seen["en"]["cat"] == 600 and seen["de"]["hund"] == 300
+
+
 # ---- mixing ----------------------------------------------------------------
 
 

@@ -3,9 +3,12 @@
 A word's script, told from character ranges, narrows its candidate languages;
 a character model of each candidate scores the word once however often it
 occurs; Viterbi over a text's words, with a penalty for every switch, labels
-spans.  The text's language is the one that labels most of its words, but a
-text that begins and ends in one language is in that language, whatever
-passage it holds in between.
+spans.  The text's language is the one whose spans hold most of its words.
+
+A character model is one of 63 letter classes times one of letters within a
+class.  The commonest letters are classes of their own, the others share the
+rest by hash; no letter that was learned is left out, so scripts of thousands
+of letters are told apart too.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, hold, ship
@@ -29,11 +32,12 @@ SWITCH = 9.0
 FLOOR = -14.0
 #: A script belongs to a language if it has this share of its letters.
 SCRIPT_SHARE = 0.02
-#: A language at both ends of a text is the text's if it labels this share of the words.
-FRAME = 0.1
 #: Documents labelled at a time, and word scores kept by a worker before it starts afresh.
 BLOCK, KEPT = 2048, 350_000
-_CODES = 64
+#: Letter classes: 0 beyond a word's ends, the last for letters never seen; letters with a class of their own.
+_CODES, OWN = 64, 48
+#: Frequency steps to a doubling by which documents are picked.
+STEPS = 16
 
 #: First code points of script ranges, in order.
 SCRIPTS = [
@@ -78,23 +82,28 @@ def script(character: str) -> str:
 @dataclass
 class Model:
     languages: list[str]
-    letters: str
-    tables: np.ndarray  # log probability of a character after two others, by language
+    letters: str  # all letters learned, commonest first
+    within: np.ndarray  # log probability of a letter in its class, by letter and language; the last row is for others
+    tables: np.ndarray  # log probability of a class after two others, by language
     scripts: np.ndarray  # candidates: script by language
-    code: np.ndarray = field(init=False, repr=False)
+    points: np.ndarray = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        self.code = np.full(0x3000, _CODES - 1, np.int32)
-        for i, c in enumerate(self.letters):
-            if ord(c) < len(self.code):
-                self.code[ord(c)] = i + 1
-        self.rare = [(ord(c), i + 1) for i, c in enumerate(self.letters) if ord(c) >= len(self.code)]
+        found = np.array([ord(c) for c in self.letters] or [0], np.uint32)
+        self.order = np.argsort(found)
+        self.points = found[self.order]
+        self.classes = np.append(letter_classes(self.letters), _CODES - 1).astype(np.int32)
+        self.plain = not self.within.any()  # every letter is alone in its class
+
+    def known(self, points: np.ndarray) -> np.ndarray:
+        """Place of each code point among the letters; the number of letters for others."""
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return np.where(self.points[at] == points, self.order[at], len(self.letters))
+
 
-    def codes(self, points: np.ndarray) -> np.ndarray:
-        out = self.code[np.minimum(points, len(self.code) - 1)]
-        for p, i in self.rare:
-            out[points == p] = i
-        return out
+def letter_classes(letters: str) -> np.ndarray:
+    """Classes of letters, commonest first: own ones for the first, shared ones by hash for the rest."""
+    return np.array([i + 1 if i < OWN or len(letters) <= _CODES - 2 else OWN + 1 + ord(c) * 2654435761 % (1 << 32) % (_CODES - 2 - OWN) for i, c in enumerate(letters)], np.int32)
 
 
 def core(word: str) -> str:
@@ -137,7 +146,8 @@ def score_words(words: list[str], model: Model) -> np.ndarray:
     flat = model.tables.reshape(k, -1)
     for ids, points in _batches(cores):
         real = points > 0
-        codes = np.where(real, model.codes(points), 0)
+        letter = model.known(points)
+        codes = np.where(real, model.classes[letter], 0)
         rows, width = codes.shape
         padded = np.zeros((rows, width + 3), np.int32)
         padded[:, 2 : width + 2] = codes
@@ -145,10 +155,12 @@ def score_words(words: list[str], model: Model) -> np.ndarray:
         counts = np.ones((rows, width + 1), bool)
         counts[:, 1:] = real  # the characters, and the end after the last
         got = np.stack([(np.where(counts, t[context], 0)).sum(axis=1) for t in flat], axis=1)
+        if not model.plain:
+            got += np.stack([(np.where(real, model.within[:, j][letter], 0)).sum(axis=1) for j in range(k)], axis=1)
         which = _IDS[np.searchsorted(_STARTS, points[:, 0], "right") - 1]
         allowed = model.scripts[which]
-        allowed |= ~allowed.any(axis=1)[:, None]
         got[~allowed] = -1e9
+        got[~allowed.any(axis=1)] = 0  # a script that no language has
         got -= got.max(axis=1)[:, None]
         got = np.maximum(got, FLOOR)
         got[~real[:, 0]] = 0
@@ -189,37 +201,53 @@ def label_words(scores: np.ndarray, begins: np.ndarray, switch: float = SWITCH)
     return label
 
 
+def text_cores(text: str | None) -> Counter:
+    return Counter(filter(None, map(core, (text or "").split())))
+
+
 def train(texts: list[tuple[str, str]]) -> Model | None:
     """Model from pairs of language and text; None without any letters."""
     words: dict[str, Counter] = {}
     for lang, text in texts:
-        words.setdefault(lang, Counter()).update(filter(None, map(core, (text or "").split())))
+        words.setdefault(lang, Counter()).update(text_cores(text))
+    return train_words(words)
+
+
+def train_words(words: dict[str, Counter]) -> Model | None:
+    """Model from each language's words and their frequencies."""
     languages = sorted(lang for lang in words if words[lang])
     if not languages:
         return None
-    chars: Counter[str] = Counter()
+    share: Counter[str] = Counter()
     scripts = np.zeros((len(_NAMES), len(languages)), bool)
+    own: list[Counter[str]] = []
     for j, lang in enumerate(languages):
-        own: Counter[str] = Counter()
+        own.append(Counter())
         for w, n in words[lang].items():
             for c in w:
-                own[c] += n
-        total = sum(own.values())
+                own[j][c] += n
+        total = sum(own[j].values())
         by = Counter()
-        for c, n in own.items():
+        for c, n in own[j].items():
             if c.isalpha():
                 by[script(c)] += n
-            chars[c] += n / total
+                share[c] += n / total
         for name, n in by.items():
             scripts[_NAMES.index(name), j] = n >= SCRIPT_SHARE * total
-    letters = "".join(c for c, _ in sorted(chars.items(), key=lambda t: (-t[1], t[0])) if c.isalpha())[: _CODES - 2]
-    model = Model(languages, letters, np.zeros((len(languages),) + (_CODES,) * 3, np.float32), scripts)
+    letters = "".join(c for c, _ in sorted(share.items(), key=lambda t: (-t[1], t[0])))
+    k = len(languages)
+    model = Model(languages, letters, np.zeros((len(letters) + 1, k)), np.zeros((k,) + (_CODES,) * 3, np.float32), scripts)
+    size = np.bincount(model.classes, minlength=_CODES)  # letters of each class
     for j, lang in enumerate(languages):
+        count = np.array([*[own[j][c] for c in letters], 0], float)
+        total = np.bincount(model.classes, count, _CODES)
+        p = (count + 0.5) / (total + 0.5 * size)[model.classes]
+        model.within[:-1, j] = np.where(size[model.classes[:-1]] > 1, np.log(p[:-1]), 0.0)
         three = np.zeros((_CODES,) * 3)
         vocabulary = list(words[lang])
         counts = np.array([words[lang][w] for w in vocabulary], float)
         for ids, points in _batches(vocabulary):
-            codes = np.where(points > 0, model.codes(points), 0)
+            codes = np.where(points > 0, model.classes[model.known(points)], 0)
             padded = np.zeros((len(codes), codes.shape[1] + 3), np.int64)
             padded[:, 2:-1] = codes
             used = np.ones((len(codes), codes.shape[1] + 1), bool)
@@ -231,21 +259,51 @@ def train(texts: list[tuple[str, str]]) -> Model | None:
         p2 = (two + 3 * p1) / (two.sum(axis=1, keepdims=True) + 3)
         p3 = (three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5)
         model.tables[j] = np.log(p3)
+    model.plain = not model.within.any()
     return model
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their frequencies by language of a task's texts."""
+    seen: dict[str, Counter] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen.setdefault(lang, Counter()).update(text_cores(text))
+    for lang, words in seen.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+
+
 def fit(docs: DataFrame, allowed: Column | None = None, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Learn from at most ``sample`` documents of each language, those with the smallest id hashes.
 
-    Null languages and texts are left out.  Only ids and languages are
-    shuffled; the texts of the picked rows are collected.
+    Null languages, texts and ids are left out; rows that share an id are one
+    pick and all learned from.  Documents are counted by language and by steps
+    of their hash, and each language's steps are taken while they fit, so no
+    task ranks a language.  Words are counted where the texts are; only words
+    and frequencies are collected.
     """
+    ship(docs.sparkSession)
     known = (docs if allowed is None else docs.where(allowed)).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang_").orderBy("hash_", "id_"))
-    ids = known.select(F.col(id).alias("id_"), F.col(lang).alias("lang_"), F.xxhash64(id).alias("hash_")).withColumn("rank_", rank).where(F.col("rank_") <= sample)
-    ids = F.broadcast(ids.select("id_", "lang_").distinct())  # at most sample rows a language
-    got = known.join(ids, (F.col(id) == F.col("id_")) & (F.col(lang) == F.col("lang_"))).select("id_", "lang_", F.col(text).alias("text_")).collect()
-    return train([(r["lang_"], r["text_"]) for r in sorted(got, key=lambda r: (r["lang_"], str(r["id_"]), r["text_"]))])
+    # Steps from 0 (the smallest hashes) on are equal shares of a logarithm, fine where hashes are few.
+    place = (F.pmod(F.xxhash64(id), F.lit(1 << 52)).cast("double") + 1) / float(1 << 52)
+    known = known.select(F.col(lang).alias("lang_"), F.col(text).cast("string").alias("text_"), F.floor(F.log2(place) * STEPS).cast("int").alias("step_"))
+    picked: dict[str, int] = {}
+    taken: Counter[str] = Counter()
+    full: set[str] = set()
+    for r in known.groupBy("lang_", "step_").count().orderBy("lang_", "step_").collect():  # some hundred rows a language
+        if r["lang_"] in full or taken[r["lang_"]] + r["count"] > sample and taken[r["lang_"]]:
+            full.add(r["lang_"])
+            continue
+        taken[r["lang_"]] += r["count"]
+        picked[r["lang_"]] = r["step_"]
+    if not picked:
+        return None
+    steps = F.broadcast(docs.sparkSession.createDataFrame(list(picked.items()), "lang_ string, until_ int"))  # a row a language
+    rows = known.join(steps, "lang_").where("step_ <= until_").select("lang_", "text_")
+    words: dict[str, Counter] = {}
+    for r in rows.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        words.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    return train_words({lang: Counter(dict(sorted(w.items()))) for lang, w in words.items()})
 
 
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))])
@@ -272,6 +330,7 @@ def identify_block(texts: list[str | None], model: Model, known: dict[str, np.nd
     begins = np.cumsum([0, *map(len, split)])
     label = label_words(table[index], begins, switch) if len(index) else np.zeros(0, np.int16)
     counted = lettered[index] if len(index) else np.zeros(0, bool)
+    speaks = counted & (table[index].min(axis=1) < 0) if len(model.languages) > 1 and len(index) else counted  # words that tell languages apart
     out = []
     for i in range(len(texts)):
         a, b = begins[i], begins[i + 1]
@@ -280,10 +339,8 @@ def identify_block(texts: list[str | None], model: Model, known: dict[str, np.nd
             out.append({"lang": "und", "score": 0.0, "spans": []})
             continue
         best = int(votes.argmax())
-        edges = label[a:b][counted[a:b]]
-        if edges[0] == edges[-1] and votes[edges[0]] >= FRAME * votes.sum():
-            best = int(edges[0])
-        row = {"lang": model.languages[best], "score": float(votes[best] / votes.sum()), "spans": []}
+        told = np.bincount(label[a:b][speaks[a:b]], minlength=len(model.languages))[best]
+        row = {"lang": model.languages[best], "score": float(told / votes.sum()), "spans": []}
         if spans:
             cut = [0, *(np.flatnonzero(np.diff(label[a:b])) + 1).tolist(), int(b - a)]
             row["spans"] = [{"first": p, "last": q - 1, "lang": model.languages[label[a + p]]} for p, q in zip(cut, cut[1:], strict=False)]
@@ -292,10 +349,11 @@ def identify_block(texts: list[str | None], model: Model, known: dict[str, np.nd
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", into: str = "language", switch: float = SWITCH, spans: bool = True) -> DataFrame:
-    """Add struct ``into``: lang, score (share of its words), spans (first and last word from 0, lang).
+    """Add struct ``into``: lang, score (share of words in it, of those that tell languages apart), spans (first and last word from 0, lang).
 
     A text that is null or has no letter, and every text if nothing was
-    learned, is `und` with score 0.  Ties go to the language that sorts first.
+    learned, is `und` with score 0.  Ties go to the language that sorts first; a
+    text in a script that no language has scores 0.
     Repeated rows are labelled alike; very long texts are read whole; an empty
     table stays empty; other columns are kept and ``into`` gets underscores if
     the name is taken.
@@ -304,7 +362,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", into: str =
     if model is None:
         return df.withColumn(into, F.expr("struct('und' AS lang, 0D AS score, cast(array() AS array<struct<first: int, last: int, lang: string>>) AS spans)"))
     ship(df.sparkSession)
-    mark = hash((tuple(model.languages), model.letters, model.tables.tobytes()))
+    mark = hash((tuple(model.languages), model.letters, model.tables.tobytes(), model.within.tobytes()))
 
     @F.arrow_udf(DDL)
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
