@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh, hold, ship
 
-#: Distinct chunks kept by a worker before it starts afresh.
-CHUNKS_KEPT = 400_000
-#: States of the byte table kept by a worker before it starts afresh.
-STATES_KEPT = 200_000
+#: Distinct chunks, and pre-split words, kept by a worker in each of two generations; what is used again passes to the younger.
+CHUNKS_KEPT = 150_000
+#: States of the byte table, and arcs looked up, kept by a worker before it starts afresh.
+STATES_KEPT, ARCS_KEPT = 200_000, 300_000
 #: Chunks longer than this are encoded but not kept.
 LONGEST_KEPT = 48
 #: A space after white space: such texts are not cut at spaces before they are split.
@@ -110,30 +110,38 @@ class Automaton:
         return nxt
 
     def _restart(self) -> None:
-        """An empty table; state 0 has read nothing."""
+        """An empty table; state 0 has read nothing, others are numbered in steps of 256."""
         self.states: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
         self.at: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
         self.last = [-1]  # last arc of each state's path
+        self.arcs: dict[int, bool] = {}  # arcs looked up, by label before and label
         self.delta: dict[int, int] = {}  # state and byte -> state
 
     def _compile(self, state: int, byte: int) -> int:
         """The transition of a state by a byte: the one label that ends there and may follow the arc before it."""
-        node, arcs = self.at[state]
+        node, arcs = self.at[state >> 8]
         node = end = self._goto(node, byte)
         while True:
             token = self.ends[end]
             if token < 0:
                 raise ValueError(f"byte {byte} has no token")
             before = arcs[-self.width[token]]
-            if before < 0 or self.has_arc(self.target[before], token):
+            if before < 0:
+                break
+            arc = self.arcs.get(before << 20 | token)
+            if arc is None:
+                if len(self.arcs) > ARCS_KEPT:
+                    self.arcs.clear()
+                arc = self.arcs[before << 20 | token] = self.has_arc(self.target[before], token)
+            if arc:
                 break
             end = self.shorter[end]
         key = (node, (*arcs, token)[-self.depth[node] - 1 :])
-        to = self.states.setdefault(key, len(self.at))
-        if to == len(self.at):
+        to = self.states.setdefault(key, len(self.at) << 8)
+        if to >> 8 == len(self.at):
             self.at.append(key)
             self.last.append(token)
-        self.delta[state << 8 | byte] = to
+        self.delta[state + byte] = to
         return to
 
     def _gadget(self, k: int, a: int, b: int) -> None:
@@ -190,15 +198,15 @@ class Automaton:
         """Tokens of a pre-split word."""
         if len(self.at) > STATES_KEPT:
             self._restart()
-        delta, last, width = self.delta, self.last, self.width
-        state, arcs = 0, []
+        step, last, width = self.delta.get, self.last, self.width
+        state, states = 0, []
         for byte in word:
-            to = delta.get(state << 8 | byte)
+            to = step(state + byte)
             state = self._compile(state, byte) if to is None else to
-            arcs.append(last[state])
+            states.append(state)
         path, end = [], len(word)
         while end:
-            token = arcs[end - 1]
+            token = last[states[end - 1] >> 8]
             path.append(token)
             end -= width[token]
         path.reverse()
@@ -224,10 +232,21 @@ class Codec:
         self.split = regex.compile(PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.chunks: dict[str, str] = {}  # after a space
+        self.older: dict[str, str] = {}
+        self.words: dict[str, str] = {}  # pre-split
+        self.older_words: dict[str, str] = {}
 
     def _plain(self, text: str) -> str:
-        encode = self.automaton.encode
-        return ",".join([str(i) for w in self.split(text) for i in encode(w.encode())])
+        words = self.words
+        return ",".join([words.get(w) or self._word(w) for w in self.split(text)])
+
+    def _word(self, word: str) -> str:
+        got = self.older_words.get(word) or ",".join(map(str, self.automaton.encode(word.encode())))
+        if len(word) <= LONGEST_KEPT:
+            if len(self.words) >= CHUNKS_KEPT:
+                self.older_words, self.words = self.words, {}
+            self.words[word] = got
+        return got
 
     def _segment(self, text: str) -> str:
         if _RUN.search(text) or text[-1] == " " or text[0] == " ":
@@ -241,10 +260,12 @@ class Codec:
         return ",".join([self._plain(head), *done])
 
     def _chunk(self, part: str) -> str:
-        got = self._plain(" " + part)
+        got = self.older.get(part)
+        if got is None:
+            got = self._plain(" " + part)
         if len(part) <= LONGEST_KEPT:
-            if len(self.chunks) > CHUNKS_KEPT:
-                self.chunks.clear()
+            if len(self.chunks) >= CHUNKS_KEPT:
+                self.older, self.chunks = self.chunks, {}
             self.chunks[part] = got
         return got
 
