@@ -1,8 +1,10 @@
 """Corpus operators on texts: brute force, libraries, held-out rows, edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from variantframe.llm import bpe_automaton, html_extract, language, minhash, mixing, quality, queries, shingles, token_counts, toxicity
+from variantframe.llm import bpe_automaton, common, html_extract, language, minhash, mixing, quality, queries, shingles, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 EDGES = [None, "", " \n\t ", "a", "x" * 5000, "Same text here. " * 40, "Same text here. " * 40, "ünï cödé — 中文 😀 \x1c sep <|endoftext|> end", "a\n\na\n \nb\r\nb", "one two three four " * 3000]
@@ -294,6 +296,59 @@ def test_html_on_known_layouts(spark):
     assert html_extract.extract(spark.createDataFrame([], "html string")).count() == 0
 
 
+def test_html_on_plain_layouts():
+    p = "The river rose after the long rain, and the town waited. People moved their cars to higher ground. By morning the water had gone down again, leaving mud in every street."
+    q = "Nobody was hurt, said the mayor. The repairs will take weeks and cost more than last year."
+    pages = {
+        f"<article><p>{p}</p></article>": [p],
+        f"<table><tr><td><p>{p}</p><p>{q}</p></td></tr></table>": [p, q],
+        f"<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><p>{p}</p><p>{q}</p></td></tr></table>": [p, q],
+        f"<div id=content><h2>Flood in town</h2><div class=text>{p}</div></div>": ["Flood in town", p],
+        f"<html><body><div id=content><h2>Flood in town</h2><div class=text><p>{p}</p><p>{q}</p></div></div></body></html>": ["Flood in town", p, q],
+        f"<p>{p}</p>": [p],
+        p: [p],
+        f"<html><body><p>{p}<p>{q}</body></html>": [p, q],
+        f"<article><p>{p}</p><p>{q} <svg><text>x</text></svg> End.</p></article>": [p, q + " End."],
+    }
+    got = html_extract.extract_block(list(pages), html_extract.train())
+    assert [g.split("\n") for g in got] == list(pages.values())
+
+
+def test_broken_markup_keeps_text_and_takes_linear_time():
+    texts = lambda page: [r for _, r in sorted((k, r) for n in html_extract.parse(page) for k, r in zip(n.order, n.runs))]
+    assert texts("<p>a</p><![CDATA[hello world") == ["a", "hello world"] and texts("<![CDATA[a<b]]>c") == ["a<bc"]
+    assert texts('<p class="x>a</p><p>b</p>') == ["a", "b"] and texts("<p>1 < 2 <3</p></><b>c</b>") == ["1 < 2 <3", "c"]
+    assert texts("<p>a<!-- <p>b</p> --><b>c</b></p><script>x</script>d<!--e") == ["ac", "d"]
+    assert texts("<ul><li>a<ul><li>b<li>c</ul><li>d</ul></b>e</div>f") == ["a", "b", "c", "d", "ef"]
+    for broken in ("<a " * 85_000, "<div>" * 20_000 + "</p>" * 20_000, "<div>" * 20_000 + "<li>x</li>" * 20_000, "<p \"'" * 40_000, "<a><div>" + "<b>" * 40_000 + "</a>" * 40_000, "<![CDATA[" * 30_000):
+        began = time.perf_counter()
+        html_extract.parse(broken)
+        assert time.perf_counter() - began < 2
+
+
+def test_decoding_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        nodes = [html_extract.Node("div", None)]
+        for _ in range(int(rng.integers(0, 7))):
+            nodes.append(html_extract.Node("div", nodes[int(rng.integers(len(nodes)))]))
+        for x in nodes:
+            x.own = int(rng.integers(0, 300))
+        margin = rng.normal(size=len(nodes)) * 3
+        gain = np.clip(margin, -4, 4) * np.array([0.3 + min(x.own, 2500) ** 0.5 / 10 for x in nodes])
+        up = [nodes.index(x.parent) if x.parent is not None else -1 for x in nodes]
+        best = 0.0
+        for taken in itertools.product((0, 1), repeat=len(nodes)):
+            left = [0] * len(nodes)  # whether main text was left on the way to the node
+            fine = True
+            for i, p in enumerate(up):
+                left[i] = p >= 0 and (left[p] or taken[p] and not taken[i])
+                fine &= not (taken[i] and left[i])
+            if fine:
+                best = max(best, float(np.array(taken) @ gain))
+        assert html_extract.decode(nodes, margin) @ gain == pytest.approx(best)
+
+
 def test_html_held_out_layouts():
     forest = html_extract.train()
     maker = html_extract._Maker(4321)
@@ -334,7 +389,7 @@ def test_token_counts_equal_library(spark):
     table = token_counts.pre_token_table(docs(spark, texts), open(path).read())
     assert {r["word"]: r["n"] for r in table.collect()} == Counter(w for t in texts for w in token_counts.pre_tokens(t))
     for head in (1, 40, 500):
-        assert table.where(F.col("n") >= token_counts.head_from(table, head)).count() <= head
+        assert table.where(F.col("n") >= common.least_frequency(table, head)).count() <= head
     assert token_counts.token_counts(docs(spark, []), path).count() == 0
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import fresh, ship
 
 #: Pages that the trees are trained on.
-PAGES = 1400
+PAGES = 2000
 TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.2, 32, 20
 #: Pages rated at a time.
 BLOCK = 128
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile("[>\"']")
 _ATTR = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -55,6 +57,8 @@ _ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+#: Elements without text of their own that stand inside a line and don't end its block.
+_GONE_INLINE = {"select", "option", "button", "object", "canvas", "audio", "video", "svg", "math", "noscript", "template"}
 _SCOPE = {"table", "td", "th", "button", "html", "object", "template", "caption", "noscript"}
 #: Attribute words that speak for main text, and those that speak against it.
 _FOR = set("article articlebody body content entry main post prose story text".split())
@@ -102,14 +106,83 @@ class Node:
         self.order: list[int] = []  # their places on the page
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Place of the `>` that ends a tag; -1 if the page ends before.  Quotes that never close count as plain characters."""
+    while m := _QUOTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            return page.find(">", m.end())
+        at = close + 1
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Text, CDATA and tags in order: kind (`text`, `cdata`, `open` or `close`), text or tag name, attributes.
+
+    Comments, declarations and a tag that the page's end cuts off are left out,
+    as is what stands in elements of raw text.  Every step moves on, so time
+    grows with the page.
+    """
+    at, end = 0, len(page)
+    look = 0
+    while (i := page.find("<", look)) >= 0:
+        mark = page[i + 1 : i + 2]
+        m = _NAME.match(page, i + 1)
+        if m is None and mark not in ("!", "?", "/"):
+            look = i + 1
+            continue
+        if i > at:
+            yield "text", page[at:i], ""
+        if m is not None:
+            stop = _tag_end(page, m.end())
+            if stop < 0:
+                return
+            at = stop + 1
+            name = m[2].lower()
+            if m[1]:
+                yield "close", name, ""
+            elif name in _RAW:
+                close = re.compile(f"</{name}[\\s/>]", re.I).search(page, at)
+                stop = page.find(">", close.start()) if close else -1
+                at = stop + 1 if stop >= 0 else end
+            else:
+                yield "open", name, page[m.end() : stop]
+        elif page.startswith("<!--", i):
+            stop = page.find("-->", i + 2)
+            at = stop + 3 if stop >= 0 else end
+        elif page.startswith("<![CDATA[", i):
+            stop = page.find("]]>", i + 9)
+            yield "cdata", page[i + 9 : stop if stop >= 0 else end], ""
+            at = stop + 3 if stop >= 0 else end
+        else:
+            stop = page.find(">", i)
+            at = stop + 1 if stop >= 0 else end
+        look = at
+    if at < end:
+        yield "text", page[at:], ""
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element: its node (the nearest block's for inline ones), and places in the stack of the nearest open `p` within reach and the nearest block."""
+
+    name: str
+    node: Node
+    p: int
+    block: int
+
+
 def parse(page: str | None) -> list[Node]:
     """Block nodes of a page in order, the root first; each holds its text blocks."""
     root = Node("html", None)
     nodes = [root]
     if not page:
         return nodes
-    stack: list[tuple[str, Node]] = [("html", root)]
-    owner, inside_link, place = root, 0, 0
+    stack = [_Open("html", root, 0, 0)]
+    where: dict[str, list[int]] = {}  # places in the stack of each kind of open element
+    owner, inside_link, hidden, place = root, 0, 0, 0
     buffer: list[str] = []
     linked = 0
 
@@ -126,102 +199,73 @@ def parse(page: str | None) -> list[Node]:
             buffer.clear()
             linked = 0
 
+    def push(name: str, node: Node) -> None:
+        nonlocal owner, inside_link, hidden
+        top, at = stack[-1], len(stack)
+        stack.append(_Open(name, node, at if name == "p" else 0 if name in _SCOPE else top.p, at if node is not owner else top.block))
+        where.setdefault(name, []).append(at)
+        inside_link += name == "a"
+        hidden += name in _GONE_INLINE
+        owner = node
+
     def pop(to: int) -> None:
-        nonlocal owner, inside_link
-        for name, _ in stack[to:]:
-            inside_link -= name == "a"
-            if name in _BLOCK:
-                flush()
+        nonlocal owner, inside_link, hidden
+        if stack[-1].block >= to:
+            flush()
+        for x in stack[to:]:
+            where[x.name].pop()
+            inside_link -= x.name == "a"
+            hidden -= x.name in _GONE_INLINE
         del stack[to:]
-        owner = stack[-1][1]
-
-    def open_p() -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == "p":
-                return i
-            if stack[i][0] in _SCOPE:
-                return 0
-        return 0
-
-    at, end = 0, len(page)
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            piece = page[at : m.start()]
-            buffer.append(piece)
-            if inside_link:
-                linked += len(piece)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                buffer.append(m[0][9:-3].replace("&", "&amp;"))
-            continue
-        tag = name.lower()
-        if m[1]:
+        owner = stack[-1].node
+
+    def innermost(names: set[str]) -> int:
+        return max([where[x][-1] for x in names if where.get(x)], default=0)
+
+    for kind, tag, attributes in tokens(page):
+        if kind in ("text", "cdata"):
+            if not hidden:
+                buffer.append(tag if kind == "text" else tag.replace("&", "&amp;"))
+                if inside_link:
+                    linked += len(tag)
+        elif kind == "close":
             if tag == "br":
                 buffer.append(" ")
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+            elif where.get(tag):
+                i = where[tag][-1]
+                if tag in _BLOCK or stack[-1].block <= i:  # an inline end tag doesn't end a block
                     pop(i)
-                    break
-                if stack[i][0] in _BLOCK and tag not in _BLOCK:
-                    break
-            continue
-        if tag in _VOID:
+        elif tag in _VOID:
             if tag == "hr":
-                if i := open_p():
-                    pop(i)
+                if stack[-1].p:
+                    pop(stack[-1].p)
                 flush()
             elif tag in ("br", "img", "input"):
                 buffer.append(" ")
-            continue
-        if tag == "html" or tag == "body" and any(t == "body" for t, _ in stack):
-            continue
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            stop = close.start() if close else end
-            at = page.find(">", stop) + 1 if close else end
-            at = at or end
-            continue
-        if tag in _ENDS_P and (i := open_p()):
-            pop(i)
-        if tag in _ENDS:
-            kinds, walls = _ENDS[tag]
-            first = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in walls:
-                    break
-                if stack[i][0] in kinds:
-                    first = i
-            if first:
-                pop(first)
-        if tag in _BLOCK or tag in _GONE or tag not in _INLINE:
-            flush()
-            node = Node(tag, owner, m[3])
-            owner.kids.append(node)
-            nodes.append(node)
-            owner = node
-            stack.append((tag, node))
+        elif tag == "html" or tag == "body" and where.get("body"):
+            root.marked |= attributes.endswith(MARK)
         else:
-            inside_link += tag == "a"
-            stack.append((tag, owner))
-    if at < end:
-        rest = page[at:]
-        cut = re.search(r"<(?:/?[a-zA-Z]|!)[^>]*\Z", rest)  # a tag that the page's end cuts off
-        buffer.append(rest[: cut.start()] if cut else rest)
+            if tag in _ENDS_P and stack[-1].p:
+                pop(stack[-1].p)
+            if tag in _ENDS:
+                kinds, walls = _ENDS[tag]
+                wall = innermost(walls)
+                inside = [w[k] for x in kinds if (w := where.get(x)) and (k := bisect_right(w, wall)) < len(w)]
+                if inside:
+                    pop(min(inside))
+            if tag in _BLOCK or tag in _GONE and tag not in _GONE_INLINE:
+                flush()
+                node = Node(tag, owner, attributes)
+                node.gone |= hidden > 0
+                owner.kids.append(node)
+                nodes.append(node)
+                push(tag, node)
+            else:
+                push(tag, owner)
     flush()
     return nodes
 
 
-_INLINE = {
-    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "meter", "nobr", "output", "picture",
-    "progress", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
-}
-
-
 def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
     index = {id(x): i for i, x in enumerate(nodes)}
@@ -494,9 +538,53 @@ class _Maker:
             return f"<main{self.attr('main content', 0.3)}{self.mark(True)}>{body}</main>"
         return f"<div{self.attr('content article post entry-content story-body main post-body text', 0.85)}{self.mark(True)}>{body}</div>"
 
+    def blocks(self, least: int = 1) -> str:
+        """Main blocks without an element around them."""
+        r = self.r
+        parts = [f"<h{(h := r.choice((1, 2, 2, 3)))}{self.mark(True)}>{self.words(1, 10, False)}</h{h}>"] if r.random() < 0.5 else []
+        return "".join(parts + [self.paragraph(True) for _ in range(r.choice((least, least, 2, 3, 6)))])
+
+    def running(self) -> str:
+        """Text without elements around its paragraphs."""
+        r = self.r
+        return r.choice(("<br><br>", "<br>", " ", "\n\n")).join(self.inline(self.words(6, 120)) for _ in range(r.choice((1, 1, 2, 4))))
+
+    def plain_article(self) -> str:
+        """Main text in nested, tabular or no elements."""
+        r = self.r
+        k = r.random()
+        if k < 0.3:
+            inner = r.choice((self.blocks, self.running))()
+            head = f"<h{(h := r.choice((1, 2, 3)))}{self.mark(True)}>{self.words(1, 9, False)}</h{h}>" if r.random() < 0.7 else ""
+            return f"<div{self.attr('content main page-content wrapper article', 0.7)}{self.mark(True)}>{head}<div{self.attr('text body inner copy content col', 0.7)}{self.mark(True)}>{inner}</div></div>"
+        if k < 0.45:
+            return f"<main{self.mark(True)}>" + "".join(f"<section{self.mark(True)}>{self.blocks()}</section>" for _ in range(r.randint(1, 4))) + "</main>"
+        if k < 0.75:
+            main = f"<td{self.mark(True)}>{r.choice((self.blocks, self.running))()}</td>"
+            side = f"<td{self.attr('side nav menu left', 0.4)}>{self.links(2, 8)}</td>"
+            cells = [main] if r.random() < 0.4 else r.sample([main, side], 2)
+            top = f"<tr><td>{self.box('nav') if r.random() < 0.5 else self.words(1, 5, False)}</td></tr>" if r.random() < 0.3 else ""
+            return f"<table{self.attr('layout', 0.2)}>{top}<tr>{''.join(cells)}</tr></table>"
+        tag = r.choice(("div", "article", "section", "main"))
+        return f"<{tag}{self.mark(True)}>{r.choice((self.blocks, self.running))()}</{tag}>"
+
+    def bare_page(self) -> str:
+        """A page or fragment that holds little but its text."""
+        r = self.r
+        k = r.random()
+        if k < 0.25:
+            return f"<html{MARK}>{self.running()}"
+        if k < 0.5:
+            return r.choice((f"<html{MARK}>", "")) + self.blocks()
+        inner = self.plain_article() if k < 0.75 else r.choice((self.blocks, self.running))()
+        extra = "".join(self.box(kind) for kind in ("nav", "footer", "ad") if r.random() < 0.25)
+        return f"<html><head><title>{self.words(1, 6)}</title></head><body{self.mark(k >= 0.75)}>{inner}{extra}</body></html>"
+
     def page(self) -> str:
         r = self.r
-        parts = [self.article()]
+        if r.random() < 0.15:
+            return self.bare_page()
+        parts = [self.article() if r.random() < 0.75 else self.plain_article()]
         for kind, p, front in (("nav", 0.85, 0.9), ("header", 0.5, 1.0), ("ad", 0.6, 0.6), ("notice", 0.35, 0.6), ("aside", 0.45, 0.4), ("form", 0.25, 0.5), ("share", 0.2, 0.4), ("comments", 0.4, 0.0), ("script", 0.4, 0.5), ("footer", 0.85, 0.0)):
             if r.random() < p:
                 parts.insert(0 if r.random() < front else len(parts), self.box(kind))
