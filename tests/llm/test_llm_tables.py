@@ -1,7 +1,10 @@
 """Corpus operators on vectors and URLs, components, registered queries, the pipeline."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -139,11 +142,76 @@ def test_url_model_separates_unseen_urls(spark):
 
 
 def test_markov_probabilities_sum_to_one():
-    m = url_filter.Markov(["abcab", "abd"])
+    m = url_filter.Markov(Counter(g for t in ("abcab", "abd") for g in url_filter.transitions(t)))
     for context in ("", "a", "ab", "zab"):
         assert sum(m.probability(context, chr(c)) for c in range(256)) == pytest.approx(1)
 
 
+def plain_url_verdicts(urls, rules_):
+    """All of the URL filter by the book: contexts counted by scanning the texts, one URL at a time."""
+
+    def parts(u):
+        if not u or "://" not in u:
+            return "", ""
+        rest = u.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    def rule(u):
+        host, path = parts(u)
+        fit = [(len(h + p), h + p, v) for v, h, p in rules_ if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    text = lambda u: "\n" + u.split("://", 1)[-1].lower() + "\n"
+    known = sorted({(rule(u)[1], u) for u in urls if u is not None and rule(u)[1]})
+    held = [k for k in known if zlib.crc32(k[1].encode()) % url_filter.HELD == 0]
+    learn = {v: [text(u) for w, u in known if w == v and (v, u) not in held] for v in ("allow", "block")}
+
+    def p(texts, context, c):
+        out = 1 / url_filter.ALPHABET
+        for k in range(len(context) + 1):
+            part = context[len(context) - k :]
+            after = Counter(t[i + k] for t in texts for i in range(len(t) - k) if t[i : i + k] == part and i + k >= 1)
+            if not after:
+                break
+            out = (after[c] + len(after) * out) / (sum(after.values()) + len(after))
+        return out
+
+    def score(u):
+        t = text(u)
+        return sum(math.log(p(learn["allow"], t[max(0, i - url_filter.ORDER) : i], t[i]) / p(learn["block"], t[max(0, i - url_filter.ORDER) : i], t[i])) for i in range(1, len(t))) / (len(t) - 1)
+
+    marks = Counter()
+    for v, u in held:
+        marks[math.floor(score(u) * url_filter.STEPS), v] += 1
+    steps = sorted({s for s, _ in marks})
+    na, nr = (sum(n for (_, w), n in marks.items() if w == v) for v in ("allow", "block"))
+    gain = [sum(marks[s, "block"] for s in steps[:i]) / nr + sum(marks[s, "allow"] for s in steps[i:]) / na for i in range(len(steps) + 1)]
+    i = max(range(len(gain)), key=lambda k: (round(gain[k], 9), -k))
+    lo = steps[i - 1] if i else steps[0] - url_filter.STEPS
+    hi = steps[i] if i < len(steps) else steps[-1] + url_filter.STEPS
+    threshold = (lo + hi + 1) / 2 / url_filter.STEPS
+    return [(*parts(u), rule(u)[0], rule(u)[1] or ("allow" if u and score(u) >= threshold else "block")) for u in urls]
+
+
+def test_url_filter_equals_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda pool: "".join(rng.choice(pool) for _ in range(rng.randint(2, 6)))
+    urls = [f"http://{word('abc')}.org/{word('news')}" for _ in range(25)] + [f"http://{word('xyz')}.com/de/{word('cash')}" for _ in range(25)]
+    urls += [f"https://{word('abcxyz')}.net/{word('newscash')}" for _ in range(25)] + [None, "", "no scheme", "http://A.Example.ORG/es/x?q", "http://example.org/en/12#f", urls[0]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(df, queries.URL_RULES).orderBy("page_id").select("judged.host", "judged.path", "judged.rule", "judged.verdict").collect()
+    assert [tuple(r) for r in got] == plain_url_verdicts(urls, queries.URL_RULES)
+
+
+def test_url_models_are_bounded(spark):
+    df = spark.createDataFrame([(f"http://h{i}.org/{i * 7919 % 1000}", "allow" if i % 2 else "block") for i in range(200)], "url string, verdict string")
+    model = url_filter.fit(df, "verdict", most=300)
+    assert 0 < sum(map(len, model.accepted.counts.values())) <= 300 and sum(map(len, model.rejected.counts.values())) <= 300
+    assert math.isfinite(model.score("h3.org/21", {}))
+    assert url_filter.fit(df.where("verdict = 'allow'"), "verdict") is None
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5), (None, 1)]

@@ -85,6 +85,19 @@ def crc_mod(column, n: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+def least_frequency(table: DataFrame, most: int, n: str = "n", steps: int = 8) -> int:
+    """The frequency from which on rows of ``table`` are at most ``most``, a step of a doubling's ``steps``-th part at a time; very high if even the first step has more."""
+    step = F.floor(F.log2(F.col(n).cast("double")) * steps).cast("int")
+    total, least = 0, None
+    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    found = None if least is None else table.where(step >= least).agg(F.min(n)).first()[0]
+    return 1 << 62 if found is None else int(found)
+
+
 def limit_threads() -> None:
     """One thread per Python worker: Spark already runs one task per core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hold, limit_threads, ship, store
+from .common import fresh, hold, least_frequency, limit_threads, ship, store
 
 #: Separators that Python's split() knows and the tokenizer does not take as white space.
 _ODD = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile("[^\t-\r \x85\xa0  -     　]+")
-#: Most pre-tokens of the head that every worker holds, and steps of frequency by which it is cut, to a doubling.
-HEAD, STEPS = 250_000, 8
+#: Most pre-tokens of the head that every worker holds.
+HEAD = 250_000
 #: Pre-tokens that a task gathers before it hands them on.
 GATHERED = 300_000
 #: Pre-tokens whose pieces are counted in one call.
@@ -88,21 +88,6 @@ def pre_token_table(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
     return store(counted.withColumn("pieces", pieces.asNondeterministic()("word")), "pre_tokens")
 
 
-def head_from(table: DataFrame, most: int) -> int:
-    """The frequency from which on pre-tokens are the head, so that these are at most ``most``."""
-    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int")
-    total, least = 0, 1 << 62
-    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows
-        total += r["count"]
-        if total > most:
-            break
-        least = r["step"]
-    if least == 1 << 62:
-        return least
-    # The first whole frequency of that step.
-    return int(table.where(step >= least).agg(F.min("n")).first()[0])
-
-
 def count_block(texts: list[str | None], pieces: dict[str, int]) -> tuple[list[int], list[list[tuple[str, int]]]]:
     """Pieces of each text's pre-tokens that are in ``pieces``, and the others with their frequencies."""
     known, rare = [], []
@@ -135,7 +120,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", into: str =
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     table = pre_token_table(df, spec, text)
-    least = head_from(table, head)
+    least = least_frequency(table, head)
     frequent = spark.sparkContext.broadcast({r["word"]: r["pieces"] for r in table.where(F.col("n") >= least).select("word", "pieces").toLocalIterator()})  # at most `head` rows
 
     @F.arrow_udf(COUNTED_DDL)
