@@ -127,34 +127,78 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(d.where("doc_id < 0"), model).count() == 0
 
 
-def test_subsequence_kernel_equals_brute_force():
-    def brute(a, b):
-        def phi(w):
-            out = {}
-            for i in range(len(w)):
-                for j in range(i + 1, len(w)):
-                    for k in range(j + 1, len(w)):
-                        if k - i < toxicity.SPAN:
-                            out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
-            return out
-
-        x, y = phi(a), phi(b)
-        return sum(v * y.get(u, 0) for u, v in x.items()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
-
-    letters = "abcde"
-    f = toxicity._features(["abcab", "aacbb", "edcba"], letters)
-    for i, a in enumerate(["abcab", "aacbb", "edcba"]):
-        for j, b in enumerate(["abcab", "aacbb", "edcba"]):
-            assert sum(v * f[j].get(u, 0) for u, v in f[i].items()) == pytest.approx(brute(a, b))
-    codes, _ = toxicity._windows(["aaaa", "abab"], letters)
-    u, w = toxicity.subsequences(codes)
-    for n, word in zip(toxicity.norms(u, w), ["aaaa", "abab"]):
-        phi = {}
-        for i in range(4):
-            for j in range(i + 1, 4):
-                for k in range(j + 1, 4):
-                    phi[word[i] + word[j] + word[k]] = phi.get(word[i] + word[j] + word[k], 0) + toxicity.DECAY ** (k - i + 1)
-        assert n == pytest.approx(np.sqrt(sum(v * v for v in phi.values())), rel=1e-5)
+def phi(window, letters):
+    """Subsequences of three known characters by their weight, over the norm of all their occurrences."""
+    out, size = {}, 0.0
+    for i, j, k in itertools.combinations(range(len(window)), 3):
+        if k - i < toxicity.SPAN and all(window[x] in letters for x in (i, j, k)):
+            v = toxicity.DECAY ** (k - i + 1)
+            u = window[i] + window[j] + window[k]
+            out[u] = out.get(u, 0) + v
+            size += v * v
+    return {u: v / np.sqrt(size) for u, v in out.items()}
+
+
+@pytest.mark.parametrize("letters", ["abcde", "abcde" + "".join(chr(0x4E00 + i) for i in range(300))])
+def test_subsequence_kernel_equals_brute_force(letters):
+    alphabet = toxicity.Alphabet(letters)
+    rng = random.Random(3)
+    found = ["".join(rng.choice(letters[:6] + " .") for _ in range(rng.randrange(3, 12))) for _ in range(30)]
+    f = [toxicity.features(w, alphabet) for w in found]
+    g = [phi(w, letters + " ") for w in found]
+    for i, j in itertools.product(range(30), repeat=2):
+        assert sum(v * f[j].get(u, 0) for u, v in f[i].items()) == pytest.approx(sum(v * g[j].get(u, 0) for u, v in g[i].items()))
+
+
+def test_text_scores_equal_brute_force():
+    letters = "abcdeé"
+    alphabet = toxicity.Alphabet(letters)
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(alphabet, rng.normal(size=alphabet.size).astype(np.float32), -0.3, np.array([1.0, 0.5]), 0.0)
+    number = {}
+    for u in itertools.product(letters + " ", repeat=3):
+        c = [alphabet.codes(x) for x in u]
+        number["".join(u)] = int(alphabet.number(*c)[0])
+    r = random.Random(2)
+    texts = [None, "", " \n", "abc", *["".join(r.choice("abcdeé  .\nX,") for _ in range(r.randrange(90))) for _ in range(40)], "a b c d ab", "abcd" * 30 + " dea"]
+    got = toxicity.score_texts(texts, model)
+    for t, pair in zip(texts, got):
+        rated = []
+        for n, sentence in enumerate(toxicity.sentences(t)):
+            ws = sentence.split(" ")
+            for i, w in enumerate(ws):
+                if len(w) <= toxicity.LONGEST:
+                    cut = [({(n, i)}, f" {w} ")]
+                else:
+                    padded = f" {w} "
+                    step = toxicity.LONGEST // 2
+                    cut = [({(n, i, p + q) for q in range(1, toxicity.LONGEST + 1)}, padded[p : p + toxicity.LONGEST + 2]) for p in range(0, len(w) + 1 - step, step)]
+                if i + 1 < len(ws) and max(len(w), len(ws[i + 1])) <= toxicity.LONGEST:
+                    cut.append(({(n, i), (n, i + 1)}, f" {w} {ws[i + 1]} "))
+                rated += [(sum(float(model.weights[number[u]]) * v for u, v in phi(x, letters + " ").items()) + model.bias, own) for own, x in cut]
+        if not rated:
+            assert tuple(pair) == (model.bias, model.bias)
+            continue
+        top, own = max(rated, key=lambda x: x[0])
+        assert pair[0] == pytest.approx(top, abs=1e-5)
+        if len(t) < 90:  # ties and long words aside
+            second = max([v for v, o in rated if not o & own], default=model.bias)
+            assert pair[1] == pytest.approx(max(second, model.bias), abs=1e-5)
+
+
+def test_insults_of_two_plain_words():
+    rng = random.Random(8)
+    pool = [a + b for a in ("ba", "re", "to", "li", "nu", "se", "ko", "mi") for b in ("ka", "ro", "ti", "lu", "ne", "so")]
+    rows = []
+    for i in range(600):
+        w = [rng.choice(pool) for _ in range(rng.randint(8, 30))]
+        for _ in range(2):
+            at = rng.randrange(len(w))
+            w[at:at] = ["grumpel", "zoffen"] if i % 3 == 0 else ["grumpel", rng.choice(pool), "zoffen"]  # each word alone is in clean texts too
+        rows.append((" ".join(w), int(i % 3 == 0)))
+    model = toxicity.train(rows[:450])
+    p = model.probability(toxicity.score_texts([t for t, _ in rows[450:]], model))
+    assert np.mean([(x >= 0.5) == bool(y) for x, (_, y) in zip(p, rows[450:])]) > 0.95
 
 
 # ---- language --------------------------------------------------------------

@@ -1,161 +1,209 @@
 """Toxic documents by a subsequence string-kernel SVM with Nyström landmarks.
 
-Words are compared by their common subsequences of three characters, each
-weighted by a decay to the power of the span it covers, so gaps and inserted
-characters weaken a match but don't break it.  Landmark words span the feature
-space; a linear SVM on the Nyström features separates insulting words from
-others.  Seen from a word, the trained machine is one weight for each
-subsequence, so scoring needs no landmark any more.  A document's score is a
-calibrated function of its most insulting word.
-
-Training documents are labelled, not their words: words are taken that toxic
-documents have and clean ones lack, the machine is trained, its hardest clean
-words and the best word of each toxic document join in, and it is trained again.
+Windows of a sentence, of one or two neighbouring words and the white space
+around them, are compared by their common subsequences of three characters,
+each weighted by a decay to the power of the span it covers, so gaps and
+inserted characters weaken a match but don't break it, and a match may cross
+words.  Landmark windows span the feature space; a linear SVM on the Nyström
+features separates insulting windows from others.  Seen from a text, the
+trained machine is one weight for each subsequence, so a text is scored in one
+pass and needs no landmark any more.  A sentence scores as its most insulting
+window; a document is judged by its most insulting window and the most
+insulting one apart from it, on a calibrated surface.
+
+Training sentences carry their document's label, not their windows: windows
+that toxic documents share and clean ones nearly lack are taken first, the
+machine is trained, the windows of clean sentences that it finds hardest and
+the best window of each toxic document join in, and it is trained again.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import sys
+import zlib
 from collections import Counter
-from collections.abc import Collection, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hold, ship
+from .common import fresh, ship
 
 #: Labelled toxic documents that are collected to train on, and twice as many others; the bound of the sample.
 SAMPLE = 1500
-#: Words that stand for insults at first, of these the ones that also stand disguised, and clean words that are searched for hard ones.
-SEEDS, DISGUISED, VOCABULARY = 1200, 400, 240_000
-#: Landmark words of each class.
-LANDMARKS = 120
-#: Clean words trained against.
-CLEAN_WORDS = 4000
+#: Parameters of training, not of the data read: windows that stand for insults at first, of these the ones that
+#: also stand disguised, landmarks of each class, and windows of clean sentences trained against at first.
+SEEDS, DISGUISED, LANDMARKS, CLEAN = 1500, 400, 150, 4000
 DECAY, SPAN = 0.7, 5
-#: Characters told apart; all others count as one that matches nothing.
-LETTERS = 63
-#: Words are scored in windows of so many characters; of a training word the first window counts.
-WINDOW = 24
-#: Word scores kept by a worker before it starts afresh.
-SCORES_KEPT = 400_000
-BLOCK = 256
+#: Longest words that are one window; longer ones are seen through windows of this length.
+LONGEST = 24
+#: Subsequences are numbered by their letters, or hashed to so many bits where there are many letters.
+BITS = 21
+#: Characters scored at a time.
+BLOCK = 1 << 20
 #: Three or more single characters in a row: a word spelled out.
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|[\n\r]+")
+#: Between sentences: longer than a subsequence's span.
+_BREAK = " " + "\n" * SPAN + " "
 
-_GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
-_NONE = LETTERS  # code of other characters
+_GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+
+
+def sentences(text: str | None) -> list[str]:
+    """Lower-cased sentences with single spaces; words spelled out by single characters are sentences of their own, joined."""
+    if not text:
+        return []
+    text = text.lower()
+    found = [" ".join(x.split()) for x in _SENTENCE.split(text)]
+    return [x for x in found if x] + ["".join(m[0].split()) for m in _SPELLED.finditer(text)]
 
 
 @dataclass
-class Model:
+class Alphabet:
+    """All letters learned, and the space; other characters match nothing."""
+
     letters: str
+    points: np.ndarray = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        self.points = np.sort(np.array([ord(c) for c in {*self.letters, " "}], np.uint32))
+        self.none = len(self.points)
+        self.bits = max(1, self.none.bit_length())
+        self.size = 1 << min(BITS, 3 * self.bits)
+
+    def codes(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(self.points, points), self.none - 1)
+        return np.where(self.points[at] == points, at, self.none).astype(np.int32)
+
+    def number(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Numbers of subsequences."""
+        if 3 * self.bits <= BITS:
+            return (x << 2 * self.bits) | (y << self.bits) | z
+        h = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (z.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+        return ((h ^ (h >> np.uint64(29))) & np.uint64(self.size - 1)).astype(np.int64)
+
+
+@dataclass
+class Model:
+    alphabet: Alphabet
     weights: np.ndarray  # by subsequence
     bias: float
-    slope: float
+    slopes: np.ndarray
     offset: float
 
-    def probability(self, best: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -30, 30)))
+    def probability(self, scores: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(scores @ self.slopes + self.offset, -30, 30)))
 
 
-def text_words(text: str | None) -> set[str]:
-    """Distinct lower-cased words of a text, words spelled out by single characters joined."""
-    if not text:
-        return set()
-    text = text.lower()
-    found = set(text.split())
-    for m in _SPELLED.finditer(text):
-        found.add("".join(m[0].split()))
-    return found
-
-
-def _windows(words: list[str], letters: str) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes of each word's windows (-1 beyond the end), and the word of each window."""
-    code = {c: i for i, c in enumerate(letters)}
-    pieces, owner = [], []
-    for i, w in enumerate(words):
-        for at in range(0, max(len(w) - WINDOW // 2, 1), WINDOW // 2) if len(w) > WINDOW else (0,):
-            pieces.append(w[at : at + WINDOW])
-            owner.append(i)
-    width = max(map(len, pieces), default=1)
-    table = np.full(0x250, _NONE, np.int16)
-    for c, i in code.items():
-        if ord(c) < len(table):
-            table[ord(c)] = i
-    points = np.frombuffer("".join(p.ljust(width, "\0") for p in pieces).encode("utf-32-le"), np.uint32).reshape(len(pieces), width)
-    codes = table[np.minimum(points, len(table) - 1)].astype(np.int32)
-    for c, i in code.items():
-        if ord(c) >= len(table):
-            codes[points == ord(c)] = i
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    codes[np.arange(width)[None, :] >= lengths[:, None]] = -1
-    return codes, np.array(owner)
-
-
-def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequences of each row as numbers (-1: none), and the weight of each column."""
-    width = codes.shape[1]
-    cols, weights = [], []
+def windows(text: str, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every window of sentences joined by `_BREAK` (with one before and after them), in order of the first.
+
+    A window is a word or two neighbours with the spaces around; a word longer
+    than `LONGEST` is seen through windows of that length, half of it apart.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if joined is None else joined
+    blank = (points == 32) | (points == 10)
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    length = ends - starts - 1
+    pair = (starts[1:] == ends[:-1]) & (length[1:] <= LONGEST) & (length[:-1] <= LONGEST)
+    first, last = [starts, starts[:-1][pair]], [ends, ends[1:][pair]]
+    for i in np.flatnonzero(length > LONGEST):
+        at = np.arange(starts[i], ends[i] - LONGEST // 2, LONGEST // 2)
+        first.append(at)
+        last.append(np.minimum(at + LONGEST + 1, ends[i]))
+    s, e = np.concatenate(first), np.concatenate(last)
+    order = np.lexsort((e, s))
+    return s[order], e[order]
+
+
+def occurrences(codes: np.ndarray, alphabet: Alphabet) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    """For each shape of a subsequence: its length less one, its weight, the number at each place, and whether its letters are known."""
+    known = codes < alphabet.none
     for a, b in _GAPS:
-        n = width - a - b
-        if n > 0:
-            x, y, z = codes[:, :n], codes[:, a : a + n], codes[:, a + b :]
-            u = (x << 12) | (y << 6) | z
-            u[(z < 0) | (x == _NONE) | (y == _NONE) | (z == _NONE)] = -1
-            cols.append(u)
-            weights += [DECAY ** (a + b + 1)] * n
-    if not cols:
-        return np.full((len(codes), 1), -1, np.int32), np.zeros(1, np.float32)
-    return np.concatenate(cols, axis=1), np.array(weights, np.float32)
-
-
-def norms(u: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Kernel norm of each row: repeated subsequences add up before they are squared."""
-    order = np.argsort(u, axis=1)
-    u = np.take_along_axis(u, order, 1)
-    w = weights[order]
-    w[u < 0] = 0
-    new = np.ones(u.shape, bool)
-    new[:, 1:] = u[:, 1:] != u[:, :-1]
-    starts = np.flatnonzero(new.ravel())
-    sums = np.add.reduceat(w.ravel(), starts)
-    return np.sqrt(np.bincount(starts // u.shape[1], weights=sums.astype(np.float64) ** 2, minlength=len(u)))
-
-
-def score_words(words: list[str], model: Model) -> np.ndarray:
-    """Signed distance of each word from the machine's boundary; the best window counts."""
-    out = np.full(len(words), -1e9)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))  # words of like length share a block
-    for at in range(0, len(order), 8192):
-        ids = order[at : at + 8192]
-        codes, owner = _windows([words[i] for i in ids], model.letters)
-        u, weights = subsequences(codes)
-        size = norms(u, weights)
-        dot = (np.where(u < 0, np.float32(0), model.weights[u]) * weights).sum(axis=1)
-        got = np.where(size > 0, dot / np.maximum(size, 1e-12), 0.0) + model.bias
-        np.maximum.at(out, np.array(ids)[owner], got)
+        n = max(len(codes) - b, 0)
+        x, y, z = codes[:n], codes[a : a + n], codes[b : b + n]
+        yield b, DECAY ** (b + 1), alphabet.number(x, y, z), known[:n] & known[a : a + n] & known[b : b + n]
+
+
+def score_windows(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last place of each window of joined sentences, and its signed distance from the machine's boundary."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    s, e = windows(text, points)
+    codes = model.alphabet.codes(text)
+    dot, size = np.zeros(len(s)), np.zeros(len(s))
+    by_length: dict[int, list[np.ndarray]] = {}
+    for b, weight, u, known in occurrences(codes, model.alphabet):
+        got = by_length.setdefault(b, [np.zeros(len(u)), np.zeros(len(u))])
+        got[0] += np.where(known, model.weights[u], np.float32(0)) * weight
+        got[1] += known * weight**2
+    for b, (value, square) in by_length.items():
+        to = np.maximum(e - b + 1, s)  # a subsequence ends within the window that it begins in
+        for out, x in ((dot, value), (size, square)):
+            run = np.concatenate([[0.0], np.cumsum(x)])
+            out += run[np.minimum(to, len(x))] - run[np.minimum(s, len(x))]
+    return s, e, np.where(size > 1e-9, dot / np.sqrt(np.maximum(size, 1e-9)), 0.0) + model.bias
+
+
+def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
+    """Scores of the most insulting window of each text, and of the most insulting one apart from it."""
+    return np.array([x[:2] for x in best_windows(texts, model, False)]).reshape(-1, 2)
+
+
+def best_windows(texts: list[str | None], model: Model, named: bool = True) -> list[tuple[float, float, str]]:
+    """Of each text the score of its most insulting window, that of its most insulting one that shares no word with it, and the first one's characters.
+
+    Where there is no such window the machine's bias, the score of a window that is like no landmark, stands for it.
+    """
+    out: list[tuple[float, float, str]] = []
+    for part in _parts(texts):
+        joined = _BREAK + "".join(x + _BREAK for own in part for x in own)
+        until = len(_BREAK) + np.cumsum([sum(len(x) + len(_BREAK) for x in own) for own in part])
+        s, e, score = score_windows(joined, model)
+        begin = 0
+        for end in np.searchsorted(s, until - 1).tolist():  # windows of each text
+            first, second, name = model.bias, model.bias, ""
+            if end > begin:
+                k = begin + int(score[begin:end].argmax())
+                first = float(score[k])
+                if named:
+                    name = joined[s[k] : e[k] + 1]
+                apart = (s[begin:end] >= e[k]) | (e[begin:end] <= s[k])
+                second = float(score[begin:end].max(where=apart, initial=model.bias))
+            out.append((first, second, name))
+            begin = end
     return out
 
 
-def _features(words: list[str], letters: str) -> list[dict[int, float]]:
-    """Normalised subsequence weights of each word (its first window)."""
-    out = []
-    for w in words:
-        codes, _ = _windows([w[:WINDOW]], letters)
-        u, weights = subsequences(codes)
-        got: dict[int, float] = Counter()
-        for x, v in zip(u[0].tolist(), weights.tolist(), strict=True):
-            if x >= 0:
-                got[x] += v
-        size = sum(v * v for v in got.values()) ** 0.5
-        out.append({x: v / size for x, v in got.items()} if size else {})
-    return out
+def _parts(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """Sentences of texts, a bounded number of characters at a time unless one text has more."""
+    part: list[list[str]] = []
+    held = 0
+    for t in texts:
+        part.append(sentences(t))
+        held += len(t or "")
+        if held > BLOCK:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def features(window: str, alphabet: Alphabet) -> dict[int, float]:
+    """Weights of a window's subsequences, divided by the norm of all their occurrences."""
+    got: dict[int, float] = Counter()
+    size = 0.0
+    for _, weight, u, known in occurrences(alphabet.codes(window), alphabet):
+        for x in u[known].tolist():
+            got[x] += weight
+        size += weight**2 * int(known.sum())
+    return {x: v / math.sqrt(size) for x, v in got.items()} if size else {}
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -174,142 +222,174 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: list[tuple[Collection[str], int]]) -> Model | None:
-    """Machine for documents given as word sets with labels 0 and 1; None unless both labels occur."""
-    counts = {0: Counter(), 1: Counter()}
+def text_windows(text: str | None) -> set[str]:
+    """Distinct windows of a text: words and neighbouring pairs, with a space at either end."""
+    out = set()
+    for x in sentences(text):
+        words = x.split(" ")
+        out.update(f" {w} " for w in words)
+        out.update(f" {a} {b} " for a, b in zip(words, words[1:], strict=False))
+    return out
+
+
+def train(docs: list[tuple[str | None, int]]) -> Model | None:
+    """Machine for texts with labels 0 and 1; None unless both labels occur."""
+    # Near copies share both smallest hashes, and count as one witness.
     groups: dict[int, dict[tuple, set]] = {0: {}, 1: {}}
-    for words, label in docs:
+    letters: set[str] = set()
+    for text, label in docs:
+        words = set((text or "").lower().split())
         if not words:
             continue
-        # Near copies share both smallest hashes, and count as one witness.
-        group = (min(map(_hash, words)), min(_hash(w + "#") for w in words))
-        held = groups[label].setdefault(group, set())
-        counts[label].update(words)
+        letters.update(c for w in words for c in w if c.isalpha())
+        own = groups[label].setdefault((min(map(_hash, words)), min(_hash(w + "#") for w in words)), set())
         if label:
-            held.update(words)
+            own.update(text_windows(text))
     n1, n0 = len(groups[1]), len(groups[0])
     if not n1 or not n0:
         return None
     toxic_groups = list(groups[1].values())
-    support = Counter()
+    support: Counter[str] = Counter()
     for held in toxic_groups:
         support.update(held)
-    letters = "".join(c for c, _ in sorted(Counter("".join(counts[1] | counts[0])).items(), key=lambda t: (-t[1], t[0])) if c.isalpha())[:LETTERS]
-    positive = sorted(_seeds(toxic_groups, counts[0], n1, n0), key=lambda w: (-support[w], w))
-    least = 2
-    clean = sorted(counts[0].items(), key=lambda t: (-t[1], t[0]))
-    negative = [w for w, _ in clean[: CLEAN_WORDS // 2]] + sorted((w for w, _ in clean[CLEAN_WORDS // 2 :]), key=_hash)[: CLEAN_WORDS // 2]
+    innocent: Counter[str] = Counter()  # of the windows that toxic documents have
+    clean: Counter[str] = Counter()
+    seen = set()
+    for text, label in docs:
+        if not label:
+            found = text_windows(text)
+            group = hash(frozenset(found))
+            if group not in seen:
+                seen.add(group)
+                innocent.update(found & support.keys())
+            clean.update(w for w in found if _hash(w) % 4 == 0 or " " not in w[1:-1])
+    alphabet = Alphabet("".join(sorted(letters)))
+    positive = sorted(_seeds(toxic_groups, support, innocent, clean, n1, n0), key=lambda w: (-support[w], w))[:SEEDS]
+    common = sorted(clean.items(), key=lambda t: (-t[1], t[0]))
+    negative = [w for w, _ in common[: CLEAN // 2]] + sorted((w for w, _ in common[CLEAN // 2 :]), key=_hash)[: CLEAN // 2]
+    del common, clean
+    chosen = set(positive)
+    negative = [w for w in negative if w not in chosen]
     if not positive or not negative:
         return None
-    positive = positive[:SEEDS]
-    positive += [v for w in positive[:DISGUISED] for v in _disguised(w)]
-    model = _fit(positive, negative, letters, support)
-    vocabulary = sorted(counts[0], key=_hash)[:VOCABULARY]
-    toxic = [sorted(words) for words, label in docs if label and words]
-    flat = sorted({w for words in toxic for w in words})
+    insults = [w for w in positive if " " not in w[1:-1]]
+    positive += [v for w in insults[:DISGUISED] for v in _disguised(w)]
+    model = _fit(positive, negative, alphabet, support)
+    texts = {label: [t for t, k in docs if k == label and t] for label in (0, 1)}
     for _ in range(3):
-        got = score_words(vocabulary, model)
-        hard = [vocabulary[i] for i in np.argsort(-got, kind="stable")[: CLEAN_WORDS // 4]]
-        value = dict(zip(flat, score_words(flat, model), strict=True))
-        best = {max(words, key=lambda w: (value[w], w)) for words in toxic}
-        more = sorted(w for w in best if not counts[0][w] and value[w] > 0 and support[w] >= least)
+        hard = sorted({w for _, _, w in sorted(best_windows(texts[0], model), reverse=True)[: CLEAN // 4] if w})
+        more = sorted({w for v, _, w in best_windows(texts[1], model) if v > 0 and support[w] >= 2 and not innocent[w]})
         positive = list(dict.fromkeys(positive + more))
-        negative = list(dict.fromkeys(negative + hard))
-        model = _fit(positive, negative, letters, support)
-    words = sorted({w for ws, _ in docs for w in ws})
-    value = dict(zip(words, score_words(words, model), strict=True))
-    x = np.array([max((value[w] for w in ws), default=model.bias) for ws, _ in docs])
+        taken = set(positive)
+        negative = list(dict.fromkeys(negative + [w for w in hard if w not in taken]))
+        model = _fit(positive, negative, alphabet, support)
+    x = score_texts([t for t, _ in docs], model)
     y = np.array([label for _, label in docs], float)
-    forms = [v for w in positive[:100] for v in _disguised(w)]
-    model.slope, model.offset = _calibrate(x, y, score_words(forms, model) if forms else np.zeros(0))
+    alone = [f" {w} {v.strip()} {w} " for v in insults[:100] for v in (v, *_disguised(v)) for w in _calm(negative)]
+    model.slopes, model.offset = _calibrate(x, y, score_texts(alone, model))
     return model
 
 
-def _parts(word: str) -> set[str]:
-    """Runs of 4 and 5 characters; a shorter word is its own part."""
+def _calm(negative: list[str]) -> list[str]:
+    """The commonest clean word, to set a lone insult in."""
+    return [w.strip() for w in negative if " " not in w[1:-1]][:1]
+
+
+def _runs(word: str) -> set[str]:
+    """Runs of 4 and 5 characters; a shorter word is its own run."""
+    word = word.strip()
     return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)} or {word}
 
 
-def _seeds(toxic_groups: list[set[str]], clean: Counter[str], n1: int, n0: int) -> set[str]:
-    """Words of toxic documents with a part that toxic documents share and clean ones lack.
+def _seeds(toxic_groups: list[set[str]], support: Counter[str], innocent: Counter[str], clean: Counter[str], n1: int, n0: int) -> set[str]:
+    """Windows that stand for insults: those that toxic documents hold far more often than clean ones, and words with a run of letters that only toxic documents share.
 
-    A part counts if so many toxic documents, near copies taken as one, would
-    hold it by chance once in a million.
+    A window or run counts if so many toxic documents, near copies taken as
+    one, would hold it by chance once in some hundred thousand.
     """
+    rate = n1 / (n1 + n0)
+
+    def stands_out(w: str) -> bool:
+        t, c = support[w], innocent[w] + 0.5
+        return t * math.log(max(t / (t + c) / rate, 1e-9)) >= 12 and t * min(n0, n1) >= 8 * c * n1 and sum(map(str.isalpha, w)) >= 3
+
+    single = {w for w in support if " " not in w[1:-1]}
+    strong = {w for w in single if stands_out(w)}
+    pairs = {w for w in support if w not in single and stands_out(w) and not any(f" {x} " in strong for x in w.split())}
     held: Counter[str] = Counter()
-    for words in toxic_groups:
-        held.update({p for w in words if w not in clean for p in _parts(w)})
-    need = math.log(1e6) / math.log((n1 + n0) / n1)
-    need = min(need, max(2.0, n1 / 5))
-    parts = {p for p, k in held.items() if k >= need and sum(map(str.isalpha, p)) >= 3}
-    innocent: Counter[str] = Counter()
+    for group in toxic_groups:
+        held.update({p for w in group & single if not innocent[w] for p in _runs(w)})
+    need = min(math.log(1e6) / math.log(1 / rate), max(2.0, n1 / 5))
+    runs = {p for p, k in held.items() if k >= need and sum(map(str.isalpha, p)) >= 3}
+    plain: Counter[str] = Counter()
     for w in clean:
-        innocent.update(_parts(w) & parts)
-    parts = {p for p in parts if innocent[p] <= 0.002 * held[p]}
-    return {w for words in toxic_groups for w in words if w not in clean and _parts(w) & parts}
+        if " " not in w[1:-1]:
+            plain.update(_runs(w) & runs)
+    runs = {p for p in runs if plain[p] <= 0.002 * held[p]}
+    return strong | pairs | {w for w in single if not innocent[w] and _runs(w) & runs}
 
 
 def _hash(word: str) -> int:
-    import zlib
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
-    return zlib.crc32(word.encode())
 
-
-def _fit(positive: list[str], negative: list[str], letters: str, support: dict[str, int]) -> Model:
-    words = positive + negative
-    feats = _features(words, letters)
+def _fit(positive: list[str], negative: list[str], alphabet: Alphabet, support: Counter[str]) -> Model:
+    found = positive + negative
+    feats = [features(w, alphabet) for w in found]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    step = max(1, len(negative) // LANDMARKS)
-    chosen = list(range(0, len(positive), max(1, len(positive) // LANDMARKS)))[:LANDMARKS] + list(range(len(positive), len(words), step))[:LANDMARKS]
-    used = sorted({u for i in chosen for u in feats[i]})
+    spread = lambda lo, hi: list(range(lo, hi, max(1, (hi - lo) // LANDMARKS)))[:LANDMARKS]
+    marks = spread(0, len(positive)) + spread(len(positive), len(found))
+    used = sorted({u for i in marks for u in feats[i]})
     column = {u: j for j, u in enumerate(used)}
-    z = np.zeros((len(chosen), len(used)))
-    for r, i in enumerate(chosen):
+    z = np.zeros((len(marks), len(used)))
+    for r, i in enumerate(marks):
         for u, v in feats[i].items():
             z[r, column[u]] = v
-    kernel = np.zeros((len(words), len(chosen)))
+    kernel = np.zeros((len(found), len(marks)))
     for i, f in enumerate(feats):
         known = [(column[u], v) for u, v in f.items() if u in column]
         if known:
             at, v = zip(*known, strict=True)
             kernel[i] = z[:, list(at)] @ np.array(v)
-    values, vectors = np.linalg.eigh(kernel[chosen])
+    values, vectors = np.linalg.eigh(kernel[marks])
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    cost = np.where(y > 0, 20.0 * len(negative) / len(words), 20.0 * len(positive) / len(words) + 0.5)
-    most = max(support.values(), default=1)
-    cost *= np.array([1 + 8 * support.get(w, 0) / most for w in positive] + [1.0] * len(negative))
+    cost = np.where(y > 0, 20.0 * len(negative) / len(found), 20.0 * len(positive) / len(found) + 0.5)
+    most = max([support[w] for w in positive], default=1) or 1
+    cost *= np.array([1 + 8 * support[w] / most for w in positive] + [1.0] * len(negative))
     w = _svm(kernel @ root, y, cost)
-    by_landmark = root @ w[:-1]
-    weights = np.zeros(1 << 18, np.float32)
-    weights[used] = by_landmark @ z
-    return Model(letters, weights, float(w[-1]), 1.0, 0.0)
+    weights = np.zeros(alphabet.size, np.float32)
+    weights[used] = (root @ w[:-1]) @ z
+    return Model(alphabet, weights, float(w[-1]), np.array([1.0, 0.0]), 0.0)
 
 
-def _disguised(word: str) -> list[str]:
+def _disguised(window: str) -> list[str]:
     """Forms of an insult with inserted characters: spelled with dots, and with one letter more in its midst."""
+    word = window.strip()
     half = len(word) // 2
-    return [".".join(word), word[:half] + "x" + word[half:]] if 4 <= len(word) <= WINDOW // 2 else []
+    return [f" {'.'.join(word)} ", f" {word[:half]}x{word[half:]} "] if 4 <= len(word) <= LONGEST // 2 else []
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, forms: np.ndarray) -> tuple[float, float]:
-    """Logistic curve through documents' best scores (and, with less weight, disguised insults'), slope not negative.
+def _calibrate(x: np.ndarray, y: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic surface through documents' two scores and, with less weight, those of lone and disguised insults; slopes not negative.
 
-    One half lies above the scores of nearly all clean training documents, so
-    that a model learned from few examples rather misses than accuses.
+    One half lies above nearly all clean training documents, so that a model
+    learned from few examples rather misses than accuses.
     """
     clean = x[y == 0]
-    weight = np.where(y > 0, 0.4 / max(y.sum(), 1), 0.5 / max(len(clean), 1)) * len(y)
-    weight = np.concatenate([weight, np.full(len(forms), 0.1 / max(len(forms), 1) * len(y))])
-    x, y = np.concatenate([x, forms]), np.concatenate([y, np.ones(len(forms))])
+    every = max(len(alone), 1)
+    alone = alone[alone[:, 0] > np.quantile(clean[:, 0], 0.998)]  # where clean documents hold the like, a lone one tells nothing
+    weight = np.where(y > 0, 0.35 / max(y.sum(), 1), 0.5 / max(len(clean), 1)) * len(y)
+    weight = np.concatenate([weight, np.full(len(alone), 0.15 / every * len(y))])
+    x, y = np.concatenate([x, alone]), np.concatenate([y, np.ones(len(alone))])
     design = np.column_stack([x, np.ones(len(x))])
-    w = np.array([2.0, 0.0])
-    for _ in range(60):
+    w = np.array([1.0, 1.0, 0.0])
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (weight * (y - p)) - 0.05 * w
-        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(3)
         w = w + np.clip(np.linalg.solve(hess, grad), -2, 2)
-    slope, offset = float(max(w[0], 1e-3)), float(w[1])
-    return slope, min(offset, -slope * float(np.quantile(clean, 0.998)) - 0.1)
+        w[:2] = np.maximum(w[:2], [1e-3, 0.0])
+    return w[:2], float(min(w[2], -np.quantile(clean @ w[:2], 0.998) - 0.1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
@@ -317,7 +397,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: s
 
     ``allowed`` is a condition on ``labels`` (held-out rows stay out).  Null ids
     and labels are left out, as are labels of documents that ``docs`` lacks; of
-    several labels of one id the largest counts.
+    several labels of one id the largest counts, of several texts the first by
+    code points.
     """
     known = labels if allowed is None else labels.where(allowed)
     known = known.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).alias("label"))
@@ -328,12 +409,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: s
         picked = part if picked is None else picked.unionByName(part)
     picked = F.broadcast(picked.select(F.col(id).alias("picked_id"), "label"))  # at most 3 * sample rows
     rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("words_of")).join(picked, F.col("doc") == F.col("picked_id"))
-    got = rows.select("doc", "words_of", "label").collect()
     seen: dict = {}
-    for r in sorted(got, key=lambda r: (r["doc"], r["words_of"] or "")):
-        if r["doc"] not in seen:
-            seen[r["doc"]] = (tuple(map(sys.intern, sorted(text_words(r["words_of"])))), int(r["label"]))
-    del got
+    for r in sorted(rows.select("doc", "words_of", "label").collect(), key=lambda r: (r["doc"], r["words_of"] or "")):
+        seen.setdefault(r["doc"], (r["words_of"], int(r["label"])))
     return train(list(seen.values()))
 
 
@@ -349,34 +427,10 @@ def toxicity(df: DataFrame, model: Model | None, text: str = "text", into: str =
     if model is None:
         return df.withColumn(into, F.lit(0.0))
     ship(df.sparkSession)
-    mark = hash((model.letters, model.bias, model.slope, model.weights.tobytes()))
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = hold(("toxicity", mark), dict)
         for batch in batches:
-            out = []
-            for at in range(0, len(batch), BLOCK):
-                out.append(model.probability(best_words(batch.slice(at, BLOCK).to_pylist(), model, known)))
-            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+            yield pa.array(model.probability(score_texts(batch.to_pylist(), model)) if len(batch) else np.zeros(0), pa.float64())
 
     return df.withColumn(into, score.asNondeterministic()(F.col(text)))
-
-
-def best_words(texts: list[str | None], model: Model, known: dict[str, float]) -> np.ndarray:
-    """Score of the most insulting word of each text; ``known`` keeps word scores."""
-    if len(known) > SCORES_KEPT:
-        known.clear()
-    sets = [text_words(t) for t in texts]
-    new = [w for w in set().union(*sets) if w not in known]
-    long: dict[str, float] = {}
-    if new:
-        for w, v in zip(new, score_words(new, model).tolist(), strict=True):
-            (known if len(w) <= 40 else long)[w] = v
-    out = []
-    for ws in sets:
-        try:
-            out.append(max([known[w] for w in ws], default=model.bias))
-        except KeyError:
-            out.append(max([known[w] if w in known else long[w] for w in ws], default=model.bias))
-    return np.array(out)
