@@ -8,13 +8,14 @@ an a-arc gets a c-arc to where a then b led before.  All arcs with one label
 lead to one state, so a state is a chain of copies and each copy records its
 parent, the label it lost and the merge that made it.
 
-A deterministic table of byte transitions is compiled from the automaton.  Of
-every prefix of a word the automaton accepts one path, so reading a byte leads
-to one state, which knows the last arc of that path.  A state is the longest
-end of the prefix that begins a label, with the last arcs at the places inside
-it.  Transitions are compiled when they are first needed and tabulated; all of
-them together would not fit in memory.  A word is encoded by one transition a
-byte, then its arcs are read off from its end.  Decoding emits the arcs' labels.
+Of every prefix of a word the automaton accepts one path, so a word is read by
+one deterministic step a byte.  Two tables drive it: the byte table leads from
+the longest end of the prefix that begins a label to the next such end; the arc
+table tells whether a label that ends there may follow the arc at the place
+where it begins, which holds for just one label.  Entries are compiled from the
+merges and the gadgets' records when they are first needed, and tabulated; all
+of them together would not fit in memory.  A word's arcs are read off from its
+end.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from .common import fresh, hold, ship
 
 #: Distinct chunks, and pre-split words, kept by a worker in each of two generations; what is used again passes to the younger.
-CHUNKS_KEPT = 150_000
-#: States of the byte table, and arcs looked up, kept by a worker before it starts afresh.
-STATES_KEPT, ARCS_KEPT = 200_000, 300_000
+CHUNKS_KEPT, WORDS_KEPT = 250_000, 150_000
+#: Arcs tabulated by a worker before it starts afresh.
+ARCS_KEPT = 500_000
 #: Chunks longer than this are encoded but not kept.
 LONGEST_KEPT = 48
 #: A space after white space: such texts are not cut at spaces before they are split.
-_RUN = re.compile(r"\s ")
+_RUNS = [chr(i) + " " for i in range(0x3001) if chr(i).isspace()]
 #: Fixed value: the pre-splitting pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,7 +72,8 @@ class Automaton:
     def _spell(self) -> None:
         """A trie of the labels: its arcs, each node's depth and fall-back (the longest end of it that is a node), and the labels that end there."""
         self.step: dict[int, int] = {}
-        self.depth, self.back = [0], [0]
+        self.back = [0]
+        depth = [0]
         own = [-1]
         level: list[tuple[int, bytes]] = []
         for label, token in self.ids.items():
@@ -81,7 +83,7 @@ class Automaton:
                 if nxt is None:
                     nxt = self.step[node << 8 | byte] = len(own)
                     own.append(-1)
-                    self.depth.append(self.depth[node] + 1)
+                    depth.append(depth[node] + 1)
                     self.back.append(0)
                     level.append((node, byte))
                 node = nxt
@@ -90,7 +92,7 @@ class Automaton:
         for label, token in self.ids.items():
             self.width[token] = len(label)
         # Shorter nodes first: a node falls back to where its parent's fall-backs go by its byte.
-        order = sorted(range(1, len(own)), key=self.depth.__getitem__)
+        order = sorted(range(1, len(own)), key=depth.__getitem__)
         self.ends: list[int] = [-1] * len(own)  # longest label that ends the node
         self.shorter: list[int] = [0] * len(own)  # next node along the fall-backs that has one
         for node in order:
@@ -100,7 +102,9 @@ class Automaton:
             back = self.back[node]
             self.ends[node] = own[node] if own[node] >= 0 else self.ends[back]
             self.shorter[node] = (back if own[node] >= 0 else self.shorter[back]) if self.ends[node] >= 0 else 0
-        self._restart()
+        self.names = [str(i) for i in range(len(self.target))]
+        self.bytes: dict[int, int] = {}  # the byte table: node and byte -> node
+        self.arcs: dict[int, bool] = {}  # the arc table: label before and label
 
     def _goto(self, node: int, byte: int) -> int:
         while (nxt := self.step.get(node << 8 | byte)) is None:
@@ -109,41 +113,6 @@ class Automaton:
             node = self.back[node]
         return nxt
 
-    def _restart(self) -> None:
-        """An empty table; state 0 has read nothing, others are numbered in steps of 256."""
-        self.states: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
-        self.at: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
-        self.last = [-1]  # last arc of each state's path
-        self.arcs: dict[int, bool] = {}  # arcs looked up, by label before and label
-        self.delta: dict[int, int] = {}  # state and byte -> state
-
-    def _compile(self, state: int, byte: int) -> int:
-        """The transition of a state by a byte: the one label that ends there and may follow the arc before it."""
-        node, arcs = self.at[state >> 8]
-        node = end = self._goto(node, byte)
-        while True:
-            token = self.ends[end]
-            if token < 0:
-                raise ValueError(f"byte {byte} has no token")
-            before = arcs[-self.width[token]]
-            if before < 0:
-                break
-            arc = self.arcs.get(before << 20 | token)
-            if arc is None:
-                if len(self.arcs) > ARCS_KEPT:
-                    self.arcs.clear()
-                arc = self.arcs[before << 20 | token] = self.has_arc(self.target[before], token)
-            if arc:
-                break
-            end = self.shorter[end]
-        key = (node, (*arcs, token)[-self.depth[node] - 1 :])
-        to = self.states.setdefault(key, len(self.at) << 8)
-        if to >> 8 == len(self.at):
-            self.at.append(key)
-            self.last.append(token)
-        self.delta[state + byte] = to
-        return to
-
     def _gadget(self, k: int, a: int, b: int) -> None:
         c = self.ids[self.labels[a] + self.labels[b]]
         p, after = self.target[a], self.target[b]
@@ -194,21 +163,40 @@ class Automaton:
             state = self.above[self.run[state]]
         return True
 
-    def encode(self, word: bytes) -> list[int]:
-        """Tokens of a pre-split word."""
-        if len(self.at) > STATES_KEPT:
-            self._restart()
-        step, last, width = self.delta.get, self.last, self.width
-        state, states = 0, []
+    def _arc(self, before: int, token: int) -> bool:
+        if len(self.arcs) > ARCS_KEPT:
+            self.arcs.clear()
+        got = self.arcs[before << 20 | token] = self.has_arc(self.target[before], token)
+        return got
+
+    def encode(self, word: bytes) -> list[str]:
+        """Tokens of a pre-split word, in decimal."""
+        step, arcs, ends, shorter, width, names = self.bytes.get, self.arcs.get, self.ends, self.shorter, self.width, self.names
+        last = [-1]  # last arc of each prefix's path
+        node = at = 0
         for byte in word:
-            to = step(state + byte)
-            state = self._compile(state, byte) if to is None else to
-            states.append(state)
-        path, end = [], len(word)
-        while end:
-            token = last[states[end - 1] >> 8]
-            path.append(token)
-            end -= width[token]
+            at += 1
+            to = step(node << 8 | byte)
+            if to is None:
+                to = self.bytes[node << 8 | byte] = self._goto(node, byte)
+            node = end = to
+            while True:
+                token = ends[end]
+                if token < 0:
+                    raise ValueError(f"byte {byte} has no token")
+                before = last[at - width[token]]
+                if before < 0:
+                    break
+                known = arcs(before << 20 | token)
+                if known or known is None and self._arc(before, token):
+                    break
+                end = shorter[end]
+            last.append(token)
+        path = []
+        while at:
+            token = last[at]
+            path.append(names[token])
+            at -= width[token]
         path.reverse()
         return path
 
@@ -237,27 +225,25 @@ class Codec:
         self.older_words: dict[str, str] = {}
 
     def _plain(self, text: str) -> str:
-        words = self.words
-        return ",".join([words.get(w) or self._word(w) for w in self.split(text)])
+        found = self.split(text)
+        return self._word(found[0]) if len(found) == 1 else ",".join(map(self._word, found))
 
     def _word(self, word: str) -> str:
-        got = self.older_words.get(word) or ",".join(map(str, self.automaton.encode(word.encode())))
-        if len(word) <= LONGEST_KEPT:
-            if len(self.words) >= CHUNKS_KEPT:
-                self.older_words, self.words = self.words, {}
-            self.words[word] = got
+        got = self.words.get(word)
+        if got is None:
+            got = self.older_words.get(word) or ",".join(self.automaton.encode(word.encode()))
+            if len(word) <= LONGEST_KEPT:
+                if len(self.words) >= WORDS_KEPT:
+                    self.older_words, self.words = self.words, {}
+                self.words[word] = got
         return got
 
     def _segment(self, text: str) -> str:
-        if _RUN.search(text) or text[-1] == " " or text[0] == " ":
+        if text[-1] == " " or text[0] == " " or any(x in text for x in _RUNS):
             return self._plain(text)
         head, *parts = text.split(" ")
-        chunks = self.chunks
-        try:
-            done = [chunks[p] for p in parts]
-        except KeyError:
-            done = [chunks[p] if p in chunks else self._chunk(p) for p in parts]
-        return ",".join([self._plain(head), *done])
+        known, make = self.chunks.get, self._chunk
+        return ",".join([self._plain(head), *[known(p) or make(p) for p in parts]])
 
     def _chunk(self, part: str) -> str:
         got = self.older.get(part)
