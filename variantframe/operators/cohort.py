@@ -93,9 +93,13 @@ def export(df: DataFrame, columns: Sequence[str] = tuple(COHORT)) -> DataFrame:
     return df.select(*columns)
 
 
+def _digest(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+
+
 def group_split(df: DataFrame, group: str, percent: int = 80, seed: int = 42, into: str = "split") -> DataFrame:
-    """train or validation by group, the same in every run."""
-    bucket = F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(100))
+    """train or validation by group, by the first 32 bits of the MD5 of seed and group, the same in every run and engine; a null group counts as an empty text."""
+    bucket = F.pmod(F.conv(F.substring(_digest(group, seed), 1, 8), 16, 10).cast("long"), F.lit(100))
     return df.withColumn(into, F.when(bucket < percent, "train").otherwise("validation"))
 
 
@@ -106,10 +110,10 @@ def impute_median(df: DataFrame, columns: Sequence[str], train: Column) -> DataF
 
 
 def priority_sample(df: DataFrame, keep: Column, key: str, cap: int, seed: int = 42) -> DataFrame:
-    """All rows to keep, and others by hash order up to ``cap`` rows in all (at least the kept ones)."""
+    """All rows to keep, and others by the order of the MD5 of seed and key up to ``cap`` rows in all (at least the kept ones)."""
     kept = df.where(keep)
     rest = max(0, cap - kept.count())
-    others = df.where(~F.coalesce(keep, F.lit(False))).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rest)
+    others = df.where(~F.coalesce(keep, F.lit(False))).orderBy(_digest(key, seed), key).limit(rest)
     return kept.unionByName(others)
 
 

@@ -39,13 +39,15 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 def store_round(df: DataFrame) -> DataFrame:
     """One round's table of an iterative operator, with its lineage cut by a checkpoint in the shared folder.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests) a
-    local one is made.
+    The folder is spark.checkpoint.dir; only where that is unset and Spark runs
+    in one process (tests) a local one is made, a cluster without it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             base = "file://" + tempfile.mkdtemp(prefix="variantframe_")

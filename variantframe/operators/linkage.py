@@ -100,6 +100,20 @@ def link_blocked(left: DataFrame, right: DataFrame, block: Sequence[str], score:
     return first_per(j.select("left_id", "right_id", "score"), ["left_id"], [F.desc("score"), F.col("right_id")])
 
 
+def link_near(left: DataFrame, right: DataFrame, value_left: str, value_right: str, within: float, score: Column, least: float) -> DataFrame:
+    """Best partner of each left row among all pairs whose values differ by ``within`` at most and whose score reaches a threshold; columns must not clash.
+
+    Every pair that a score which ends at that difference can find is compared,
+    with no other block: values fall into bins of that width and meet their own
+    and the two neighbouring bins.  Null values have no partner.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / within)
+    l = left.where(F.col(value_left).isNotNull()).withColumn("_bin", F.explode(F.array(*[bin_of(value_left) + k for k in (-1, 0, 1)])))
+    r = right.where(F.col(value_right).isNotNull()).withColumn("_bin", bin_of(value_right))
+    j = l.join(r, "_bin").where(F.abs(F.col(value_left) - F.col(value_right)) <= within).withColumn("score", score).where(F.col("score") >= least)
+    return first_per(j.select("left_id", "right_id", "score"), ["left_id"], [F.desc("score"), F.col("right_id")])
+
+
 def attach_session(trials: DataFrame, sessions: DataFrame, key: Sequence[str], tie: str) -> DataFrame:
     """Trials with the session of their composite key; of repeated keys the first by ``tie`` counts."""
     return trials.join(first_per(sessions, key, [F.col(tie)]), list(key), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Component weights, and scores by class.
@@ -163,8 +163,8 @@ def merge_gene_sources(sources: dict[str, DataFrame], strength: dict[str, int],
     return out.select("gene_symbol", "evidence", F.coalesce("sources", F.lit("clinvar")).alias("sources"), in_cv.alias("in_clinvar"), tier.alias("confidence"))
 
 
-def filter_variants(df: DataFrame, chrom: str | None = None, region: str | None = None, gene: str | None = None, coding: bool | None = None, confidence: Sequence[str] | None = None, listed: str = "all_overlapping_genes") -> DataFrame:
-    """Composed filters: chromosome, region class (splice_region means its two consequences), gene (exact, or in the list), coding, confidence."""
+def filter_variants(df: DataFrame, chrom: str | None = None, region: str | None = None, gene: str | None = None, coding: bool | None = None, confidence: Sequence[str] | None = None, listed: str = "all_overlapping_genes", substring: bool = False) -> DataFrame:
+    """Composed filters: chromosome, region class (splice_region means its two consequences), gene (exact, or in the list; with ``substring`` anywhere in the list's text), coding, confidence."""
     out = df
     if chrom:
         out = out.where(F.col("CHROM") == chrom)
@@ -175,7 +175,7 @@ def filter_variants(df: DataFrame, chrom: str | None = None, region: str | None
     if gene:
         g = F.upper("gene_name") == gene.upper()
         if listed in df.columns:
-            g = g | F.array_contains(F.split(F.upper(listed), ","), gene.upper())
+            g = g | (F.contains(F.upper(listed), F.lit(gene.upper())) if substring else F.array_contains(F.split(F.upper(listed), ","), gene.upper()))
         out = out.where(g)
     if coding is not None:
         out = out.where(F.col("is_coding") == coding)
@@ -184,6 +184,39 @@ def filter_variants(df: DataFrame, chrom: str | None = None, region: str | None
     return out
 
 
+#: Sort keys of the gene table and the columns they stand for.
+GENE_SORTS = {"ranking_score": "ranking_score_mean", "variant_count": "n_variants", "sum_abs_beta": "sum_abs_beta", "mean_cadd": "mean_cadd", "alphabetical": "gene_name"}
+
+
+def browse_genes(genes: DataFrame, q: str = "", sort_by: str = "sum_abs_beta", descending: bool = True, min_variants: int = 1, confidence: str | None = None, clinical_only: bool = False, place: str | None = None) -> DataFrame:
+    """Genes whose symbol contains ``q`` (case ignored), with at least so many variants, and of a clinical confidence, in order.
+
+    ``genes`` has gene_name, the figures of `GENE_SORTS` and ``clinical``, the
+    confidence of a clinical gene or null.  An unknown sort key is
+    sum_abs_beta; null figures count as 0; symbols run the other way, so that
+    they begin with A where figures begin with the greatest; ties go by symbol.
+    ``place`` keeps the position, from 1, under that name: what passes the
+    filters is then ordered in one task, which a table of genes bounds.
+    """
+    out = genes
+    if q.strip():
+        out = out.where(F.contains(F.upper("gene_name"), F.lit(q.strip().upper())))
+    if min_variants > 1:
+        out = out.where(F.col("n_variants") >= min_variants)
+    if clinical_only:
+        out = out.where(F.col("clinical").isNotNull())
+    if confidence:
+        out = out.where(F.lower("clinical") == confidence.lower())
+    if sort_by == "alphabetical":
+        order = [F.asc("gene_name") if descending else F.desc("gene_name")]
+    else:
+        key = F.coalesce(F.col(GENE_SORTS.get(sort_by, "sum_abs_beta")), F.lit(0))
+        order = [key.desc() if descending else key.asc(), F.asc("gene_name")]
+    if place:
+        return out.withColumn(place, F.row_number().over(Window.orderBy(*order)))
+    return out.orderBy(*order)
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, most: int = 500) -> tuple[DataFrame, dict[str, int]]:
     """Rows of one page under a total order, and totals; page and size are drawn in to what there is."""
     size = max(1, min(size, most))

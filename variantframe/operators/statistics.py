@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_sum, small
+from .common import running_sum, small, store_round
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = (), percents: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
@@ -175,6 +175,7 @@ def logistic(df: DataFrame, case: str, features: Sequence[str], steps: int = 12)
 
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
     rows = df.select(F.col(case).cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(x)]).na.drop()
+    rows = store_round(rows)  # read once a step
     k = len(x)
     beta = np.zeros(k)
 

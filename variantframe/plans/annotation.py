@@ -104,20 +104,35 @@ def _complement(r):
     return r("catalog").select("zarr_idx", alleles.complement(s).alias("comp"), alleles.reverse_complement(s).alias("rev"), alleles.palindromic(F.col("REF"), F.col("ALT")).alias("pal"))
 
 
-@book.add("cds_offsets", """SELECT transcript_id, b AS begin, coalesce(sum(e - b) OVER (PARTITION BY transcript_id ORDER BY CASE WHEN iv % 50 % 2 = 0 THEN -b ELSE b END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cds_offset FROM (SELECT *, 'T' || (iv % 50) AS transcript_id FROM intervals WHERE iv < 300)""", "intervals")
+@book.add("cds_offsets", """SELECT iv, transcript_id, b AS begin, coalesce(sum(e - b) OVER (PARTITION BY transcript_id ORDER BY CASE WHEN iv % 50 % 2 = 0 THEN -b ELSE b END, iv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cds_offset FROM (SELECT *, 'T' || (iv % 50) AS transcript_id FROM intervals)""", "intervals")
 def _offsets(r):
-    i = r("intervals").where("iv < 300")
-    cds = i.select(F.concat(F.lit("T"), F.col("iv") % 50).alias("transcript_id"), F.col("b").alias("begin"), F.col("e").alias("end"), F.when(F.col("iv") % 50 % 2 == 0, "-").otherwise("+").alias("strand"))
-    return coding_offsets(cds).select("transcript_id", "begin", F.col("cds_offset").cast("long").alias("cds_offset"))
-
-
-@book.add("cds_offsets_all", """SELECT iv, transcript_id, b AS begin, coalesce(sum(e - b) OVER (PARTITION BY transcript_id ORDER BY CASE WHEN iv % 50 % 2 = 0 THEN -b ELSE b END, iv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cds_offset FROM (SELECT *, 'T' || (iv % 50) AS transcript_id FROM intervals)""", "intervals")
-def _offsets_all(r):
-    """Offsets of every interval's part; cds_offsets and its SQL hold the intervals below 300 only."""
     cds = r("intervals").select("iv", F.concat(F.lit("T"), F.col("iv") % 50).alias("transcript_id"), F.col("b").alias("begin"), F.col("e").alias("end"), F.when(F.col("iv") % 50 % 2 == 0, "-").otherwise("+").alias("strand"))
     return coding_offsets(cds, ["iv"]).select("iv", "transcript_id", "begin", F.col("cds_offset").cast("long").alias("cds_offset"))
 
 
+@book.add("ref_decision", "SELECT zarr_idx, CASE WHEN b = OA THEN 'effect_is_alt' WHEN b = EA THEN 'effect_is_ref' ELSE 'no_match' END AS decision FROM (SELECT rowid AS zarr_idx, EA, OA, substr('ACGT', CAST(rowid % 4 + 1 AS INT), 1) AS b FROM weights)", "weights")
+def _ref(r):
+    base = F.substring(F.lit("acgt"), (F.col("rowid") % 4 + 1).cast("int"), F.lit(1))
+    return r("weights").select(F.col("rowid").alias("zarr_idx"), alleles.ref_decision(base, F.col("EA"), F.col("OA")).alias("decision"))
+
+
+@book.add("splice_type", "SELECT zarr_idx, CASE WHEN REF || ALT = 'GT' THEN 'donor' WHEN ALT || REF = 'AG' THEN 'acceptor' END AS splice FROM catalog", "catalog")
+def _splice(r):
+    return r("catalog").select("zarr_idx", alleles.splice_type(F.concat("ALT", "REF"), F.lower(F.concat("REF", "ALT"))).alias("splice"))
+
+
+_ELEMENTS = ["PLS", "pELS", "dELS", "CTCF-only", "DNase-H3K4me3", "ctcf", "Ep300", "TBP", "rest", "my promoter", "Weak Enhancer", "OREG0001", "x", "", "  ", "tfbs_1", "Repressed", "silencer9", "insulator x", "DNase"]
+
+
+@book.add("element_type", f"""SELECT p_partkey, CASE WHEN n IS NULL OR trim(n) = '' THEN 'regulatory_element' WHEN n = 'PLS' THEN 'promoter' WHEN n = 'pELS' THEN 'proximal_enhancer' WHEN n = 'dELS' THEN 'distal_enhancer' WHEN n = 'CTCF-only' THEN 'insulator' WHEN n = 'DNase-H3K4me3' THEN 'open_chromatin'
+  WHEN upper(n) IN ('CTCF', 'RAD21', 'SMC3') THEN 'insulator' WHEN upper(n) IN ('EP300', 'P300') THEN 'enhancer' WHEN upper(n) IN ('POLR2A', 'TBP', 'TAF1') THEN 'promoter' WHEN upper(n) IN ('REST', 'EZH2') THEN 'repressor' WHEN contains(lower(n), 'promoter') THEN 'promoter' WHEN contains(lower(n), 'enhancer') THEN 'enhancer'
+  WHEN contains(lower(n), 'insulator') THEN 'insulator' WHEN contains(lower(n), 'silencer') THEN 'silencer' WHEN contains(lower(n), 'repress') THEN 'repressor' WHEN contains(lower(n), 'dnase') THEN 'open_chromatin' WHEN contains(lower(n), 'oreg') THEN 'regulatory_region' WHEN contains(lower(n), 'tfbs') THEN 'TFBS' ELSE 'regulatory_element' END AS element_type
+  FROM (SELECT p_partkey, {_ELEMENTS!r}[CAST(p_partkey % 21 + 1 AS INT)] AS n FROM part)""")
+def _element(r):
+    name = F.get(F.array(*[F.lit(x) for x in _ELEMENTS]), (F.col("p_partkey") % 21).cast("int"))
+    return r("part").select("p_partkey", annotation.element_type(name).alias("element_type"))
+
+
 @book.add("chrom_normalize", "SELECT zarr_idx, CASE x WHEN '23' THEN 'X' WHEN '24' THEN 'Y' WHEN 'M' THEN 'MT' ELSE x END AS chrom FROM (SELECT zarr_idx, upper((zarr_idx % 26)::VARCHAR) AS x FROM catalog)")
 def _chrom(r):
     c = F.concat(F.when(F.col("zarr_idx") % 2 == 0, "chr").otherwise("CHR"), (F.col("zarr_idx") % 26).cast("string"))

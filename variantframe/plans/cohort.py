@@ -137,26 +137,18 @@ def _impute(r):
     return m.join(a, "PATID").select("PATID", "D040", F.when(F.col("PATID") % 9 != 0, F.col("AGE")).otherwise(F.lit(med)).alias("AGE"))
 
 
-@book.add("group_split", None)
+@book.add("group_split", "SELECT split, count(*) AS n, count(DISTINCT family) AS families FROM (SELECT family, CASE WHEN ('0x' || substr(md5('42:' || family), 1, 8))::BIGINT % 100 < 80 THEN 'train' ELSE 'validation' END AS split FROM (SELECT PATID % 200 AS family FROM cohort)) GROUP BY split", "cohort")
 def _split(r):
     return cohort.group_split(r("cohort").select("PATID", (F.col("PATID") % 200).alias("family")), "family").groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("family").alias("families"))
 
 
-@book.add("priority_sample", None)
+@book.add("priority_sample", "SELECT PATID, AGE FROM cohort WHERE AGE > 85 UNION ALL SELECT PATID, AGE FROM (SELECT PATID, AGE, row_number() OVER (ORDER BY md5('42:' || PATID), PATID) AS k FROM cohort WHERE NOT AGE > 85) WHERE k <= 300 - (SELECT count(*) FROM cohort WHERE AGE > 85)", "cohort")
 def _sample(r):
     return cohort.priority_sample(r("cohort").select("PATID", "AGE"), F.col("AGE") > 85, "PATID", 300)
 
 
-@book.add("chained_mapping", "SELECT o_orderkey AS IID, o_custkey AS PATID, CASE WHEN o_custkey % 4 <> 0 THEN (o_custkey % 2)::INT END AS sex FROM orders WHERE o_orderkey % 10 = 0")
+@book.add("chained_mapping", "SELECT o_orderkey AS IID, o_custkey AS PATID, CASE WHEN o_custkey % 4 <> 0 THEN (o_custkey % 2)::INT END AS sex FROM orders")
 def _chained(r):
-    o = r("orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("IID"), F.col("o_custkey").alias("PATID"))
-    sex = r("customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("PATID"), (F.col("c_custkey") % 2).cast("int").alias("sex"))
-    return cohort.mapped_sex(o.select("IID"), o, sex)
-
-
-@book.add("chained_mapping_all", "SELECT o_orderkey AS IID, o_custkey AS PATID, CASE WHEN o_custkey % 4 <> 0 THEN (o_custkey % 2)::INT END AS sex FROM orders")
-def _chained_all(r):
-    """Sex of every order's customer; chained_mapping and its SQL hold a tenth of the orders only."""
     o = r("orders").select(F.col("o_orderkey").alias("IID"), F.col("o_custkey").alias("PATID"))
     sex = r("customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("PATID"), (F.col("c_custkey") % 2).cast("int").alias("sex"))
     return cohort.mapped_sex(o.select("IID"), o, sex)

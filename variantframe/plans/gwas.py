@@ -88,7 +88,9 @@ def _rejects(r):
     return gwas.reject_reasons(w, checks).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-@book.add("clump_greedy", None)
+@book.add("clump_greedy", """WITH RECURSIVE h AS (SELECT SNP, row_number() OVER (ORDER BY P, SNP) AS k FROM (SELECT SNP, min(P) AS P FROM hits GROUP BY SNP)),
+  g(k, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT h.k, CASE WHEN list_contains(chosen, SNP + 1) AND SNP % 10 >= 3 OR list_contains(chosen, SNP - 1) AND (SNP - 1) % 10 >= 3 THEN chosen ELSE list_append(chosen, SNP) END FROM g JOIN h ON h.k = g.k + 1)
+  SELECT unnest(chosen) AS SNP FROM g WHERE k = (SELECT max(k) FROM h)""", "hits")
 def _clump(r):
     hits = r("hits").groupBy("SNP").agg(F.min("P").alias("P"))
     pairs = hits.select(F.col("SNP").alias("a"), (F.col("SNP") + 1).alias("b"), (F.pmod(F.col("SNP"), F.lit(10)) / 10.0).cast("double").alias("r2"))

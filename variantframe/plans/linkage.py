@@ -67,16 +67,17 @@ def _blocked(r):
     return linkage.link_blocked(l, s, ["nation"], score, 0.5)
 
 
-@book.add("attach_session", "SELECT l_orderkey, l_linenumber, l_partkey, o FROM lineitem LEFT JOIN (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1) s ON s.k = l_suppkey WHERE l_linenumber = 1")
-def _session(r):
-    t = r("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("k"))
-    s = r("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
-    return linkage.attach_session(t, s, ["k"], "o").drop("k")
+@book.add("linkage_all_pairs", """SELECT left_id, right_id, score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rn FROM (SELECT c_custkey AS left_id, s_suppkey AS right_id,
+  round(CASE WHEN abs(c_acctbal - s_acctbal) <= 40 THEN 1 - abs(c_acctbal - s_acctbal) / 40 ELSE 0 END, 6) AS score FROM customer, supplier) WHERE score >= 0.5) WHERE rn = 1""")
+def _all_pairs(r):
+    l = r("customer").select(F.col("c_custkey").alias("left_id"), "c_acctbal")
+    s = r("supplier").select(F.col("s_suppkey").alias("right_id"), "s_acctbal")
+    score = F.round(linkage.linear_points(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 1.0, 40.0), 6)
+    return linkage.link_near(l, s, "c_acctbal", "s_acctbal", 40.0, score, 0.5)
 
 
-@book.add("attach_session_all", "SELECT l_orderkey, l_linenumber, l_partkey, o FROM lineitem LEFT JOIN (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1) s ON s.k = l_suppkey")
-def _session_all(r):
-    """Every trial with its session; attach_session and its SQL hold the first line of each order only."""
+@book.add("attach_session", "SELECT l_orderkey, l_linenumber, l_partkey, o FROM lineitem LEFT JOIN (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1) s ON s.k = l_suppkey")
+def _session(r):
     t = r("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("k"))
     s = r("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
     return linkage.attach_session(t, s, ["k"], "o").drop("k")

@@ -77,6 +77,8 @@ def oracle(sql: str, roles: str = "") -> str:
     body = sql.strip()
     if not with_:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {with_}, {body[15:]}"
     return f"WITH {with_}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {with_} {body}"
 
 

@@ -119,17 +119,7 @@ def array_scores(r):
     return scoring.score_arrays(matched, arrays, ids, "skip", counts=True).withColumn("sample_id", F.col("sample_id").cast("long"))
 
 
-@book.add("prs_array_layout", "SELECT 'ok' AS result", "")
-def _arrays(r):
-    """Array layout and long layout agree on the scores of all samples, of which there are some."""
-    a = array_scores(r).select("sample_id", F.col("PRS").alias("a"), F.col("n_variants").alias("na"))
-    b = scoring.score_samples(best(r), r("dosage"), "skip").select("sample_id", F.col("PRS").alias("b"), F.col("n_variants").alias("nb"))
-    equal = (F.abs(F.col("a") - F.col("b")) <= 1e-5) & (F.col("na") == F.col("nb"))
-    same = a.join(b, "sample_id", "full").agg(F.count("*").alias("n"), F.count_if(equal).alias("equal"))
-    return same.select(F.when((F.col("n") > 0) & (F.col("n") == F.col("equal")), "ok").otherwise("different").alias("result"))
-
-
-@book.add("prs_array_scores", f"WITH {CANDIDATES}, {PRS} SELECT sample_id, round(PRS, 6) + 0 AS PRS, n_variants FROM prs", "catalog weights dosage")
+@book.add("prs_array_layout", f"WITH {CANDIDATES}, {PRS} SELECT sample_id, round(PRS, 6) + 0 AS PRS, n_variants FROM prs", "catalog weights dosage")
 def _array_scores(r):
     return rounded(array_scores(r))
 
@@ -175,14 +165,18 @@ def _either(r):
     return matching.match_either_id(r("gwas_f"), ids).select("CHROM", "POS", "A0", "A1", "panel_id", "swapped")
 
 
-@book.add("liftover_rejoin", "SELECT POS AS rowid, g.CHROM, CASE WHEN POS % 5 <> 0 THEN POS + 17 END AS new_pos, CASE WHEN POS % 5 = 0 THEN 'unmapped' WHEN POS % 7 = 0 THEN 'chrom_changed' ELSE 'mapped' END AS status FROM gwas_f g")
+@book.add("liftover_rejoin", """WITH l AS (SELECT POS AS rowid, CASE WHEN POS % 7 = 0 THEN 'other' ELSE CHROM END AS c, POS + 17 AS p FROM gwas_f WHERE POS % 5 <> 0)
+  SELECT g.POS AS rowid, g.CHROM, l.p AS new_pos, CASE WHEN l.rowid IS NULL THEN 'unmapped' WHEN l.c <> g.CHROM THEN 'chrom_changed' ELSE 'mapped' END AS status FROM gwas_f g LEFT JOIN l ON l.rowid = g.POS""", "gwas_f")
 def _lift(r):
     g = r("gwas_f").withColumn("rowid", F.col("POS"))
     lifted = g.where("POS % 5 <> 0").select("rowid", F.when(F.col("POS") % 7 == 0, "other").otherwise(F.col("CHROM")).alias("CHROM"), (F.col("POS") + 17).alias("POS"))
     return matching.liftover_rejoin(g, lifted).select("rowid", "CHROM", "new_pos", "status")
 
 
-@book.add("two_source_frequency", """SELECT c.zarr_idx, CASE WHEN zarr_idx % 3 = 0 THEN 0.1 WHEN zarr_idx % 4 = 0 THEN 0.2 END::DOUBLE AS af, CASE WHEN zarr_idx % 3 = 0 THEN 'first' WHEN zarr_idx % 4 = 0 THEN 'second' END AS source FROM catalog c""")
+@book.add("two_source_frequency", """WITH f AS (SELECT CHROM, POS, CASE WHEN zarr_idx % 2 = 0 THEN REF ELSE ALT END AS REF, CASE WHEN zarr_idx % 2 = 0 THEN ALT ELSE REF END AS ALT, 0.1::DOUBLE AS af FROM catalog WHERE zarr_idx % 3 = 0),
+  s AS (SELECT CHROM, POS, REF, ALT, 0.2::DOUBLE AS af FROM catalog WHERE zarr_idx % 4 = 0)
+  SELECT c.zarr_idx, coalesce(f.af, s.af) AS af, CASE WHEN f.af IS NOT NULL THEN 'first' WHEN s.af IS NOT NULL THEN 'second' END AS source FROM catalog c
+  LEFT JOIN f ON f.CHROM = c.CHROM AND f.POS = c.POS AND (f.REF = c.REF AND f.ALT = c.ALT OR f.REF = c.ALT AND f.ALT = c.REF) LEFT JOIN s ON s.CHROM = c.CHROM AND s.POS = c.POS AND (s.REF = c.REF AND s.ALT = c.ALT OR s.REF = c.ALT AND s.ALT = c.REF)""", "catalog")
 def _two(r):
     c = r("catalog")
     first = c.where("zarr_idx % 3 = 0").select("CHROM", "POS", F.when(F.col("zarr_idx") % 2 == 0, F.col("REF")).otherwise(F.col("ALT")).alias("REF"), F.when(F.col("zarr_idx") % 2 == 0, F.col("ALT")).otherwise(F.col("REF")).alias("ALT"), F.lit(0.1).alias("af"))
@@ -190,7 +184,10 @@ def _two(r):
     return matching.two_source(c, first, second).select("zarr_idx", "af", "source")
 
 
-@book.add("multiallelic_match", """SELECT zarr_idx, 'rs' || zarr_idx AS rsid, CASE zarr_idx % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0 END::INT AS alt_index, CASE zarr_idx % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'multi_allelic' ELSE 'swapped' END AS kind FROM catalog""")
+@book.add("multiallelic_match", """WITH sites AS (SELECT CHROM, POS, CASE WHEN zarr_idx % 3 = 2 THEN ALT ELSE REF END AS sref, CASE zarr_idx % 3 WHEN 0 THEN [ALT] WHEN 1 THEN ['N', ALT] ELSE [REF] END AS alts, 'rs' || zarr_idx AS rsid FROM catalog),
+  x AS (SELECT *, unnest(alts) AS salt, unnest(range(len(alts))) AS alt_index FROM sites),
+  j AS (SELECT zarr_idx, rsid, alt_index, CASE WHEN REF = sref AND ALT = salt AND len(alts) = 1 THEN 0 WHEN REF = sref AND ALT = salt THEN 1 ELSE 2 END AS k FROM catalog c JOIN x ON x.CHROM = c.CHROM AND x.POS = c.POS AND (REF = sref AND ALT = salt OR REF = salt AND ALT = sref))
+  SELECT zarr_idx, rsid, alt_index::INT AS alt_index, ['exact', 'multi_allelic', 'swapped'][k + 1] AS kind FROM (SELECT *, row_number() OVER (PARTITION BY zarr_idx ORDER BY k, rsid, alt_index) AS rn FROM j) WHERE rn = 1""", "catalog")
 def _multi(r):
     c = r("catalog")
     k = F.col("zarr_idx") % 3
@@ -205,7 +202,8 @@ def _harmonize(r):
     return rounded(matching.harmonize(r("gwas_f"), m).select("CHROM", "POS", "A0", "A1", "BETA"))
 
 
-@book.add("variant_lookup_sources", "SELECT c.zarr_idx, CASE WHEN zarr_idx % 2 = 0 THEN zarr_idx * 2 END AS a, CASE WHEN zarr_idx % 3 = 0 THEN 'x' || zarr_idx END AS b FROM catalog c")
+@book.add("variant_lookup_sources", """SELECT c.zarr_idx, o.a, t.b FROM catalog c LEFT JOIN (SELECT CHROM, POS, REF, ALT, min(zarr_idx * 2) AS a FROM catalog WHERE zarr_idx % 2 = 0 GROUP BY ALL) o USING (CHROM, POS, REF, ALT)
+  LEFT JOIN (SELECT CHROM, POS, REF, ALT, min('x' || zarr_idx) AS b FROM catalog WHERE zarr_idx % 3 = 0 GROUP BY ALL) t USING (CHROM, POS, REF, ALT)""", "catalog")
 def _lookup_sources(r):
     c = r("catalog")
     keys = ["CHROM", "POS", "REF", "ALT"]

@@ -140,6 +140,26 @@ def _auc(r):
     return rounded(statistics.auc(r("scores"), "prs", "status"))
 
 
+_ETA = "b0 + b1 * x + b2 * s"
+_MU = f"(1 / (1 + exp(-({_ETA}))))"
+_H = {(i, j): f"sum({_MU} * (1 - {_MU}) * {u} * {v})" for i, u in enumerate(("1", "x", "s")) for j, v in enumerate(("1", "x", "s")) if i <= j}
+_DET = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+_INV = [["d * f - e * e", "c * e - b * f", "b * e - c * d"], ["c * e - b * f", "a * f - c * c", "b * c - a * e"], ["b * e - c * d", "b * c - a * e", "a * d - b * b"]]
+LOGISTIC = f"""WITH RECURSIVE t AS (SELECT status::DOUBLE AS y, raw / 1000 AS x, sex::DOUBLE AS s FROM scores WHERE raw IS NOT NULL),
+  n(k, b0, b1, b2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL SELECT k + 1, {", ".join(f"b{i} + (({_INV[i][0]}) * g0 + ({_INV[i][1]}) * g1 + ({_INV[i][2]}) * g2) / {_DET}" for i in range(3))} FROM (
+    SELECT k, b0, b1, b2, sum(y - {_MU}) AS g0, sum((y - {_MU}) * x) AS g1, sum((y - {_MU}) * s) AS g2, {_H[0, 0]} AS a, {_H[0, 1]} AS b, {_H[0, 2]} AS c, {_H[1, 1]} AS d, {_H[1, 2]} AS e, {_H[2, 2]} AS f FROM n, t WHERE k < 12 GROUP BY k, b0, b1, b2)),
+  z AS (SELECT b0, b1, b2, {_H[0, 0]} AS a, {_H[0, 1]} AS b, {_H[0, 2]} AS c, {_H[1, 1]} AS d, {_H[1, 2]} AS e, {_H[2, 2]} AS f, sum(y * ({_ETA}) - ln(1 + exp({_ETA}))) AS ll, count(*) AS m, avg(y) AS p FROM n, t WHERE k = 12 GROUP BY b0, b1, b2),
+  r AS (SELECT unnest(['(intercept)', 'x', 'sex']) AS term, unnest([b0, b1, b2]) AS v, unnest([{", ".join(f"sqrt(({_INV[i][i]}) / {_DET})" for i in range(3))}]) AS se, ll, m, m * (p * ln(p) + (1 - p) * ln(1 - p)) AS l0 FROM z)
+  SELECT term, round(v, 6) AS estimate, round(se, 6) AS se, round(v / se, 6) AS z, round(exp(v), 6) AS odds_ratio, round(exp(v - 1.96 * se), 6) AS ci_low, round(exp(v + 1.96 * se), 6) AS ci_high, round((1 - exp(2 * (l0 - ll) / m)) / (1 - exp(2 * l0 / m)), 6) AS r2 FROM r"""
+
+
+@book.add("logistic_estimates", LOGISTIC, "scores")
+def _logistic_estimates(r):
+    """All of logistic_fit but its p-values: SQL has no normal distribution."""
+    s = r("scores").withColumn("x", F.col("raw") / 1000)
+    return rounded(statistics.logistic(s, "status", ["x", "sex"]).drop("p"))
+
+
 @book.add("logistic_fit", None)
 def _logistic(r):
     s = r("scores").withColumn("x", F.col("raw") / 1000)
@@ -235,6 +255,28 @@ def _filters(r):
     return rounded(ranking.filter_variants(r("annotated"), "Brand#7", "splice_region", "economy3").select(*ROW))
 
 
+@book.add("variant_filters_substring", "SELECT PRS_ID, CHROM, POS, l_orderkey, l_linenumber, round(BETA, 6) AS BETA FROM annotated WHERE CHROM = 'Brand#7' AND consequence IN ('splice_region_variant', 'splice_site_variant') AND (lower(gene_name) = 'economy3' OR contains(lower(all_overlapping_genes), 'economy3'))", "annotated")
+def _filters_substring(r):
+    return rounded(ranking.filter_variants(r("annotated"), "Brand#7", "splice_region", "economy3", substring=True).select(*ROW))
+
+
+_GENES = "SELECT gene_name, n_variants, sum_abs_beta, mean_cadd, n_variants * 0.5::DOUBLE AS ranking_score_mean, clinical FROM (SELECT gene_name, count(*) AS n_variants, round(sum(abs(BETA)), 6) AS sum_abs_beta, round(avg(cadd), 6) AS mean_cadd FROM annotated GROUP BY 1) LEFT JOIN (SELECT gene_symbol, confidence AS clinical FROM clinical) c ON gene_symbol = upper(gene_name)"
+
+
+def _gene_table(r):
+    g = rounded(r("annotated").groupBy("gene_name").agg(F.count("*").alias("n_variants"), F.sum(F.abs("BETA")).alias("sum_abs_beta"), F.avg("cadd").alias("mean_cadd")))
+    c = r("clinical").select("gene_symbol", F.col("confidence").alias("clinical"))
+    return g.join(c, F.upper("gene_name") == F.col("gene_symbol"), "left").drop("gene_symbol").withColumn("ranking_score_mean", F.col("n_variants") * 0.5)
+
+
+for _sort, _expr in ranking.GENE_SORTS.items():
+    _dir = "DESC" if _sort != "alphabetical" else "ASC"
+    _key = "gene_name" if _sort == "alphabetical" else f"coalesce({_expr}, 0)"
+    book.add(f"gene_browse_{_sort}", f"SELECT gene_name, n_variants, row_number() OVER (ORDER BY {_key} {_dir}, gene_name) AS place FROM ({_GENES}) WHERE contains(upper(gene_name), 'AR') AND n_variants >= 3 AND clinical = 'high'", "annotated clinical")(
+        lambda r, by=_sort: ranking.browse_genes(_gene_table(r), q="ar", sort_by=by, min_variants=3, confidence="HIGH", place="place").select("gene_name", "n_variants", F.col("place").cast("long").alias("place"))
+    )
+
+
 @book.add("page_slice", "SELECT sample_id, raw FROM scores ORDER BY raw DESC, sample_id LIMIT 20 OFFSET 40")
 def _page(r):
     return ranking.page(r("scores").select("sample_id", "raw"), [F.desc("raw"), F.col("sample_id")], 3, 20)[0]

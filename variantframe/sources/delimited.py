@@ -42,18 +42,15 @@ def read_parquet(spark: SparkSession, *paths: str, columns: Sequence[str] | None
     return df.select(*columns) if columns else df
 
 
-def scoring_header(spark: SparkSession, path: str, lines: int = 200) -> tuple[dict[str, str], list[str]]:
-    """`#key=value` pairs and the column names of a scoring file, from its first lines."""
+def scoring_header(spark: SparkSession, path: str) -> tuple[dict[str, str], list[str]]:
+    """`#key=value` pairs and the column names of a scoring file: its comment lines, however many, and its first other line."""
+    text = spark.read.text(path)
     pairs: dict[str, str] = {}
-    for row in spark.read.text(path).limit(lines).collect():
-        line = row[0]
-        if line.startswith("#"):
-            key, eq, value = line.lstrip("#").partition("=")
-            if eq:
-                pairs[key.strip()] = value.strip()
-        elif line.strip():
-            return pairs, line.split("\t")
-    return pairs, []
+    for row in text.where(F.col("value").startswith("#") & F.contains("value", F.lit("="))).collect():  # a header's lines
+        key, _, value = row[0].lstrip("#").partition("=")
+        pairs.setdefault(key.strip(), value.strip())
+    first = text.where(~F.col("value").startswith("#") & (F.trim("value") != "")).first()
+    return pairs, first[0].split("\t") if first else []
 
 
 def read_scoring(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:

@@ -15,10 +15,10 @@ FEATURES = ("gene", "transcript", "exon", "CDS", "five_prime_UTR", "three_prime_
 
 
 def read_vcf(spark: SparkSession, path: str, samples: Sequence[str] = ()) -> DataFrame:
-    """CHROM, POS, ID, REF, ALT, alt_index, FILTER and INFO as a map, one row for each ALT allele; sample columns as maps by FORMAT key."""
+    """CHROM, POS, ID, REF, ALT, alt_index, FILTER and INFO as a map, one row for each ALT allele; sample columns as maps by FORMAT key.  A POS that is no number is null."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
-    base = lines.select(chrom(F.get(f, 0)).alias("CHROM"), F.get(f, 1).cast("long").alias("POS"), F.nullif(F.get(f, 2), F.lit(".")).alias("ID"), F.get(f, 3).alias("REF"), F.split(F.get(f, 4), ",").alias("alts"), F.get(f, 6).alias("FILTER"), info_map(F.get(f, 7)).alias("INFO"), *[sample_map(F.get(f, 8), F.get(f, 9 + i)).alias(s) for i, s in enumerate(samples)])
+    base = lines.select(chrom(F.get(f, 0)).alias("CHROM"), F.get(f, 1).try_cast("long").alias("POS"), F.nullif(F.get(f, 2), F.lit(".")).alias("ID"), F.get(f, 3).alias("REF"), F.split(F.get(f, 4), ",").alias("alts"), F.get(f, 6).alias("FILTER"), info_map(F.get(f, 7)).alias("INFO"), *[sample_map(F.get(f, 8), F.get(f, 9 + i)).alias(s) for i, s in enumerate(samples)])
     return base.select("CHROM", "POS", "ID", "REF", F.posexplode("alts").alias("alt_index", "ALT"), "FILTER", "INFO", *samples)
 
 
