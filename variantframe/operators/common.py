@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Estimated bytes up to which a side is broadcast.
@@ -36,22 +36,29 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def store_round(df: DataFrame) -> DataFrame:
-    """One round's table of an iterative operator, with its lineage cut by a checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir; only where that is unset and Spark runs
-    in one process (tests) a local one is made, a cluster without it is an error.
+    Only where that is unset and Spark runs in one process (tests) a local one
+    is made; a cluster without it is an error.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="variantframe_")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def store_round(df: DataFrame) -> DataFrame:
+    """One round's table of an iterative operator, with its lineage cut by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="variantframe_")
-        sc.setCheckpointDir(base)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from variantframe.plans import annotation, cohort, gwas, linkage, ranges, records, scores, statistics
+from variantframe.plans import annotation, cohort, files, gwas, linkage, ranges, records, scores, statistics
 
-MODULES = (scores, statistics, ranges, annotation, cohort, linkage, gwas, records)
+MODULES = (scores, statistics, ranges, annotation, cohort, linkage, gwas, records, files)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
