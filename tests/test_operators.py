@@ -256,3 +256,34 @@ def test_ntile_equals_sql(spark):
 
         want = df.withColumn("decile", F.ntile(10).over(Window.orderBy("v", "id")))
         assert rows(windows.ntile(df, "v", "id")) == rows(want)
+
+
+def test_segments_change_no_result(spark):
+    import random
+
+    from variantframe.operators import ranges
+
+    rng = random.Random(4)
+    rows = [("c%d" % rng.randrange(2), rng.randrange(3000), i) for i in range(300)] + [(None, 5, 900), (None, 7, 901)]
+    df = spark.createDataFrame(rows, "CHROM string, pos long, point_id long")
+    whole, cut = (sorted((r["point_id"], r["cluster"]) for r in ranges.gap_clusters(df, ["CHROM"], "pos", 9, segment=s).collect()) for s in (1 << 20, 64))
+    assert whole == cut and max(c for _, c in whole) > 5
+    grid = spark.createDataFrame([("c0", x, float(x % 700)) for x in range(300, 2500, 333)] + [("c1", 40, 1.0)], "CHROM string, x long, y double")
+    whole, cut = (sorted((r["point_id"], r["y"]) for r in ranges.interpolate(df, grid, ["CHROM"], segment=s).where("y is not null").collect()) for s in (1 << 20, 64))
+    assert dict(whole) == pytest.approx(dict(cut)) and len(whole) == 300
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    import math
+
+    import numpy as np
+
+    from variantframe.operators import common, statistics
+
+    df = spark.range(997).selectExpr("id * 7919 % 1000 / 8.0 AS v").unionAll(spark.sql("SELECT CAST(NULL AS DOUBLE) AS v"))
+    shares = [0.0, 0.05, 0.5, 0.951, 1.0]
+    assert common.exact_quantiles(df, "v", shares) == pytest.approx(df.selectExpr(*[f"percentile(v, {q})" for q in shares]).first())
+    assert common.exact_quantiles(df.where("v < 0"), "v", [0.5]) == [None]
+    x = np.array([0.0, 0.3, 1.9, 2.0, 3.5, 8.0, 26.0, 50.0, np.nan])
+    got = statistics.erfc(x)
+    assert got[:-2] == pytest.approx([math.erfc(v) for v in x[:-2]], rel=1e-10) and got[-2] == 0 and np.isnan(got[-1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from variantframe.functions.scalars import any_flag, cascade, icd10_site
 from variantframe.schemas import COHORT
 
-from .common import first_per
+from .common import exact_quantiles, first_per
 
 #: Baseline flags and their sites, weakest first; a later one overrides.
 SITES = [
@@ -105,7 +105,7 @@ def group_split(df: DataFrame, group: str, percent: int = 80, seed: int = 42, in
 
 def impute_median(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
     """Nulls filled with the median of the training rows."""
-    m = df.where(train).agg(*[F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in columns]).first()
+    m = {c: exact_quantiles(df.where(train), c, [0.5])[0] for c in columns}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(m[c])) for c in columns})
 
 

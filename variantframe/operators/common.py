@@ -79,3 +79,22 @@ def running_sum(df: DataFrame, order: Sequence[Column], value: Column, into: str
     own = F.sum("_rs_value").over(Window.partitionBy("_rs_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = dealt.withColumn("_rs_own", own).join(F.broadcast(parts), "_rs_part")  # one row for each range
     return out.withColumn(into, F.col("_rs_own") + F.col("_rs_before")).drop("_rs_value", "_rs_part", "_rs_own", "_rs_before")
+
+
+def exact_quantiles(df: DataFrame, value: Column | str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a whole column, interpolated between neighbours as ``percentile`` does; None without any value.
+
+    Distinct values are counted and summed up by `running_sum`, so no task
+    holds them all, as one task's map of values would.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    counts = df.select(v.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
+    runs = running_sum(counts, [F.col("_v")], F.col("_n"), "_to")
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_all")))  # one row
+    runs = runs.join(total)
+    cells = []
+    for q in shares:
+        at = F.lit(float(q)) * (F.col("_all") - 1)
+        cells += [F.min(F.when(F.col("_to") > F.floor(at), F.col("_v"))), F.min(F.when(F.col("_to") > F.ceil(at), F.col("_v"))), F.max(at - F.floor(at))]
+    got = runs.agg(*cells).first()
+    return [None if lo is None else lo + (hi - lo) * part if part else lo for lo, hi, part in zip(got[0::3], got[1::3], got[2::3], strict=True)]

@@ -81,26 +81,54 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, id: str, chrom: st
     return near
 
 
-def gap_clusters(df: DataFrame, by: Sequence[str], pos: str, gap: int, cluster: str = "cluster") -> DataFrame:
-    """Adds the number of the cluster (from 1, by position) in which each row's position lies within ``gap`` of the one before."""
-    w = Window.partitionBy(*by).orderBy(pos)
-    new = F.when(F.col(pos) - F.lag(pos).over(w) <= gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn(cluster, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+#: Width of the segments that whole chromosomes are cut into, in positions.
+SEGMENT = 1 << 20
 
 
-def interpolate(points: DataFrame, grid: DataFrame, by: Sequence[str], pos: str = "pos", x: str = "x", y: str = "y", key: str = "point_id") -> DataFrame:
+def gap_clusters(df: DataFrame, by: Sequence[str], pos: str, gap: int, cluster: str = "cluster", segment: int = SEGMENT) -> DataFrame:
+    """Adds the number of the cluster (from 1, by position) in which each row's position lies within ``gap`` of the one before.
+
+    Windows run over segments; what a segment needs to know of those before it,
+    the last position and the number of clusters, comes from a table with one
+    row a segment.
+    """
+    cut = df.withColumn("_seg", F.floor(F.col(pos) / segment))
+    w = Window.partitionBy(*by, "_seg").orderBy(pos)
+    order = Window.partitionBy(*[f"_g_{c}" for c in by]).orderBy("_s")
+    keys = [F.col(c).alias(f"_g_{c}") for c in by]
+    edges = cut.groupBy(*keys, F.col("_seg").alias("_s")).agg(F.max(pos).alias("_last")).withColumn("_prior", F.lag("_last").over(order)).drop("_last")
+
+    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, [a[c].eqNullSafe(b[f"_g_{c}"]) for c in by] + [a["_seg"].eqNullSafe(b["_s"])]).drop("_s", *[f"_g_{c}" for c in by])
+
+    first = beside(cut, edges)
+    new = F.when(F.col(pos) - F.coalesce(F.lag(pos).over(w), F.col("_prior")) <= gap, 0).otherwise(1)
+    marked = first.withColumn("_new", new).withColumn("_own", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    counts = marked.groupBy(*keys, F.col("_seg").alias("_s")).agg(F.sum("_new").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return beside(marked, counts).withColumn(cluster, F.col("_before") + F.col("_own")).select(*[F.col(f"`{c}`") for c in df.columns if c != cluster], cluster)
+
+
+def interpolate(points: DataFrame, grid: DataFrame, by: Sequence[str], pos: str = "pos", x: str = "x", y: str = "y", key: str = "point_id", segment: int = SEGMENT) -> DataFrame:
     """Value at each point on the line between the grid's neighbours, the end values beyond the grid.
 
-    Grid and points are laid in one order; the last grid row before and the
-    first after each point come from windows.
+    Grid and points are laid in one order within segments; the last grid row
+    before and the first after each point come from windows, or, beyond the
+    segment's own, from a table with one row a segment.
     """
     g = grid.groupBy(*by, F.col(x).alias("p")).agg(F.min(y).alias("v")).withColumn("k", F.lit(None).cast(points.schema[key].dataType))
     p = points.select(*by, F.col(pos).alias("p"), F.lit(None).cast("double").alias("v"), F.col(key).alias("k"))
     rows = g.select(*by, "p", F.col("v").cast("double").alias("v"), "k").unionByName(p).withColumn("at", F.when(F.col("k").isNull(), F.struct("p", "v")))
-    w = Window.partitionBy(*by).orderBy("p", F.col("k").isNotNull())
+    rows = rows.withColumn("_seg", F.floor(F.col("p") / segment))
+    ends = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_seg").alias("_s")).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
+    order = Window.partitionBy(*[f"_g_{c}" for c in by]).orderBy("_s")
+    ends = ends.withColumn("_left", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("_right", F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.join(ends, [rows[c].eqNullSafe(ends[f"_g_{c}"]) for c in by] + [rows["_seg"].eqNullSafe(ends["_s"])])
+    w = Window.partitionBy(*by, "_seg").orderBy("p", F.col("k").isNotNull())
     before = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first("at", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("a", before).withColumn("b", after).where("k is not null")
+    rows = rows.withColumn("a", F.coalesce(before, "_left")).withColumn("b", F.coalesce(after, "_right")).where("k is not null")
     share = (F.col("p") - F.col("a.p")) / F.nullif(F.col("b.p") - F.col("a.p"), F.lit(0))
     value = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("a.p") == F.col("p")), F.col("a.v")).otherwise(F.col("a.v") + share * (F.col("b.v") - F.col("a.v")))
     return rows.select(F.col("k").alias(key), value.alias(y))

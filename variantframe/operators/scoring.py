@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +46,14 @@ def score_arrays(matched: DataFrame, variants: DataFrame, samples: Sequence[str]
     rows = variants.select("zarr_idx", F.col("dosages").cast("array<double>").alias("dosages")).join(small(m), "zarr_idx")
 
     def add(batches):
-        import pandas as pd
-
         total = n = None
-        for pdf in batches:
-            for dos, flip, beta in zip(pdf["dosages"], pdf["flip"], pdf["BETA"], strict=True):
-                d = np.array([np.nan if x is None else x for x in dos], float) if dos is not None else np.zeros(0)
-                if flip:
-                    d = 2 - d
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("dosages"))
+            ends = lists.offsets.to_numpy()
+            every = lists.values.to_numpy(zero_copy_only=False)  # nulls are NaN
+            flips, betas = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("flip", "BETA"))
+            for lo, hi, flip, beta in zip(ends[:-1], ends[1:], flips, betas, strict=True):
+                d = 2 - every[lo:hi] if flip else every[lo:hi]
                 gap = np.isnan(d)
                 if len(d) == 0 or gap.all():
                     continue
@@ -63,9 +64,9 @@ def score_arrays(matched: DataFrame, variants: DataFrame, samples: Sequence[str]
                 total = total + beta * d
                 n += ~gap if missing == "skip" else 1
         if total is not None:
-            yield pd.DataFrame({"place": np.arange(len(total)), "part": total, "n": n})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(n)], ["place", "part", "n"])
 
-    parts = rows.mapInPandas(add, "place bigint, part double, n bigint")
+    parts = rows.mapInArrow(add, "place bigint, part double, n bigint")
     out = parts.groupBy("place").agg(F.sum("part").alias("PRS"), F.sum("n").alias("n_variants"))
     if missing == "skip":
         out = out.where("n_variants > 0")

@@ -5,16 +5,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_sum, small, store_round
+from .common import exact_quantiles, running_sum, small, store_round
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = (), percents: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """n, mean, sd (sample), min, max and exact percentiles p05 ... of a column, by group."""
-    p = [F.expr(f"percentile({value}, {q})").alias(f"p{round(q * 100):02d}") for q in percents]
+    names = [f"p{round(q * 100):02d}" for q in percents]
+    if by:
+        p = [F.expr(f"percentile({value}, {q})").alias(n) for q, n in zip(percents, names, strict=True)]
+    else:  # no task holds all values of a whole table
+        p = [F.lit(x).cast("double").alias(n) for x, n in zip(exact_quantiles(df, value, percents), names, strict=True)]
     return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), *p)
 
 
@@ -88,7 +93,8 @@ def agreement(df: DataFrame, a: str, b: str, within: Sequence[float] = (1.0, 5.0
     ranked = average_rank(average_rank(both, "a", "ra"), "b", "rb")
     d = F.abs(F.col("a") - F.col("b"))
     shares = [F.avg((d <= w).cast("double")).alias(f"within_{w:g}") for w in within]
-    return ranked.agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.avg(d).alias("mae"), F.max(d).alias("max_diff"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.percentile(d, F.lit(0.95)).alias("p95_diff"), *shares)
+    median, p95 = exact_quantiles(both, d, [0.5, 0.95])
+    return ranked.agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.avg(d).alias("mae"), F.max(d).alias("max_diff"), F.lit(median).cast("double").alias("median_diff"), F.lit(p95).cast("double").alias("p95_diff"), *shares)
 
 
 def average_rank(df: DataFrame, value: str, into: str, by: Sequence[str] = ()) -> DataFrame:
@@ -135,12 +141,32 @@ def prevalence(df: DataFrame, group: str, case: str, predicted: str | None = Non
     return df.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.col(case).cast("double")).alias("observed"), *more)
 
 
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of numbers from 0 on: its power series up to 2, its continued fraction beyond."""
+    out = np.full(x.shape, np.nan)
+    low, high = x < 2, x >= 2
+    if low.any():
+        v = x[low]
+        term, total = v.copy(), v.copy()
+        for n in range(1, 60):
+            term = -term * v * v / n
+            total += term / (2 * n + 1)
+        out[low] = 1 - 2 / math.sqrt(math.pi) * total
+    if high.any():
+        v = np.minimum(x[high], 40.0)  # 0 in double precision from there on
+        f = np.zeros(len(v))
+        for n in range(150, 0, -1):
+            f = n / 2 / (v + f)
+        out[high] = np.exp(-v * v) / math.sqrt(math.pi) / (v + f)
+    return out
+
+
 def two_sided_p(z: Column | str) -> Column:
     """Two-sided p-value of a normal deviate, in Arrow batches: there is no normal distribution among the SQL functions."""
 
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
+        return pd.Series(erfc(np.abs(x.to_numpy(float, na_value=np.nan)) / math.sqrt(2)))
 
     return p(z)
 
@@ -171,8 +197,6 @@ def logistic(df: DataFrame, case: str, features: Sequence[str], steps: int = 12)
     Newton's method; each step is one aggregation of the gradient and the
     information matrix, whose sizes depend on the number of features only.
     """
-    import numpy as np
-
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
     rows = df.select(F.col(case).cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(x)]).na.drop()
     rows = store_round(rows)  # read once a step

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_sum
+from .common import exact_quantiles, running_sum
 from .statistics import average_rank
 
 
@@ -54,8 +54,8 @@ def ntile(df: DataFrame, value: str, key: str, n: int = 10, into: str = "decile"
 
 def quantile_groups(df: DataFrame, value: str, n: int = 10, into: str = "decile") -> DataFrame:
     """Groups between exact quantiles, upper edge included, equal values together; nulls have none."""
-    edges = df.select(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)]))).first()[0]
-    if edges is None:
+    edges = exact_quantiles(df, value, [i / n for i in range(1, n)])
+    if not edges or edges[0] is None:
         return df.withColumn(into, F.lit(None).cast("int"))
     group = F.lit(1)
     for e in sorted(set(edges)):
@@ -100,5 +100,5 @@ def coding_offsets(cds: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
 
 def winsorize(df: DataFrame, value: str, low: float, high: float, into: str) -> DataFrame:
     """Values drawn in to the given quantiles."""
-    a, b = df.select(F.percentile(value, F.array(F.lit(low), F.lit(high)))).first()[0] or (None, None)
+    a, b = exact_quantiles(df, value, [low, high])
     return df.withColumn(into, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(a)), F.lit(b))))
