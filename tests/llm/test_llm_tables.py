@@ -270,6 +270,29 @@ def test_pipeline_stages(spark):
     assert out.count() > 0 and out.where("n_tokens > 0").count() == out.count()
 
 
+def test_components_of_a_hot_root(spark):
+    star = [(1, i) for i in range(2, 800)] + [(i, i + 1) for i in range(2, 100, 3)] + [(900, 901)]
+    got = {r[0]: r[1] for r in components.connected_components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 800)} | {900: 900, 901: 900}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    text = "The quick brown fox jumps over the lazy dog while seven other animals watch from behind a tall green fence. "
+    words_ = [f"Word{i} goes" for i in range(60)]
+    rows = [(1, " ".join(words_), "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, " ".join(reversed(words_)), None, None), (None, " ".join(words_[5:]), "de", "b"), (1, " ".join(words_), "en", "a"), (5, text * 2000, "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("n_chars", "key", "mix", "bpe", "toxicity", "figures", "quality", "kept_id", "size_")})
+    for df in (docs, docs.where("doc_id < 0")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            assert out.columns == (df.columns if name != "bpe" else ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n = out.count()
+            assert n <= 3 * len(rows) if df is docs else n == 0
+    assert corpus_pipeline.bpe_stage(spark, docs, SF).where("n_tokens = 0").count() == 2
+    assert sorted(r[0] or 0 for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).select("doc_id").collect()) == [0, 1, 2, 3, 4, 5]
+    kept = {r[0] for r in corpus_pipeline.quality_stage(spark, docs, SF).select("doc_id").collect()}
+    assert {2, 3, 5}.isdisjoint(kept)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     import duckdb

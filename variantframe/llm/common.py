@@ -39,9 +39,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a fresh local one where it is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Only where that is unset and Spark runs in one process (tests) a local one
+    is made; a cluster without it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="variantframe_")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
