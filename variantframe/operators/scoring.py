@@ -95,6 +95,12 @@ def merge_score_files(files: Sequence[DataFrame], id: str = "sample_id", score:
     return out.groupBy(id).agg(F.sum(F.coalesce(F.col(score), F.lit(0.0))).alias(score))
 
 
+def align_samples(main: DataFrame, other: DataFrame, id: str = "sample_id", place: str = "place") -> DataFrame:
+    """Each sample of the main order with its place there and in another order; null where the other lacks it."""
+    a = main.select(id, F.col(place).alias("main_place"))
+    return a.join(other.select(id, F.col(place).alias("other_place")), id, "left")
+
+
 def dosage_spread(dosages: DataFrame, tiny: float = 1e-9) -> DataFrame:
     """Standard deviation of each variant's dosages and whether it varies at all."""
     out = dosages.groupBy("zarr_idx").agg(F.stddev_samp("dosage").alias("sd"), F.count("dosage").alias("n"))

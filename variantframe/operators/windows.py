@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from variantframe.functions.alleles import chrom_order
+
 from .common import exact_quantiles, running_sum
 from .statistics import average_rank
 
@@ -102,3 +104,9 @@ def winsorize(df: DataFrame, value: str, low: float, high: float, into: str) ->
     """Values drawn in to the given quantiles."""
     a, b = exact_quantiles(df, value, [low, high])
     return df.withColumn(into, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(a)), F.lit(b))))
+
+
+def genomic_order(df: DataFrame, chromosome: str = "CHROM", pos: str = "POS", ties: Sequence[str] = (), into: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in the order of chromosomes (1 to 22, X, Y, MT, then others by name) and positions; ``ties`` must end in a unique key."""
+    order = [chrom_order(F.col(chromosome)), F.col(chromosome), F.col(pos), *[F.col(t) for t in ties]]
+    return running_sum(df, order, F.lit(1), into)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from variantframe.functions.alleles import chrom
 from variantframe.operators import matching, scoring, windows
-from variantframe.operators.common import store_round
+from variantframe.operators.common import running_sum, store_round
 from variantframe.sources import genomics
 
 from .common import Book, rounded
@@ -146,6 +147,22 @@ def _merge(r):
     return rounded(scoring.merge_score_files([a, b]))
 
 
+@book.add("align_samples", "SELECT sample_id, main_place, other_place FROM (SELECT sample_id, row_number() OVER (ORDER BY raw, sample_id) AS main_place FROM scores) m LEFT JOIN (SELECT sample_id, row_number() OVER (ORDER BY prs DESC, sample_id) AS other_place FROM scores WHERE sample_id % 5 <> 0) o USING (sample_id)", "scores")
+def _align(r):
+    s = r("scores")
+    main = running_sum(s, [F.col("raw"), F.col("sample_id")], F.lit(1), "place")
+    other = running_sum(s.where("sample_id % 5 <> 0"), [F.desc("prs"), F.col("sample_id")], F.lit(1), "place")
+    return scoring.align_samples(main, other).select("sample_id", F.col("main_place").cast("long").alias("main_place"), F.col("other_place").cast("long").alias("other_place"))
+
+
+@book.add("genomic_sort", """SELECT zarr_idx, row_number() OVER (ORDER BY CASE WHEN try_cast(c AS INT) BETWEEN 1 AND 22 THEN c::INT WHEN c = 'X' THEN 23 WHEN c = 'Y' THEN 24 WHEN c = 'MT' THEN 25 ELSE 99 END, c, POS, zarr_idx) AS place
+  FROM (SELECT *, CASE zarr_idx % 27 WHEN 23 THEN 'X' WHEN 24 THEN 'Y' WHEN 25 THEN 'MT' WHEN 26 THEN 'UN' ELSE (zarr_idx % 27)::VARCHAR END AS c FROM catalog)""", "catalog")
+def _sorted(r):
+    k = F.col("zarr_idx") % 27
+    c = r("catalog").withColumn("CHROM", chrom(F.concat(F.lit("chr"), F.when(k == 25, "M").when(k == 26, "Un").otherwise(k.cast("string")))))
+    return windows.genomic_order(c, ties=["zarr_idx"]).select("zarr_idx", F.col("place").cast("long").alias("place"))
+
+
 @book.add("dosage_spread", "SELECT zarr_idx, round(stddev_samp(dosage), 6) AS sd, count(dosage) AS n, coalesce(stddev_samp(dosage) > 1e-9, false) AS varies FROM dosage_gaps GROUP BY zarr_idx")
 def _spread(r):
     return rounded(scoring.dosage_spread(r("dosage_gaps")))
