@@ -287,3 +287,59 @@ def test_exact_quantiles_equal_percentile(spark):
     x = np.array([0.0, 0.3, 1.9, 2.0, 3.5, 8.0, 26.0, 50.0, np.nan])
     got = statistics.erfc(x)
     assert got[:-2] == pytest.approx([math.erfc(v) for v in x[:-2]], rel=1e-10) and got[-2] == 0 and np.isnan(got[-1])
+
+
+def _features(spark, rng, n, width):
+    kinds = ["gene", "transcript", "exon", "CDS", "five_prime_UTR", "other"]
+    f = []
+    for i in range(n):
+        b = rng.randrange(width)
+        g = rng.choice(["G1", "G2", "G3", "G4", None])
+        f.append((rng.choice(["1", "2"]), rng.choice(kinds), b, b + rng.choice([0, 3, 40, 700]), "+", rng.choice([g, None, ""]), g, rng.choice(["protein_coding", "lncRNA", None]), rng.choice([None, f"T{i % 7}"])))
+    return f, spark.createDataFrame(f, "CHROM string, feature string, begin long, end long, strand string, gene_name string, gene_id string, gene_type string, transcript_id string")
+
+
+def _plain_features(variants, features):
+    """Best feature by scanning all of them for each variant."""
+    low = lambda v: (v is not None, v if v is not None else "")
+    found = {}
+    for v, c, p in variants:
+        genes = found.setdefault(v, {})
+        for chrom, kind, b, e, strand, name, gid, gtype, t in features:
+            if chrom == c and p is not None and b <= p < e:
+                gene = gid if gid is not None else name if name is not None else "?"
+                other = None if gtype is None else int(gtype != "protein_coding")
+                key = (annotation.FEATURE_RANK.get(kind, 999), (other is not None, other or 0), gene, t or "", kind, strand, low(name), low(gid), low(gtype))
+                genes[gene] = min(genes.get(gene, (key,)), (key,), key=lambda x: x[0])
+    out = {}
+    for v, genes in found.items():
+        hits = sorted(k[0] for k in genes.values())
+        if hits:
+            out[v] = (hits[0][4], hits[0][6][1] if hits[0][6][0] else None, hits[0][3], len(hits), ",".join(h[6][1] for h in hits if h[6][1]), ",".join(h[3] for h in hits if h[3]), ",".join(annotation.REGION.get(h[4], "intergenic") for h in hits))
+    return out
+
+
+@pytest.mark.parametrize("rows_kept,cells", [(1 << 17, 1 << 22), (7, 16)])
+def test_best_features_equal_a_scan_and_make_no_pairs(spark, monkeypatch, rows_kept, cells):
+    def no_pairs(*_):
+        raise AssertionError("pairs of variants and features became rows")
+
+    monkeypatch.setattr(annotation, "range_join", no_pairs)
+    monkeypatch.setattr(ranges, "COVER_ROWS", rows_kept)
+    monkeypatch.setattr(ranges, "COVER_CELLS", cells)
+    rng = random.Random(11)
+    f, features = _features(spark, rng, 1500, 9000)
+    v = [(i, rng.choice(["1", "2", "3", None]), rng.choice([None, rng.randrange(9500)])) for i in range(60)] + [(100 + i, "1", 4095 + i % 3) for i in range(9)]
+    best = annotation.best_features(spark.createDataFrame(v, "variant_id long, CHROM string, pos long"), features)
+    got = {r[0]: tuple(r[1:]) for r in best.select("variant_id", "feature", "gene_name", "transcript_id", "n_overlapping_genes", "all_overlapping_genes", "all_overlapping_transcripts", "all_region_classes").collect()}
+    assert got == _plain_features(v, f) and len(got) > 20
+
+
+def test_hits_of_repeated_variants_are_merged(spark):
+    rng = random.Random(12)
+    f, features = _features(spark, rng, 80, 900)
+    v = [(i % 25, rng.choice(["1", "2"]), rng.randrange(900)) for i in range(40)]
+    variants = spark.createDataFrame(v, "variant_id long, CHROM string, pos long")
+    best = annotation.best_features(variants, features)
+    got = {r[0]: tuple(r[1:]) for r in best.select("variant_id", "feature", "gene_name", "transcript_id", "n_overlapping_genes", "all_overlapping_genes", "all_overlapping_transcripts", "all_region_classes").collect()}
+    assert got == _plain_features(v, f) and best.count() == len(got)

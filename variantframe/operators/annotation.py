@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variantframe.functions.alleles import codon_consequence, complement, indel_consequence, replace_base, translate_codon
 from variantframe.functions.scalars import ANNOTATOR_PRIORITY, effective_frequency, rarity
 
 from .common import first_per
-from .ranges import range_join
+from .ranges import best_covering, range_join
 from .windows import coding_offsets
 
 #: How specific a feature is, its region class, consequence by region, and impact order.
@@ -66,20 +66,33 @@ def best_features(variants: DataFrame, features: DataFrame) -> DataFrame:
     specific feature wins, protein_coding at ties, then the smaller gene and
     transcript id.  A variant's hits are first reduced to one for each gene.
     """
-    hits = range_join(variants.select("variant_id", "CHROM", "pos"), features)
-    rank = _lookup(FEATURE_RANK, F.col("feature"), 999)
-    hits = hits.withColumn("gene", F.coalesce("gene_id", "gene_name", F.lit("?")))
-    facts = F.struct(rank.alias("rank"), (F.col("gene_type") != "protein_coding").cast("int").alias("other"), F.col("gene").alias("gene"), F.coalesce("transcript_id", F.lit("")).alias("transcript_id"), "feature", "strand", "gene_name", "gene_id", "gene_type")
-    per_gene = hits.groupBy("variant_id", "gene").agg(F.min(facts).alias("hit"))
-    per_variant = per_gene.groupBy("variant_id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # genes at one place are few
-    best = F.get("hits", 0)
-    names = lambda f: F.array_join(F.filter(F.transform("hits", f), lambda x: x != ""), ",")
-    return per_variant.select(
-        "variant_id", *[best[c].alias(c) for c in ("feature", "strand", "gene_name", "gene_id", "gene_type", "transcript_id")], F.size("hits").alias("n_overlapping_genes"),
-        names(lambda h: F.coalesce(h["gene_name"], F.lit(""))).alias("all_overlapping_genes"),
-        names(lambda h: h["transcript_id"]).alias("all_overlapping_transcripts"),
-        names(lambda h: _lookup(REGION, h["feature"], "intergenic")).alias("all_region_classes"),
-    )
+    gene, other = F.coalesce("gene_id", "gene_name", F.lit("?")), (F.col("gene_type") != "protein_coding").cast("int")
+    texts = {"all_overlapping_genes": F.coalesce("gene_name", F.lit("")), "all_overlapping_transcripts": F.coalesce("transcript_id", F.lit("")), "all_region_classes": _lookup(REGION, F.col("feature"), "intergenic")}
+    f = features.withColumns({"rank": _lookup(FEATURE_RANK, F.col("feature"), 999), "other": other, "gene": gene, **texts, "transcript_id": texts["all_overlapping_transcripts"]})
+    order = ["rank", "other", "gene", "transcript_id", "feature", "strand", "gene_name", "gene_id", "gene_type"]
+    best = ["feature", "strand", "gene_name", "gene_id", "gene_type", "transcript_id"]
+    once, again = _by_times(variants)
+    out = _at_places(once, best_covering(once, f, [F.col(c) for c in order], best, list(texts), "gene")).withColumnRenamed("n", "n_overlapping_genes")
+    if again is not None:
+        per_gene = range_join(again, f).groupBy("variant_id", "gene").agg(F.min(F.struct(*order, *texts)).alias("hit"))
+        per_variant = per_gene.groupBy("variant_id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+        lists = [F.array_join(F.filter(F.col(f"hits.{c}"), lambda x: x != ""), ",").alias(c) for c in texts]
+        out = out.unionByName(per_variant.select("variant_id", *[F.get("hits", 0)[c].alias(c) for c in best], F.size("hits").alias("n_overlapping_genes"), *lists))
+    return out
+
+
+def _by_times(variants: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Variants whose id comes once, and those whose id comes again, if any: their hits are merged over their rows."""
+    v = variants.select("variant_id", "CHROM", "pos")
+    if v.groupBy("variant_id").agg(F.count("*").alias("times")).where("times > 1").isEmpty():
+        return v, None
+    n = v.withColumn("times", F.count("*").over(Window.partitionBy("variant_id")))
+    return n.where("times = 1").drop("times"), n.where("times > 1").drop("times")
+
+
+def _at_places(variants: DataFrame, there: DataFrame) -> DataFrame:
+    """What `best_covering` found at the variants' places, with their variant_id."""
+    return variants.join(there, ["CHROM", "pos"]).drop("CHROM", "pos")
 
 
 def classify(variants: DataFrame, best: DataFrame, gene_distance: DataFrame | None = None, exon_distance: DataFrame | None = None, regulatory: DataFrame | None = None, codons: DataFrame | None = None, splice: DataFrame | None = None) -> DataFrame:
@@ -139,9 +152,13 @@ def classify(variants: DataFrame, best: DataFrame, gene_distance: DataFrame | No
 def regulatory_hits(variants: DataFrame, elements: DataFrame) -> DataFrame:
     """The regulatory element of each variant: highest priority (smallest number), then the smallest start and id."""
     e = elements.select(F.col("chrom").alias("CHROM"), F.col("start").alias("begin"), "end", "name", "source", "element_type", "element_id", "priority")
-    hits = range_join(variants.select("variant_id", "CHROM", "pos"), e)
-    best = first_per(hits, ["variant_id"], [F.col("priority").asc_nulls_last(), F.col("begin"), F.col("element_id"), F.col("name")])
-    return best.select("variant_id", "source", "element_type", F.coalesce(F.nullif("element_id", F.lit("")), "name").alias("element_id"))
+    order = [F.col("priority").isNull(), F.col("priority"), F.col("begin"), F.col("element_id"), F.col("name")]
+    e = e.withColumn("found", F.coalesce(F.nullif("element_id", F.lit("")), "name"))
+    once, again = _by_times(variants)
+    out = _at_places(once, best_covering(once, e, order, ["source", "element_type", "found"])).drop("n")
+    if again is not None:
+        out = out.unionByName(first_per(range_join(again, e), ["variant_id"], order).select(out.columns))
+    return out.select("variant_id", "source", "element_type", F.col("found").alias("element_id"))
 
 
 #: Element types by exact name, by transcription factor, and by words in the name, in order.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bin widths of overlap joins; an interval goes to the narrowest level at which it spans few bins.
@@ -35,6 +37,118 @@ def range_join(points: DataFrame, intervals: DataFrame, chrom: str = "CHROM", po
     return pt.join(iv, [chrom, "_level", "_bin"]).where(hit).drop("_level", "_bin")
 
 
+#: Positions of a segment in which `best_covering` lays intervals over each other, and cells of one table of it.
+COVER_SEGMENT = 1 << 12
+COVER_CELLS = 1 << 22
+#: Rows of a segment after which those that others cover are forgotten.
+COVER_ROWS = 1 << 17
+
+
+def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Column], best: Sequence[str], lists: Sequence[str] = (), group: str | None = None, chrom: str = "CHROM", pos: str = "pos", begin: str = "begin", end: str = "end", segment: int = COVER_SEGMENT) -> DataFrame:
+    """For each distinct position of the points the first interval in ``order`` that contains it: chromosome, position, columns ``best``, n and ``lists``.
+
+    With ``group`` the first interval of each group counts; ``n`` is their
+    number, the first of them all gives ``best``, and each text column of
+    ``lists`` becomes a comma list of their texts in order, empty ones left out.
+    Positions in no interval have no row; ``order`` must tell apart all
+    intervals that differ in the columns asked for.
+
+    No pair of a point and an interval becomes a row.  Intervals are cut at the
+    ends of segments, and one sort puts a segment's positions before its
+    intervals, the last in order first.  Each interval is then laid over its
+    positions in a table with a line for each group, so what lies on top at the
+    end is the first.  Positions are whole numbers, groups are not null.
+    """
+    spark_types = dict((f.name, f.dataType) for f in intervals.schema.fields)
+    seg = lambda c: F.floor(c / F.lit(segment)).cast("long")
+    g = F.col(group).cast("string") if group else F.lit("")
+    cut = intervals.where((F.col(begin) < F.col(end)) & F.col(chrom).isNotNull())
+    facts = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate([*best, *lists])])
+    cut = cut.select(F.col(chrom).alias("_c"), g.alias("_g"), F.col(begin).cast("long").alias("_b"), F.col(end).cast("long").alias("_e"), facts.alias("_f"))
+    cut = cut.select("*", F.explode(F.sequence(seg(F.col("_b")), seg(F.col("_e") - 1))).alias("_s"))
+    low, high = F.greatest(F.col("_b") - F.col("_s") * segment, F.lit(0)), F.least(F.col("_e") - F.col("_s") * segment, F.lit(segment))
+    cut = cut.select("_c", "_s", low.cast("int").alias("_lo"), high.cast("int").alias("_hi"), "_g", "_f")
+    at = points.where(F.col(chrom).isNotNull() & F.col(pos).isNotNull()).select(F.col(chrom).alias("_c"), F.col(pos).cast("long").alias("_p")).distinct()
+    at = at.select("_c", seg(F.col("_p")).alias("_s"), (F.col("_p") - seg(F.col("_p")) * segment).cast("int").alias("_lo"), F.lit(None).cast("int").alias("_hi"), F.lit(None).cast("string").alias("_g"), F.lit(None).cast(cut.schema["_f"].dataType).alias("_f"))
+    laid = at.unionByName(cut).repartition("_c", "_s").sortWithinPartitions("_c", "_s", F.col("_hi").isNotNull(), F.desc("_f"), "_lo", "_hi")
+    nb, values = len(best), [f"_v{i}" for i in range(len(best) + len(lists))]
+    laid = laid.select("_c", "_s", "_lo", "_hi", "_g", *[F.col(f"_f.{v}").alias(v) for v in values])
+    types = [laid.schema["_c"].dataType, *[spark_types[c] for c in best]]
+    schema = ", ".join(["_c " + types[0].simpleString(), "_p bigint", *[f"`{c}` {t.simpleString()}" for c, t in zip(best, types[1:], strict=True)], "n int", *[f"`{c}` string" for c in lists]])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, where, spans, kept, size = None, [], [], [], 0
+        names = ["_c", "_p", *best, "n", *lists]
+
+        def layers() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Positions, a block at a time, with the row on top in each line there, or -1."""
+            places = np.sort(np.concatenate(where))
+            lo, hi, line = (np.concatenate(x) for x in zip(*spans, strict=True))
+            line = pa.array(line, pa.string()).dictionary_encode().indices.to_numpy()
+            lo, hi, lines = np.searchsorted(places, lo), np.searchsorted(places, hi), int(line.max()) + 1
+            step = max(1, COVER_CELLS // lines)
+            for first in range(0, len(places), step):
+                here = places[first : first + step]
+                top = np.full((lines, len(here)), -1, np.int64)
+                a, b = np.clip(lo - first, 0, len(here)), np.clip(hi - first, 0, len(here))
+                use = np.flatnonzero(a < b)
+                for k, r, x, y in zip(use.tolist(), line[use].tolist(), a[use].tolist(), b[use].tolist(), strict=True):
+                    top[r, x:y] = k  # later rows come first in order
+                yield here, top
+
+        def prune() -> None:
+            """Forget rows that others cover wholly."""
+            seen = np.unique(np.concatenate([np.unique(top) for _, top in layers()])) if where else np.zeros(0, np.int64)
+            seen = seen[seen >= 0]
+            spans[:] = [tuple(np.concatenate(x)[seen] for x in zip(*spans, strict=True))]
+            kept[:] = pa.Table.from_batches(kept).take(pa.array(seen)).combine_chunks().to_batches()
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            if not where or not kept:
+                return
+            table = pa.Table.from_batches(kept).combine_chunks()
+            texts = [table.column(1 + nb + i).to_numpy() for i in range(len(lists))]
+            for here, top in layers():
+                top = -np.sort(-top.T, axis=1)
+                n = (top >= 0).sum(axis=1)
+                hit = np.flatnonzero(n)
+                if len(hit) == 0:
+                    continue
+                joined = [[",".join(filter(None, t[top[p, : n[p]]].tolist())) for p in hit] for t in texts]
+                chosen = table.take(pa.array(top[hit, 0]))
+                columns = [chosen.column(0), pa.array(here[hit] + key[1] * segment, pa.int64()), *[chosen.column(1 + i) for i in range(nb)], pa.array(n[hit], pa.int32()), *[pa.array(j, pa.string()) for j in joined]]
+                yield from pa.table(columns, names=names).combine_chunks().to_batches(max_chunksize=2048)
+
+        for batch in batches:
+            chroms, segs = batch.column(0), batch.column(1).to_numpy()
+            code = chroms.dictionary_encode().indices.to_numpy()
+            edges = [0, *(np.flatnonzero((segs[1:] != segs[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(segs)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if x == y:
+                    continue
+                new = (chroms[x].as_py(), int(segs[x]))
+                if new != key:
+                    yield from emit()
+                    key, size = new, 0
+                    where.clear(), spans.clear(), kept.clear()
+                part = batch.slice(x, y - x)
+                points_here = part.column(3).null_count
+                los = part.column(2).to_numpy()
+                if points_here:
+                    where.append(los[:points_here])
+                if points_here < y - x:
+                    rest = part.slice(points_here)
+                    spans.append((rest.column(2).to_numpy(), rest.column(3).to_numpy(), rest.column(4).to_numpy(zero_copy_only=False)))
+                    kept.append(pa.RecordBatch.from_arrays([rest.column(0), *[rest.column(5 + i) for i in range(nb + len(lists))]], names=["c", *[f"v{i}" for i in range(nb + len(lists))]]))
+                    size += len(rest)
+                    if size > COVER_ROWS:
+                        prune()
+                        size = 0  # so many more before the next time
+        yield from emit()
+
+    return laid.mapInArrow(lay, schema).withColumnsRenamed({"_c": chrom, "_p": pos})
+
+
 def nearest_interval(points: DataFrame, intervals: DataFrame, id: str, chrom: str = "CHROM", pos: str = "pos", begin: str = "begin", end: str = "end", key: str = "point_id", limit: int | None = None, segment: int = 1 << 22) -> DataFrame:
     """Nearest interval of each point: its id and distance, 0 inside; ties go to the one on the left, then the smallest id.
 
