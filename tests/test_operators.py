@@ -343,3 +343,11 @@ def test_hits_of_repeated_variants_are_merged(spark):
     best = annotation.best_features(variants, features)
     got = {r[0]: tuple(r[1:]) for r in best.select("variant_id", "feature", "gene_name", "transcript_id", "n_overlapping_genes", "all_overlapping_genes", "all_overlapping_transcripts", "all_region_classes").collect()}
     assert got == _plain_features(v, f) and best.count() == len(got)
+
+
+def test_classes_of_regions_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(annotation, "range_join", lambda *_: 1 / 0)
+    features = spark.createDataFrame([("1", "CDS" if i % 2 else "gene", 0, 1000 + i, "+", "A", f"g{i % 5}", "lncRNA", f"t{i}") for i in range(400)], "CHROM string, feature string, begin long, end long, strand string, gene_name string, gene_id string, gene_type string, transcript_id string")
+    variants = spark.range(1500).selectExpr("id AS variant_id", "'1' AS CHROM", "id AS pos")
+    out = annotation.classify(variants, annotation.best_features(variants, features)).groupBy("region_class").count()
+    assert dict(map(tuple, out.collect())) == {"coding": 1399, "intergenic": 101}
