@@ -351,3 +351,25 @@ def test_classes_of_regions_make_no_pairs(spark, monkeypatch):
     variants = spark.range(1500).selectExpr("id AS variant_id", "'1' AS CHROM", "id AS pos")
     out = annotation.classify(variants, annotation.best_features(variants, features)).groupBy("region_class").count()
     assert dict(map(tuple, out.collect())) == {"coding": 1399, "intergenic": 101}
+
+
+def test_regulatory_hits_equal_a_scan_and_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    e = [(rng.choice(["1", "2"]), b, b + rng.choice([0, 5, 300]), rng.choice(["n", "m"]), "s", "promoter", rng.choice(["", f"R{i}", None]), rng.choice([None, 1, 2])) for i, b in enumerate(rng.randrange(9000) for _ in range(400))]
+    elements = spark.createDataFrame(e, "chrom string, start long, end long, name string, source string, element_type string, element_id string, priority int")
+    v = [(i, rng.choice(["1", "2", None]), rng.randrange(9000)) for i in range(80)]
+
+    def plain(rows_):
+        out = {}
+        for i, c, p in rows_:
+            for x in e:
+                if x[0] == c and x[1] <= p < x[2]:
+                    key = (x[7] is None, x[7] or 0, x[1], x[6] is not None, x[6] or "", x[3])
+                    out[i] = min(out.get(i, (key, x[6] or x[3])), (key, x[6] or x[3]))
+        return sorted((i, x[1]) for i, x in out.items())
+
+    frame = lambda r: spark.createDataFrame(r, "variant_id long, CHROM string, pos long")
+    again = [(i % 50, c, p) for i, c, p in v]
+    assert rows(annotation.regulatory_hits(frame(again), elements).select("variant_id", "element_id")) == plain(again)
+    monkeypatch.setattr(annotation, "range_join", lambda *_: 1 / 0)
+    assert rows(annotation.regulatory_hits(frame(v), elements).select("variant_id", "element_id")) == plain(v)
