@@ -373,3 +373,12 @@ def test_regulatory_hits_equal_a_scan_and_make_no_pairs(spark, monkeypatch):
     assert rows(annotation.regulatory_hits(frame(again), elements).select("variant_id", "element_id")) == plain(again)
     monkeypatch.setattr(annotation, "range_join", lambda *_: 1 / 0)
     assert rows(annotation.regulatory_hits(frame(v), elements).select("variant_id", "element_id")) == plain(v)
+
+
+def test_interpolation_frames_are_not_added_up_anew(spark):
+    grid = spark.createDataFrame([("c", 10, 1.0), ("c", 30, 3.0)], "g string, x long, y double")
+    points = spark.createDataFrame([(1, "c", 10), (2, "c", 20), (3, "c", 40), (4, "c", 0)], "point_id long, g string, pos long")
+    out = ranges.interpolate(points, grid, ["g"])
+    assert rows(out) == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 1.0)]
+    plan = out._jdf.queryExecution().toString()
+    assert "unboundedfollowing" not in plan.lower()

@@ -235,14 +235,15 @@ def interpolate(points: DataFrame, grid: DataFrame, by: Sequence[str], pos: str
     rows = g.select(*by, "p", F.col("v").cast("double").alias("v"), "k").unionByName(p).withColumn("at", F.when(F.col("k").isNull(), F.struct("p", "v")))
     rows = rows.withColumn("_seg", F.floor(F.col("p") / segment))
     ends = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_seg").alias("_s")).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
-    order = Window.partitionBy(*[f"_g_{c}" for c in by]).orderBy("_s")
-    ends = ends.withColumn("_left", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = ends.withColumn("_right", F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    # Both ways run from an end of the order up to the row: a frame that ends behind all rows is added up anew for each.
+    order = Window.partitionBy(*[f"_g_{c}" for c in by]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*[f"_g_{c}" for c in by]).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_left", F.last("_hi", ignorenulls=True).over(order)).withColumn("_right", F.last("_lo", ignorenulls=True).over(back))
     rows = rows.join(ends, [rows[c].eqNullSafe(ends[f"_g_{c}"]) for c in by] + [rows["_seg"].eqNullSafe(ends["_s"])])
-    w = Window.partitionBy(*by, "_seg").orderBy("p", F.col("k").isNotNull())
-    before = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("at", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("a", F.coalesce(before, "_left")).withColumn("b", F.coalesce(after, "_right")).where("k is not null")
+    w = Window.partitionBy(*by, "_seg").orderBy("p", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = Window.partitionBy(*by, "_seg").orderBy(F.desc("p"), F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_before", F.last("at", ignorenulls=True).over(w)).withColumn("_after", F.last("at", ignorenulls=True).over(v))
+    rows = rows.withColumn("a", F.coalesce("_before", "_left")).withColumn("b", F.coalesce("_after", "_right")).where("k is not null")
     share = (F.col("p") - F.col("a.p")) / F.nullif(F.col("b.p") - F.col("a.p"), F.lit(0))
     value = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("a.p") == F.col("p")), F.col("a.v")).otherwise(F.col("a.v") + share * (F.col("b.v") - F.col("a.v")))
     return rows.select(F.col("k").alias(key), value.alias(y))
