@@ -138,3 +138,8 @@ def test_excel_needs_a_reader(spark, tmp_path):
 
     pd.DataFrame({"a": ["1", None]}).to_excel(tmp_path / "x.xlsx", index=False)
     assert rows(delimited.read_excel(spark, str(tmp_path / "x.xlsx"))) == [(None,), ("1",)]
+
+
+def test_time_to_live_counts_parts_of_a_second(spark):
+    t = spark.createDataFrame([("a", "2024-01-17 00:00:00"), ("b", "2024-01-17 00:00:00.000001"), ("c", "2024-01-17 00:00:00.9"), ("d", None)], "id string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert rows(catalog.alive(t, "ts", 3 * 86400, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("id")) == [("b",), ("c",)]

@@ -35,8 +35,7 @@ def _upsert(r):
 
 @book.add("ttl_read", "SELECT event_id FROM events WHERE TIMESTAMP '2024-01-20 00:00:00' - ts < INTERVAL 3 DAY")
 def _ttl(r):
-    e = r("events").withColumn("ts", F.date_trunc("second", "ts"))
-    return catalog.alive(e, "ts", 3 * 86400, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
+    return catalog.alive(r("events"), "ts", 3 * 86400, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
 
 
 @book.add("split_cpra", "SELECT p_brand AS chrom, p_partkey AS pos, 'A' AS ref, 'G' AS alt, p_size FROM part WHERE p_partkey % 3 = 0")

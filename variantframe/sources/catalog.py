@@ -28,9 +28,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
 
 
 def alive(df: DataFrame, updated: str, ttl_seconds: int, now: Column | None = None) -> DataFrame:
-    """Rows not older than their time to live."""
+    """Rows not older than their time to live, to the microsecond."""
     moment = now if now is not None else F.current_timestamp()
-    return df.where(F.unix_timestamp(moment) - F.unix_timestamp(updated) < ttl_seconds)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return df.where(micros(moment) - micros(F.col(updated)) < F.lit(ttl_seconds).cast("long") * 1_000_000)
 
 
 def append_log(df: DataFrame, path: str) -> None:
