@@ -382,3 +382,35 @@ def test_interpolation_frames_are_not_added_up_anew(spark):
     assert rows(out) == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 1.0)]
     plan = out._jdf.queryExecution().toString()
     assert "unboundedfollowing" not in plan.lower()
+
+
+@pytest.mark.parametrize("columns_at_once,gathered", [(1 << 14, 1 << 18), (5, 8)])
+def test_trait_links_equal_a_scan_and_make_no_pairs(spark, monkeypatch, columns_at_once, gathered):
+    import datetime
+
+    monkeypatch.setattr(linkage, "COLUMNS", columns_at_once)
+    monkeypatch.setattr(linkage, "GATHERED", gathered)
+    rng = random.Random(14)
+
+    def some(n, first):
+        pick = lambda *v: rng.choice([*v, None])
+        return [(first + i, pick(*[datetime.date(2020, 1, 1) + datetime.timedelta(days=d) for d in (0, 3, 15, 16, 17, 21)]), pick(0, 1), pick(*range(170, 175)), pick(60, 61, 64), pick(*range(50, 56)), pick(1970, 1972)) for i in range(n)]
+
+    cols = " long, day date, sex int, height int, weight int, age int, birth_year int"
+    l, r = some(70, 0), some(90, 1000)
+    tier = lambda d, tiers, beyond=None: 0 if d is None else next((p for m, p in tiers if d <= m), beyond[1] if beyond and d > beyond[0] else 0)
+    diff = lambda a, b: None if a is None or b is None else abs(a - b)
+    want = []
+    for i, day, sex, *a in l:
+        found = []
+        for j, on, s, *b in r:
+            if None in (day, on, sex, s) or sex != s or not 0 <= (on - day).days <= 5:
+                continue
+            dh, dw, da, db = map(diff, a, b)
+            if da is None or da <= 3:
+                found.append((-(10 + tier((on - day).days, linkage.TRAIT_DATE) + tier(da, linkage.TRAIT_AGE) + tier(dh, linkage.TRAIT_MEASURE, (3, -10)) + tier(dw, linkage.TRAIT_MEASURE, (3, -10)) + tier(db, linkage.TRAIT_BIRTH, (2, -15))), j))
+        if found and min(found)[0] < 0:
+            want.append((i, min(found)[1], -min(found)[0]))
+    out = linkage.link_by_traits(spark.createDataFrame(l, "left_id" + cols), spark.createDataFrame(r, "right_id" + cols))
+    assert rows(out.select("left_id", "right_id", "score")) == want and len(want) > 20
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

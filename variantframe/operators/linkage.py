@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import first_per
 
@@ -55,22 +58,150 @@ def link_by_id(left: DataFrame, right: DataFrame, days: int = 5) -> DataFrame:
     return first_per(j.select("left_id", "right_id", score.cast("int").alias("score"), why.alias("criteria")), ["left_id"], [F.desc("score"), F.col("right_id")])
 
 
+#: Days of left rows that one group of `link_by_traits` holds, right rows that it adds up at once, and those that it gathers before equal ones are dropped.
+BLOCK_DAYS = 16
+COLUMNS = 1 << 14
+GATHERED = 1 << 18
+
+
 def link_by_traits(left: DataFrame, right: DataFrame, days: int = 5, years: int = 3) -> DataFrame:
     """Best partner of equal sex with a date 0 to ``days`` later and an age at most ``years`` off.
 
-    Left rows are blocked by exploding their few candidate dates, so the join
-    is an equi-join on day and sex.
+    Both sides are dealt out by sex and blocks of days, right rows also to the
+    blocks before that reach their day.  Within a block a left row's score with
+    all its candidates is the sum of four lines of small numbers, each made
+    once for a value of a trait, so no pair becomes a row.  Of right rows that
+    are equal in all traits only the smallest id is kept, as others can't win.
+    Points, and the criteria of the pairs chosen, are those of `tier_points`.
+    Traits are compared as doubles.
     """
-    r = right.select("right_id", F.col("day").alias("r_day"), F.col("sex").alias("r_sex"), *[F.col(c).alias(f"r_{c}") for c in ("height", "weight", "age", "birth_year")])
-    l = left.where("day is not null and sex is not null").withColumn("try_day", F.explode(F.expr(f"sequence(day, date_add(day, {days}))")))
-    j = l.join(r, (F.col("try_day") == F.col("r_day")) & (F.col("sex") == F.col("r_sex")))
+    traits, names = ("age", "height", "weight", "birth_year"), ("day", "age", "height", "weight", "birth_year")
+    block = lambda c: F.floor(c / F.lit(BLOCK_DAYS)).cast("long")
+    at = F.unix_date("day").cast("long")
+    known = "day is not null and sex is not null"
+    r = right.where(known).select("right_id", "sex", at.alias("_d"), *[F.col(c).alias(f"r_{c}") for c in names])
+    r = r.select("*", F.explode(F.sequence(block(F.col("_d") - days), block(F.col("_d")))).alias("_b"))
+    l = left.where(known).select("left_id", "sex", at.alias("_d"), *names, block(at).alias("_b"))
+    none = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
+    rc = ["right_id", *[f"r_{c}" for c in names]]
+    key = ["sex", "_b", "_d"]
+    finite = lambda c, other: F.when(F.isnan(c), F.lit(other)).otherwise(c)  # NaN is far from all
+    numbers = [F.coalesce(finite(F.col(f"r_{c}").cast("double"), float("-inf")), finite(F.col(c).cast("double"), float("inf"))).alias(f"_{c}") for c in traits]
+    both = r.select(*key, *none(l, ["left_id", *names]), *rc, F.lit(0).alias("_left")).unionByName(l.select(*key, "left_id", *names, *none(r, rc), F.lit(1).alias("_left")))
+    dealt = both.repartition("sex", "_b").sortWithinPartitions("sex", "_b", "_left", F.when(F.col("_left") == 1, F.col("_d")), "right_id")
+    dealt = dealt.select(*key, "_left", *numbers, "left_id", *names, *rc)
+    schema = T.StructType([l.schema["left_id"], *[l.schema[c] for c in names], *[T.StructField(c, r.schema[c].dataType) for c in rc]])
+    points = [(TRAIT_AGE, None), (TRAIT_MEASURE, (3, -10)), (TRAIT_MEASURE, (3, -10)), (TRAIT_BIRTH, (2, -15))]
+    nl, out_of_reach = 1 + len(names), -(1 << 13)
+
+    def line(v: float, seen: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
+        """Points of one left value with each right row, by the values seen there; NaN stands for null."""
+        d = np.abs(seen - v)
+        there = ~np.isnan(d)
+        p = np.zeros(len(seen), np.int16)
+        if points[k][1]:
+            p[there & (d > points[k][1][0])] = points[k][1][1]
+        for most, n in reversed(points[k][0]):
+            p[there & (d <= most)] = n
+        if k == 0:
+            p[there & (d > years)] = out_of_reach
+        return p[codes]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, gathered = None, None, []
+
+        def compact() -> tuple[np.ndarray, pa.Table]:
+            """Right rows of the group so far in order of id: numbers (day and traits), and columns handed on."""
+            parts = [*([rows] if rows else []), *gathered]
+            table, handed = np.concatenate([p[0] for p in parts]), pa.concat_tables([p[1] for p in parts])
+            gathered.clear()
+            if len(table) > GATHERED:
+                order = np.lexsort(table.T)  # stable: of equal rows the smallest id comes first
+                new = np.concatenate([[True], (table[order[1:]] != table[order[:-1]]).any(axis=1)])
+                first = np.sort(order[new])
+                table, handed = table[first], handed.take(pa.array(first))
+            return table, handed.combine_chunks()
+
+        day, spans = None, []
+
+        def open_day(d: int) -> None:
+            """The candidates of a left day, a span of columns at a time, with no line made yet."""
+            nonlocal day
+            day = d
+            spans.clear()
+            table = rows[0]
+            near = np.flatnonzero((table[:, 0] >= d) & (table[:, 0] <= d + days))
+            for x in range(0, len(near), COLUMNS):
+                some = near[x : x + COLUMNS]
+                gap = table[some, 0] - d
+                p = np.zeros(len(some), np.int16)
+                for most, n in reversed(TRAIT_DATE):
+                    p[gap <= most] = n
+                spans.append((some, p, [np.unique(table[some, 1 + k], return_inverse=True, equal_nan=True) for k in range(4)], [{} for _ in range(4)], np.empty(len(some), np.int16)))
+
+        def best(values: tuple) -> tuple[int, int]:
+            top, at = 0, -1
+            for some, gap, seen, made, sum_ in spans:
+                four = []
+                for k, v in enumerate(values):
+                    got = made[k].get(v)
+                    if got is None:
+                        if len(made[k]) > 256:  # memory of lines, not results, ends here
+                            made[k].clear()
+                        got = line(np.nan if v is None else v, *seen[k], k)
+                        if k == 0:
+                            got = got + gap
+                        made[k][v] = got
+                    four.append(got)
+                np.add(four[0], four[1], out=sum_)
+                np.add(sum_, four[2], out=sum_)
+                np.add(sum_, four[3], out=sum_)
+                i = int(sum_.argmax())  # the first of equal ones: the smallest id
+                if sum_[i] + TRAIT_BASE > top:
+                    top, at = int(sum_[i]) + TRAIT_BASE, int(some[i])
+            return top, at
+
+        for b in batches:
+            sexes, blocks, lefts = b.column(0), b.column(1).to_numpy(), b.column(3).to_numpy()
+            code = sexes.dictionary_encode().indices.to_numpy()
+            edges = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (code[1:] != code[:-1]) | (lefts[1:] != lefts[:-1])) + 1).tolist(), len(blocks)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if x == y:
+                    continue
+                new = (sexes[x].as_py(), int(blocks[x]))
+                if new != now:
+                    now, rows, day = new, None, None
+                    gathered.clear()
+                part = b.slice(x, y - x)
+                if not lefts[x]:
+                    numbers = np.column_stack([part.column(2).to_numpy().astype(np.float64), *[part.column(4 + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(4)]])
+                    gathered.append((numbers, pa.Table.from_batches([part.select(list(range(8 + nl, part.num_columns)))])))
+                    if sum(len(g[0]) for g in gathered) > max(GATHERED, len(rows[0]) if rows else 0):
+                        rows = compact()
+                    continue
+                if gathered:
+                    rows, day = compact(), None
+                if rows is None:
+                    continue
+                picks, chosen = [], []
+                for i, (d, *values) in enumerate(zip(part.column(2).to_pylist(), *[part.column(4 + k).to_pylist() for k in range(4)], strict=True)):
+                    if d != day:
+                        open_day(d)
+                    at_row = best(tuple(values))[1]
+                    if at_row >= 0:
+                        picks.append(i)
+                        chosen.append(at_row)
+                if picks:
+                    mine = part.take(pa.array(picks, pa.int32()))
+                    theirs = rows[1].take(pa.array(chosen, pa.int64())).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*[mine.column(8 + k) for k in range(nl)], *[theirs.column(k).combine_chunks() for k in range(theirs.num_columns)]], names=schema.names)
+
+    j = dealt.mapInArrow(link, schema)
     gap = F.datediff("r_day", "day")
     dh, dw, da, db = (F.abs(F.col(f"r_{c}") - F.col(c)) for c in ("height", "weight", "age", "birth_year"))
-    j = j.where(da.isNull() | (da <= years))
     score = F.lit(TRAIT_BASE) + tier_points(gap, TRAIT_DATE) + tier_points(da, TRAIT_AGE) + tier_points(dh, TRAIT_MEASURE, (3, -10)) + tier_points(dw, TRAIT_MEASURE, (3, -10)) + tier_points(db, TRAIT_BIRTH, (2, -15))
     why = criteria({"SEX": F.lit(True), "DATE": gap <= days, "AGE": da <= 2, "HEIGHT": dh <= 2, "WEIGHT": dw <= 2, "BIRTH_YEAR": db <= 1})
-    best = first_per(j.select("left_id", "right_id", score.cast("int").alias("score"), why.alias("criteria")), ["left_id"], [F.desc("score"), F.col("right_id")])
-    return best.where("score > 0")
+    return first_per(j.select("left_id", "right_id", score.cast("int").alias("score"), why.alias("criteria")), ["left_id"], [F.desc("score"), F.col("right_id")])
 
 
 def arbitrate(left: DataFrame, by_id: DataFrame, by_traits: DataFrame) -> DataFrame:
