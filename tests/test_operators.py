@@ -414,3 +414,11 @@ def test_trait_links_equal_a_scan_and_make_no_pairs(spark, monkeypatch, columns_
     out = linkage.link_by_traits(spark.createDataFrame(l, "left_id" + cols), spark.createDataFrame(r, "right_id" + cols))
     assert rows(out.select("left_id", "right_id", "score")) == want and len(want) > 20
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arbitration_joins_no_pairs_by_traits(spark):
+    left = spark.sql("SELECT id AS left_id, CAST(NULL AS STRING) AS link_id, DATE'2020-01-01' AS day, 1 AS sex, 170 AS height, 70 AS weight, 50 AS age, 1970 AS birth_year FROM range(1500)")
+    right = left.withColumnRenamed("left_id", "right_id")
+    out = linkage.arbitrate(left, linkage.link_by_id(left, right), linkage.link_by_traits(left, right))
+    assert "(sex" not in " ".join(l for l in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in l)
+    assert rows(out.groupBy("right_id", "score", "method").count()) == [(0, 140, "TRAITS", 1500)]
