@@ -422,3 +422,11 @@ def test_arbitration_joins_no_pairs_by_traits(spark):
     out = linkage.arbitrate(left, linkage.link_by_id(left, right), linkage.link_by_traits(left, right))
     assert "(sex" not in " ".join(l for l in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in l)
     assert rows(out.groupBy("right_id", "score", "method").count()) == [(0, 140, "TRAITS", 1500)]
+
+
+def test_linkage_stats_join_no_pairs_by_traits(spark):
+    from variantframe.plans import registry
+
+    plan = registry.QUERIES["linkage_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and not any("sex" in x or "try_day" in x for x in joins)
