@@ -590,3 +590,16 @@ def test_near_misses_give_few_rows(spark, monkeypatch):
     for n in (100, 400):
         minhash.near_duplicates(spark.createDataFrame(family(n), "doc_id long, text string"), k=3, percent=85)
         assert made["links"] < n and made["stars"] < n * minhash.band_count(0.85) and made["within"] <= n * minhash.band_count(0.85)
+
+
+def test_scoring_windows_holds_one_length_of_subsequences_at_a_time():
+    import tracemalloc
+
+    alphabet = toxicity.Alphabet("abcdefghijklmnopqrstuvwxyz")
+    model = toxicity.Model(alphabet, np.ones(alphabet.size, np.float32), 0.0, np.array([1.0, 0.0]), 0.0)
+    text = toxicity._BREAK + "some words " * 20_000 + toxicity._BREAK
+    tracemalloc.start()
+    toxicity.score_windows(text, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * len(text)  # the driver trains beside its JVM

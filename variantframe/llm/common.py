@@ -112,6 +112,15 @@ def limit_threads() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _held: dict[Hashable, Any] = {}
 
 
@@ -123,10 +132,6 @@ def hold(key: Hashable, make: Callable[[], Any]) -> Any:
     """
     if key not in _held:
         _held.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
         _held[key] = make()
     return _held[key]

@@ -19,19 +19,21 @@ the best window of each toxic document join in, and it is trained again.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship
+from .common import fresh, give_back, ship
 
 #: Labelled toxic documents that are collected to train on, and twice as many others; the bound of the sample.
 SAMPLE = 1500
@@ -138,16 +140,16 @@ def score_windows(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
     s, e = windows(text, points)
     codes = model.alphabet.codes(text)
     dot, size = np.zeros(len(s)), np.zeros(len(s))
-    by_length: dict[int, list[np.ndarray]] = {}
-    for b, weight, u, known in occurrences(codes, model.alphabet):
-        got = by_length.setdefault(b, [np.zeros(len(u)), np.zeros(len(u))])
-        got[0] += np.where(known, model.weights[u], np.float32(0)) * weight
-        got[1] += known * weight**2
-    for b, (value, square) in by_length.items():
+    del points
+    for b, shapes in groupby(occurrences(codes, model.alphabet), key=lambda x: x[0]):  # one length's sums at a time
+        value, square = np.zeros(max(len(codes) - b, 0) + 1), np.zeros(max(len(codes) - b, 0) + 1)
+        for _, weight, u, known in shapes:
+            value[1:] += np.where(known, model.weights[u], np.float32(0)) * weight
+            square[1:] += known * weight**2
         to = np.maximum(e - b + 1, s)  # a subsequence ends within the window that it begins in
-        for out, x in ((dot, value), (size, square)):
-            run = np.concatenate([[0.0], np.cumsum(x)])
-            out += run[np.minimum(to, len(x))] - run[np.minimum(s, len(x))]
+        for out, run in ((dot, value), (size, square)):
+            np.cumsum(run, out=run)
+            out += run[np.minimum(to, len(run) - 1)] - run[np.minimum(s, len(run) - 1)]
     return s, e, np.where(size > 1e-9, dot / np.sqrt(np.maximum(size, 1e-9)), 0.0) + model.bias
 
 
@@ -235,23 +237,25 @@ def text_windows(text: str | None) -> set[str]:
 def train(docs: list[tuple[str | None, int]]) -> Model | None:
     """Machine for texts with labels 0 and 1; None unless both labels occur."""
     # Near copies share both smallest hashes, and count as one witness.
-    groups: dict[int, dict[tuple, set]] = {0: {}, 1: {}}
+    groups: dict[int, dict[tuple, np.ndarray | None]] = {0: {}, 1: {}}
+    numbers: dict[str, int] = {}  # of toxic documents' windows, each text of which is held once
     letters: set[str] = set()
     for text, label in docs:
         words = set((text or "").lower().split())
         if not words:
             continue
         letters.update(c for w in words for c in w if c.isalpha())
-        own = groups[label].setdefault((min(map(_hash, words)), min(_hash(w + "#") for w in words)), set())
+        key = (min(map(_hash, words)), min(_hash(w + "#") for w in words))
+        own = groups[label].setdefault(key, np.zeros(0, np.int32) if label else None)
         if label:
-            own.update(text_windows(text))
+            groups[label][key] = np.union1d(own, np.array([numbers.setdefault(w, len(numbers)) for w in text_windows(text)], np.int32))
     n1, n0 = len(groups[1]), len(groups[0])
     if not n1 or not n0:
         return None
     toxic_groups = list(groups[1].values())
-    support: Counter[str] = Counter()
-    for held in toxic_groups:
-        support.update(held)
+    names = list(numbers)
+    del groups, numbers
+    support = Counter(dict(zip(names, np.bincount(np.concatenate(toxic_groups), minlength=len(names)).tolist(), strict=True)))
     innocent: Counter[str] = Counter()  # of the windows that toxic documents have
     clean: Counter[str] = Counter()
     seen = set()
@@ -264,10 +268,13 @@ def train(docs: list[tuple[str | None, int]]) -> Model | None:
                 innocent.update(found & support.keys())
             clean.update(w for w in found if _hash(w) % 4 == 0 or " " not in w[1:-1])
     alphabet = Alphabet("".join(sorted(letters)))
-    positive = sorted(_seeds(toxic_groups, support, innocent, clean, n1, n0), key=lambda w: (-support[w], w))[:SEEDS]
-    common = sorted(clean.items(), key=lambda t: (-t[1], t[0]))
-    negative = [w for w, _ in common[: CLEAN // 2]] + sorted((w for w, _ in common[CLEAN // 2 :]), key=_hash)[: CLEAN // 2]
-    del common, clean
+    positive = sorted(_seeds(toxic_groups, names, support, innocent, clean, n1, n0), key=lambda w: (-support[w], w))[:SEEDS]
+    del toxic_groups, names, seen
+    negative = heapq.nsmallest(CLEAN // 2, clean, key=lambda w: (-clean[w], w))
+    common = set(negative)
+    negative += heapq.nsmallest(CLEAN // 2, (w for w in clean if w not in common), key=lambda w: (_hash(w), -clean[w], w))
+    del common
+    clean.clear()
     chosen = set(positive)
     negative = [w for w in negative if w not in chosen]
     if not positive or not negative:
@@ -301,7 +308,7 @@ def _runs(word: str) -> set[str]:
     return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)} or {word}
 
 
-def _seeds(toxic_groups: list[set[str]], support: Counter[str], innocent: Counter[str], clean: Counter[str], n1: int, n0: int) -> set[str]:
+def _seeds(toxic_groups: list[np.ndarray], names: list[str], support: Counter[str], innocent: Counter[str], clean: Counter[str], n1: int, n0: int) -> set[str]:
     """Windows that stand for insults: those that toxic documents hold far more often than clean ones, and words with a run of letters that only toxic documents share.
 
     A window or run counts if so many toxic documents, near copies taken as
@@ -317,8 +324,9 @@ def _seeds(toxic_groups: list[set[str]], support: Counter[str], innocent: Counte
     strong = {w for w in single if stands_out(w)}
     pairs = {w for w in support if w not in single and stands_out(w) and not any(f" {x} " in strong for x in w.split())}
     held: Counter[str] = Counter()
+    lone = [w in single and not innocent[w] for w in names]
     for group in toxic_groups:
-        held.update({p for w in group & single if not innocent[w] for p in _runs(w)})
+        held.update({p for i in group.tolist() if lone[i] for p in _runs(names[i])})
     need = min(math.log(1e6) / math.log(1 / rate), max(2.0, n1 / 5))
     runs = {p for p, k in held.items() if k >= need and sum(map(str.isalpha, p)) >= 3}
     plain: Counter[str] = Counter()
@@ -333,24 +341,29 @@ def _hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
+def _packed(f: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and weights of subsequences as arrays, a tenth of a dictionary's memory."""
+    return np.fromiter(f.keys(), np.int32, len(f)), np.fromiter(f.values(), np.float64, len(f))
+
+
 def _fit(positive: list[str], negative: list[str], alphabet: Alphabet, support: Counter[str]) -> Model:
     found = positive + negative
-    feats = [features(w, alphabet) for w in found]
+    feats = [_packed(features(w, alphabet)) for w in found]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     spread = lambda lo, hi: list(range(lo, hi, max(1, (hi - lo) // LANDMARKS)))[:LANDMARKS]
     marks = spread(0, len(positive)) + spread(len(positive), len(found))
-    used = sorted({u for i in marks for u in feats[i]})
-    column = {u: j for j, u in enumerate(used)}
+    used = np.unique(np.concatenate([feats[i][0] for i in marks]))
+    column = np.full(alphabet.size, -1, np.int32)
+    column[used] = np.arange(len(used))
     z = np.zeros((len(marks), len(used)))
     for r, i in enumerate(marks):
-        for u, v in feats[i].items():
-            z[r, column[u]] = v
+        z[r, column[feats[i][0]]] = feats[i][1]
     kernel = np.zeros((len(found), len(marks)))
-    for i, f in enumerate(feats):
-        known = [(column[u], v) for u, v in f.items() if u in column]
-        if known:
-            at, v = zip(*known, strict=True)
-            kernel[i] = z[:, list(at)] @ np.array(v)
+    for i, (u, v) in enumerate(feats):
+        at = column[u]
+        known = at >= 0
+        if known.any():
+            kernel[i] = z[:, at[known]] @ v[known]
     values, vectors = np.linalg.eigh(kernel[marks])
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     cost = np.where(y > 0, 20.0 * len(negative) / len(found), 20.0 * len(positive) / len(found) + 0.5)
@@ -412,7 +425,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: s
     seen: dict = {}
     for r in sorted(rows.select("doc", "words_of", "label").collect(), key=lambda r: (r["doc"], r["words_of"] or "")):
         seen.setdefault(r["doc"], (r["words_of"], int(r["label"])))
-    return train(list(seen.values()))
+    model = train(list(seen.values()))
+    del seen
+    give_back()  # the driver goes on with other operators
+    return model
 
 
 def toxicity(df: DataFrame, model: Model | None, text: str = "text", into: str = "toxicity") -> DataFrame:
