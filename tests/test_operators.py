@@ -430,3 +430,27 @@ def test_linkage_stats_join_no_pairs_by_traits(spark):
     plan = registry.QUERIES["linkage_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join" in x]
     assert joins and not any("sex" in x or "try_day" in x for x in joins)
+
+
+def test_ids_are_counted_as_bits(spark):
+    ids = lambda x, t="long": spark.createDataFrame([(i,) for i in x], f"variant_id {t}")
+    for t in ("long", "int"):
+        assert annotation._distinct_ids(ids([0, 63, 64, -1, -64, -65, 127, None], t))
+        assert not annotation._distinct_ids(ids([5, -1, 70, -1], t)) and not annotation._distinct_ids(ids([None, 1, None], t))
+    assert annotation._distinct_ids(ids(["a", "b"], "string")) and not annotation._distinct_ids(ids(["a", "a"], "string"))
+    assert not annotation._distinct_ids(ids([2**63 - 1, -(2**63), 2**63 - 1])) and annotation._distinct_ids(ids([2**63 - 1, -(2**63)]))
+
+
+def test_classes_of_regions_join_nothing_by_id(spark):
+    from variantframe.plans import registry
+
+    plan = registry.QUERIES["classify_regions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert len(joins) == 1 and "pos" in joins[0]
+
+
+def test_every_variant_keeps_its_rows(spark):
+    features = spark.createDataFrame([("1", "CDS", 0, 10, "+", "A", "g", "lncRNA", "t")], "CHROM string, feature string, begin long, end long, strand string, gene_name string, gene_id string, gene_type string, transcript_id string")
+    v = spark.createDataFrame([(1, "1", 5), (2, "1", 50), (3, None, 5), (4, "1", None), (5, "1", 5), (5, "1", 60), (6, "1", 70), (6, "2", 5)], "variant_id long, CHROM string, pos long")
+    got = annotation.best_features(v, features, every=True).select("variant_id", "feature").orderBy("variant_id", "feature").collect()
+    assert [tuple(r) for r in got] == [(1, "CDS"), (2, None), (3, None), (4, None), (5, "CDS"), (5, "CDS"), (6, None), (6, None)]

@@ -58,13 +58,15 @@ def _lookup(table: dict, key: Column, other) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
 
 
-def best_features(variants: DataFrame, features: DataFrame) -> DataFrame:
+def best_features(variants: DataFrame, features: DataFrame, every: bool = False) -> DataFrame:
     """Best feature of each variant and comma lists of all genes hit.
 
     ``variants``: variant_id, CHROM, pos (0-based).  ``features``: CHROM, feature,
     begin, end, strand, gene_name, gene_id, gene_type, transcript_id.  The most
     specific feature wins, protein_coding at ties, then the smaller gene and
     transcript id.  A variant's hits are first reduced to one for each gene.
+    With ``every`` there is a row for each row of ``variants``, with nulls where
+    no feature is, else one for each variant hit.
     """
     gene, other = F.coalesce("gene_id", "gene_name", F.lit("?")), (F.col("gene_type") != "protein_coding").cast("int")
     texts = {"all_overlapping_genes": F.coalesce("gene_name", F.lit("")), "all_overlapping_transcripts": F.coalesce("transcript_id", F.lit("")), "all_region_classes": _lookup(REGION, F.col("feature"), "intergenic")}
@@ -72,27 +74,39 @@ def best_features(variants: DataFrame, features: DataFrame) -> DataFrame:
     order = ["rank", "other", "gene", "transcript_id", "feature", "strand", "gene_name", "gene_id", "gene_type"]
     best = ["feature", "strand", "gene_name", "gene_id", "gene_type", "transcript_id"]
     once, again = _by_times(variants)
-    out = _at_places(once, best_covering(once, f, [F.col(c) for c in order], best, list(texts), "gene")).withColumnRenamed("n", "n_overlapping_genes")
+    how = "left" if every else "inner"
+    out = _at_places(once, best_covering(once, f, [F.col(c) for c in order], best, list(texts), "gene"), how).withColumnRenamed("n", "n_overlapping_genes")
     if again is not None:
         per_gene = range_join(again, f).groupBy("variant_id", "gene").agg(F.min(F.struct(*order, *texts)).alias("hit"))
         per_variant = per_gene.groupBy("variant_id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
         lists = [F.array_join(F.filter(F.col(f"hits.{c}"), lambda x: x != ""), ",").alias(c) for c in texts]
-        out = out.unionByName(per_variant.select("variant_id", *[F.get("hits", 0)[c].alias(c) for c in best], F.size("hits").alias("n_overlapping_genes"), *lists))
+        merged = per_variant.select("variant_id", *[F.get("hits", 0)[c].alias(c) for c in best], F.size("hits").alias("n_overlapping_genes"), *lists)
+        out = out.unionByName(again.select("variant_id").join(merged, "variant_id", "left") if every else merged)
     return out
 
 
 def _by_times(variants: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Variants whose id comes once, and those whose id comes again, if any: their hits are merged over their rows."""
     v = variants.select("variant_id", "CHROM", "pos")
-    if v.groupBy("variant_id").agg(F.count("*").alias("times")).where("times > 1").isEmpty():
+    if _distinct_ids(v):
         return v, None
     n = v.withColumn("times", F.count("*").over(Window.partitionBy("variant_id")))
     return n.where("times = 1").drop("times"), n.where("times > 1").drop("times")
 
 
-def _at_places(variants: DataFrame, there: DataFrame) -> DataFrame:
+def _distinct_ids(v: DataFrame) -> bool:
+    """Whether no variant_id comes twice.  Whole numbers are counted as bits, 64 neighbours a row, so ids in a row are a small table."""
+    i = F.col("variant_id")
+    if v.schema["variant_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return v.groupBy(i).agg(F.count("*").alias("times")).where("times > 1").isEmpty()
+    i = i.cast("long")
+    runs = v.groupBy(F.shiftright(i, 6).alias("run")).agg(F.count("*").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64)).cast("int"))).alias("bits"))
+    return runs.where(F.when(F.col("run").isNull(), F.col("n") > 1).otherwise(F.col("n") > F.bit_count("bits"))).isEmpty()
+
+
+def _at_places(variants: DataFrame, there: DataFrame, how: str = "inner") -> DataFrame:
     """What `best_covering` found at the variants' places, with their variant_id."""
-    return variants.join(there, ["CHROM", "pos"]).drop("CHROM", "pos")
+    return variants.join(there, ["CHROM", "pos"], how).drop("CHROM", "pos")
 
 
 def classify(variants: DataFrame, best: DataFrame, gene_distance: DataFrame | None = None, exon_distance: DataFrame | None = None, regulatory: DataFrame | None = None, codons: DataFrame | None = None, splice: DataFrame | None = None) -> DataFrame:
@@ -118,6 +132,11 @@ def classify(variants: DataFrame, best: DataFrame, gene_distance: DataFrame | No
     add(regulatory, {"source": "reg_source", "element_type": "regulatory_element_type", "element_id": "regulatory_element_id"})
     add(codons, {"consequence": "codon_csq"})
     add(splice, {"splice_type": "splice_type"})
+    return classified(out)
+
+
+def classified(out: DataFrame) -> DataFrame:
+    """`classify` for variants that have the columns of their best feature and side tables already: gene_d, exon_d, reg_source, regulatory_element_type, regulatory_element_id, codon_csq, splice_type."""
     none, reg = F.col("feature").isNull(), F.col("reg_source").isNotNull()
     near = F.coalesce(F.col("gene_d") <= UPSTREAM, F.lit(False))
     intron = F.col("feature").isin("transcript", "gene")
