@@ -454,3 +454,14 @@ def test_every_variant_keeps_its_rows(spark):
     v = spark.createDataFrame([(1, "1", 5), (2, "1", 50), (3, None, 5), (4, "1", None), (5, "1", 5), (5, "1", 60), (6, "1", 70), (6, "2", 5)], "variant_id long, CHROM string, pos long")
     got = annotation.best_features(v, features, every=True).select("variant_id", "feature").orderBy("variant_id", "feature").collect()
     assert [tuple(r) for r in got] == [(1, "CDS"), (2, None), (3, None), (4, None), (5, "CDS"), (5, "CDS"), (6, None), (6, None)]
+
+
+def test_rows_to_link_are_packed_before_they_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "PACKED", 7)
+    left = spark.sql("SELECT id AS left_id, DATE'2020-01-01' + CAST(id % 40 AS INT) AS day, CAST(id % 2 AS INT) AS sex, 170 AS height, 70 AS weight, 50 AS age, 1970 AS birth_year FROM range(60)")
+    right = left.withColumnRenamed("left_id", "right_id").orderBy(F.desc("right_id"))
+    out = linkage.link_by_traits(left, right)
+    assert [r[:3] for r in rows(out.select("left_id", "right_id", "score"))] == [(i, i % 40, 140) for i in range(60)]
+    dealt = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(dealt) == 1 and plan.count("MapInArrow") == 2
