@@ -465,3 +465,10 @@ def test_rows_to_link_are_packed_before_they_are_dealt_out(spark, monkeypatch):
     dealt = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(dealt) == 1 and plan.count("MapInArrow") == 2
+
+
+def test_linkage_stats_deal_out_packed_rows(spark):
+    from variantframe.plans import registry
+
+    plan = registry.QUERIES["linkage_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "MapInArrow" in x and "body" in x]
