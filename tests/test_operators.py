@@ -472,3 +472,22 @@ def test_linkage_stats_deal_out_packed_rows(spark):
 
     plan = registry.QUERIES["linkage_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert [x for x in plan.splitlines() if "MapInArrow" in x and "body" in x]
+
+
+@pytest.mark.parametrize("most_points, most_pairs", [(1 << 14, 1 << 17), (5, 7)])
+def test_overlaps_equal_brute_force_and_compare_no_pairs(spark, monkeypatch, most_points, most_pairs):
+    monkeypatch.setattr(ranges, "OVERLAP_POINTS", most_points)
+    monkeypatch.setattr(ranges, "OVERLAP_PAIRS", most_pairs)
+    rng = random.Random(21)
+    p = [(i, rng.choice(["1", "2", None]), rng.choice([None, 7, rng.randrange(-300, 9000)])) for i in range(300)]
+    iv = [(f"i{i % 60}", rng.choice(["1", "2", "3", None]), b, b + rng.choice([-1, 0, 1, 9, 5000])) for i, b in enumerate(rng.randrange(-300, 9000) for _ in range(90))]
+    points = spark.createDataFrame(p, "point_id long, CHROM string, pos long")
+    intervals = spark.createDataFrame(iv, "iv string, CHROM string, b long, e long")
+    want = sorted((k, i) for k, c, x in p for i, d, b, e in iv if None not in (c, x) and c == d and b <= x < e)
+    assert rows(ranges.overlaps(points, intervals, "point_id", "iv", begin="b", end="e")) == want and len(want) > 100
+
+
+def test_range_overlap_joins_no_pairs(spark):
+    from variantframe.plans import registry
+
+    assert "Join" not in registry.QUERIES["range_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Estimated bytes up to which a side is broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -62,6 +65,49 @@ def store_round(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, keys: Sequence[str], every: int = 1 << 18) -> DataFrame:
+    """Rows of equal keys among ``every`` that a task meets together as one row: the keys, and their other columns as compressed Arrow data.
+
+    A column of neighbours takes a fraction of what single rows take in a shuffle.
+    """
+    n = len(keys)
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        table = table.sort_by([(k, "ascending") for k in table.column_names[:n]])
+        codes = [table.column(i).combine_chunks().dictionary_encode().indices.to_numpy() for i in range(n)]
+        edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist(), len(table)]
+        rest = table.select(list(range(n, table.num_columns)))
+        bodies = []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema) as out:
+                out.write_table(rest.slice(x, y - x))
+            body = sink.getvalue()
+            bodies.append(len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([*[table.column(i).take(pa.array(edges[:-1])).combine_chunks() for i in range(n)], pa.array(bodies, pa.binary())], names=[*table.column_names[:n], "body"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if len(b):
+                held.append(b)
+                size += len(b)
+            if size >= every:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("body", T.BinaryType())])
+    return df.select(*keys, *[c for c in df.columns if c not in keys]).mapInArrow(pack, schema)
+
+
+def unpacked(body: pa.Buffer) -> pa.Table:
+    """The columns of a row of `packed`."""
+    return pa.ipc.open_stream(pa.decompress(body.slice(8), int.from_bytes(body.slice(0, 8).to_pybytes(), "little"), "zstd")).read_all()
+
+
 def running_sum(df: DataFrame, order: Sequence[Column], value: Column, into: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Adds the sum of ``value`` up to and with each row in one order over the whole table.
 

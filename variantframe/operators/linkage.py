@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_per
+from .common import first_per, packed, unpacked
 
 Tier = tuple[int, int]  # greatest difference, points
 
@@ -68,41 +68,8 @@ PACKED = 1 << 18
 
 
 def _packed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of equal keys that a task meets together as one row: the keys, and their other columns as compressed Arrow data.
-
-    A column of neighbours takes a fraction of what single rows take in a shuffle.
-    """
-    n, every = len(keys), PACKED
-
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        table = table.sort_by([(k, "ascending") for k in table.column_names[:n]])
-        codes = [table.column(i).combine_chunks().dictionary_encode().indices.to_numpy() for i in range(n)]
-        edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist(), len(table)]
-        rest = table.select(list(range(n, table.num_columns)))
-        bodies = []
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rest.schema) as out:
-                out.write_table(rest.slice(x, y - x))
-            body = sink.getvalue()
-            bodies.append(len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True))
-        yield pa.RecordBatch.from_arrays([*[table.column(i).take(pa.array(edges[:-1])).combine_chunks() for i in range(n)], pa.array(bodies, pa.binary())], names=[*table.column_names[:n], "body"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            if len(b):
-                held.append(b)
-                size += len(b)
-            if size >= every:
-                yield from flush(held)
-                held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("body", T.BinaryType())])
-    return df.select(*keys, *[c for c in df.columns if c not in keys]).mapInArrow(pack, schema)
+    """`packed` by `PACKED` rows."""
+    return packed(df, keys, PACKED)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], n: int, most: int, side: int, order: str) -> Iterator[pa.RecordBatch]:
@@ -121,8 +88,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], n: int, most: int, side: int, o
             if key != now or size > most:
                 yield from ordered()
                 now, size = key, 0
-            body = b.column(n)[i].as_buffer()
-            table = pa.ipc.open_stream(pa.decompress(body.slice(8), int.from_bytes(body.slice(0, 8).to_pybytes(), "little"), "zstd")).read_all()
+            table = unpacked(b.column(n)[i].as_buffer())
             keys = [pa.repeat(b.column(k)[i], len(table)) for k in range(n)]
             table = pa.table([*keys, *table.columns], names=[*b.schema.names[:n], *table.column_names])
             if not key[side]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Bin widths of overlap joins; an interval goes to the narrowest level at which it spans few bins.
 LEVELS = (1 << 10, 1 << 14, 1 << 18, 1 << 22, 1 << 26, 1 << 31)
 SPAN = 8
@@ -37,6 +39,81 @@ def range_join(points: DataFrame, intervals: DataFrame, chrom: str = "CHROM", po
     return pt.join(iv, [chrom, "_level", "_bin"]).where(hit).drop("_level", "_bin")
 
 
+#: Points that one row of `overlaps` holds, and pairs that are made of it.
+OVERLAP_POINTS = 1 << 14
+OVERLAP_PAIRS = 1 << 17
+
+
+def overlaps(points: DataFrame, intervals: DataFrame, key: str, id: str, chrom: str = "CHROM", pos: str = "pos", begin: str = "begin", end: str = "end", segment: int = 1 << 12) -> DataFrame:
+    """The pairs of `range_join` by their ids alone: ``key`` of the point and ``id`` of the interval.
+
+    Nothing is compared pair by pair.  Points are dealt out packed by segments
+    and put in order there, so those in an interval's part are a stretch of
+    them, found by two searches.  A row goes on with some points and the
+    stretches in them, and pairs are made last, where the rows are used.
+    Positions are whole numbers.
+    """
+    seg = lambda c: F.floor(c / F.lit(segment)).cast("long")
+    at = points.where(F.col(chrom).isNotNull() & F.col(pos).isNotNull()).select(F.col(chrom).alias("_c"), seg(F.col(pos)).alias("_s"), (F.col(pos) - seg(F.col(pos)) * segment).cast("int").alias("_at"), F.col(key).alias("_k"))
+    cut = intervals.where((F.col(begin) < F.col(end)) & F.col(chrom).isNotNull()).select(F.col(chrom).alias("_c"), F.col(begin).cast("long").alias("_b"), F.col(end).cast("long").alias("_e"), F.col(id).alias("_i"))
+    cut = cut.select("*", F.explode(F.sequence(seg(F.col("_b")), seg(F.col("_e") - 1))).alias("_s"))
+    low, high = F.greatest(F.col("_b") - F.col("_s") * segment, F.lit(0)), F.least(F.col("_e") - F.col("_s") * segment, F.lit(segment))
+    cut = cut.select("_c", "_s", low.cast("int").alias("_lo"), high.cast("int").alias("_hi"), "_i", F.lit(None).cast("binary").alias("body"))
+    none = [F.lit(None).cast(cut.schema[c].dataType).alias(c) for c in ("_lo", "_hi", "_i")]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows become many, so small parts are not put together
+    laid = packed(at, ["_c", "_s"]).select("_c", "_s", *none, "body").unionByName(cut).repartition(tasks, "_c", "_s").sortWithinPartitions("_c", "_s", F.col("body").isNull(), "_lo")
+    of = {c: df.schema[c].dataType.simpleString() for df, c in ((at, "_k"), (cut, "_i"))}
+    schema = f"points array<{of['_k']}>, parts array<struct<i:{of['_i']},first:int,n:int>>"
+    most_points, most_pairs = OVERLAP_POINTS, OVERLAP_PAIRS
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, places, keys = None, [], None, None
+
+        def row(some: pa.Array, ids: pa.Array, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            parts = pa.StructArray.from_arrays([ids, pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["i", "first", "n"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([one(some), one(parts)], names=["points", "parts"])
+
+        for batch in batches:
+            chroms, segs, packs = batch.column(0), batch.column(1).to_numpy(), batch.column(5)
+            code = chroms.dictionary_encode().indices.to_numpy()
+            edges = [0, *(np.flatnonzero((segs[1:] != segs[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(segs)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if x == y:
+                    continue
+                new = (chroms[x].as_py(), int(segs[x]))
+                if new != now:
+                    now, places = new, None
+                    held.clear()
+                part = batch.slice(x, y - x)
+                points_here = len(part) - part.column(5).null_count
+                held += [unpacked(packs[i].as_buffer()) for i in range(x, x + points_here)]
+                if points_here == len(part) or not held and places is None:
+                    continue
+                if held:
+                    table = pa.concat_tables(held)
+                    held.clear()
+                    places = table.column(0).to_numpy()
+                    order = np.argsort(places, kind="stable")
+                    places, keys = places[order], table.column(1).take(pa.array(order)).combine_chunks()
+                rest = part.slice(points_here)
+                a, b = (np.searchsorted(places, rest.column(c).to_numpy()) for c in (2, 3))
+                for p in range(0, len(places), most_points):
+                    lo, hi = np.clip(a - p, 0, most_points), np.clip(b - p, 0, most_points)
+                    use = np.flatnonzero(lo < hi)
+                    if len(use) == 0:
+                        continue
+                    lo, hi = lo[use], hi[use]
+                    sums = np.cumsum(hi - lo) // most_pairs
+                    cuts = [0, *(np.flatnonzero(sums[1:] != sums[:-1]) + 1).tolist(), len(use)]
+                    for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+                        least = int(lo[u:v].min())
+                        yield row(keys.slice(p + least, int(hi[u:v].max()) - least), rest.column(4).take(pa.array(use[u:v])), lo[u:v] - least + 1, hi[u:v] - lo[u:v])
+
+    parts = laid.mapInArrow(lay, schema).select("points", F.explode("parts").alias("part"))
+    return parts.select(F.explode(F.slice("points", F.col("part.first"), F.col("part.n"))).alias(key), F.col("part.i").alias(id))
+
+
 #: Positions of a segment in which `best_covering` lays intervals over each other, and cells of one table of it.
 COVER_SEGMENT = 1 << 12
 COVER_CELLS = 1 << 22

@@ -16,7 +16,7 @@ NEAR = """WITH x AS (SELECT p.point_id, CASE WHEN p.pos < b THEN b - p.pos WHEN
 
 @book.add("range_overlap", "SELECT point_id, iv FROM points p JOIN intervals i ON p.CHROM = i.CHROM AND p.pos >= b AND p.pos < e")
 def _overlap(r):
-    return ranges.range_join(r("points"), r("intervals"), begin="b", end="e").select("point_id", "iv")
+    return ranges.overlaps(r("points"), r("intervals"), "point_id", "iv", begin="b", end="e")
 
 
 @book.add("nearest_interval", NEAR.format("d"), "points intervals")
