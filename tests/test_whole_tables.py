@@ -46,3 +46,14 @@ def test_mapping_holds_all_orders(spark, duck):  # noqa: F811
 
 def test_sessions_hold_all_trials(spark, duck):  # noqa: F811
     assert len(both(spark, duck, "attach_session")) == role(spark, SF, "lineitem").count()
+
+
+def test_array_layout_grows_with_known_dosages_and_makes_no_header(spark, monkeypatch):
+    used = spark.createDataFrame([(1, 10**12, 1.0), (1, 5, 2.0), (1, 5, 0.0), (2, 10**12, None), (2, -7, 1.0), (3, 5, 1.0)], "zarr_idx long, sample_id long, dosage double")
+    arrays = genomics.long_to_cells(used)
+    assert sorted((z, s, d) for z, some, more in arrays.collect() for s, d in zip(some, more, strict=True)) == [(1, 5, 0.0), (1, 5, 2.0), (1, 10**12, 1.0), (2, -7, 1.0), (3, 5, 1.0)]
+    matched = spark.createDataFrame([(1, False, 0.5), (1, False, 0.5), (2, True, 3.0)], "zarr_idx long, flip boolean, BETA double")
+    want = sorted(map(tuple, scoring.score_samples(matched, used, "skip").collect()))
+    assert sorted(map(tuple, scoring.score_cells(matched, arrays).collect())) == want == [(-7, 3.0, 1), (5, 2.0, 2), (10**12, 1.0, 1)]
+    monkeypatch.setattr(type(used), "collect", lambda _: 1 / 0)
+    scores.array_scores(lambda name: role(spark, "/root/testdata/sf0.001", name))

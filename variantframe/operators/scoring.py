@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,48 @@ def score_arrays(matched: DataFrame, variants: DataFrame, samples: Sequence[str]
     return out.join(small(names), "place").select("sample_id", *values)
 
 
+#: Cells that a task of `score_cells` holds before those of equal samples are added up.
+CELLS = 1 << 20
+
+
+def score_cells(matched: DataFrame, variants: DataFrame) -> DataFrame:
+    """The scores of `score_samples` with ``skip`` from rows with arrays of known dosages and their samples (zarr_idx, sample_ids, dosages).
+
+    A task adds up what it holds by sample, so it needs no vector of all
+    samples; the sums of tasks are added by sample.
+    """
+    m = matched.groupBy("zarr_idx", "flip").agg(F.sum("BETA").alias("BETA"))
+    rows = variants.join(small(m), "zarr_idx").select("flip", "BETA", "sample_ids", F.col("dosages").cast("array<double>").alias("dosages"))
+    kind = rows.schema["sample_ids"].dataType.elementType.simpleString()
+    most = CELLS
+
+    def add(batches):
+        held, size = [], 0
+
+        def summed() -> pa.Table:
+            sums = pa.concat_tables(held).group_by("sample_id").aggregate([("part", "sum"), ("n", "sum")])
+            return pa.table([sums.column(c) for c in ("sample_id", "part_sum", "n_sum")], names=["sample_id", "part", "n"])
+
+        for batch in batches:
+            flips, betas, samples, dosages = (batch.column(i) for i in range(4))
+            times = pc.list_value_length(dosages).to_numpy()
+            d = dosages.flatten().to_numpy()
+            d = np.where(np.repeat(flips.to_numpy(zero_copy_only=False), times), 2 - d, d)
+            parts = np.repeat(betas.to_numpy(zero_copy_only=False), times) * d
+            held.append(pa.table([samples.flatten(), pa.array(parts), pa.array(np.ones(len(parts), np.int64))], names=["sample_id", "part", "n"]))
+            size += len(parts)
+            if size > most:
+                held = [summed()]
+                if (size := len(held[0])) > most // 2:
+                    yield from held[0].combine_chunks().to_batches(max_chunksize=1 << 16)
+                    held, size = [], 0
+        if held:
+            yield from summed().combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    sums = rows.mapInArrow(add, f"sample_id {kind}, part double, n bigint")
+    return sums.groupBy("sample_id").agg(F.sum("part").alias("PRS"), F.sum("n").alias("n_variants"))
+
+
 def score_by_chrom(matched: DataFrame, dosages: DataFrame, chroms: Sequence[str]) -> DataFrame:
     """Scores of each chromosome as columns PRS_<chrom>, and their sum PRS_total; chromosomes without variants are 0."""
     m = matched.groupBy("CHROM", "zarr_idx", "flip").agg(F.sum("BETA").alias("BETA"))

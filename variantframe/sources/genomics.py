@@ -125,6 +125,18 @@ def long_to_arrays(df: DataFrame, samples: Sequence[str]) -> DataFrame:
     return lists.select("zarr_idx", F.concat(filled, rest).alias("dosages"))
 
 
+def long_to_cells(df: DataFrame, block: int = 1 << 14) -> DataFrame:
+    """One row for each variant and block of sample numbers with arrays of its known dosages and their samples, sample_ids and dosages.
+
+    Absent and null dosages take no place, so rows grow with what is known and
+    not with the samples there are, and no header of all samples is needed.
+    Samples are whole numbers; one that comes again has a place for each time.
+    """
+    cell = F.collect_list(F.struct("sample_id", "dosage")).alias("cells")
+    rows = df.where("dosage is not null").groupBy("zarr_idx", F.floor(F.col("sample_id") / F.lit(block)).alias("_block")).agg(cell)
+    return rows.select("zarr_idx", F.col("cells.sample_id").alias("sample_ids"), F.col("cells.dosage").alias("dosages"))
+
+
 def variant_catalog(df: DataFrame) -> DataFrame:
     """Catalog rows from variants with an allele array: index, position, REF and first ALT."""
     return df.select("CHROM", "zarr_idx", "POS", F.get("alleles", 0).alias("REF"), F.get("alleles", 1).alias("ALT"))
