@@ -491,3 +491,14 @@ def test_range_overlap_joins_no_pairs(spark):
     from variantframe.plans import registry
 
     assert "Join" not in registry.QUERIES["range_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_regulatory_hits_need_no_join_and_no_pairs_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(annotation, "range_join", lambda *_: 1 / 0)
+    elements = spark.createDataFrame([("1", 0, 50, "n", "s", "t", "b", 2), ("1", 20, 90, "n", "s", "t", "a", 1), ("2", 0, 9000, "n", "s", "t", None, None)], "chrom string, start long, end long, name string, source string, element_type string, element_id string, priority int")
+    v = [(1, "1", 10), (2, "1", 30), (3, "1", 30), (4, "1", 90), (5, "2", 8999), (6, None, 5)]
+    hits = annotation.regulatory_hits(spark.createDataFrame(v, "variant_id long, CHROM string, pos long"), elements)
+    assert rows(hits.select("variant_id", "element_id")) == [(1, "b"), (2, "a"), (3, "a"), (5, "n")]
+    assert "Join" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    again = spark.createDataFrame([*v, (1, "1", 60), (5, "1", 49), (4, "2", 1)], "variant_id long, CHROM string, pos long")
+    assert rows(annotation.regulatory_hits(again, elements).select("variant_id", "element_id")) == [(1, "a"), (2, "a"), (3, "a"), (4, "n"), (5, "a")]

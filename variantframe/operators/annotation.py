@@ -173,10 +173,11 @@ def regulatory_hits(variants: DataFrame, elements: DataFrame) -> DataFrame:
     e = elements.select(F.col("chrom").alias("CHROM"), F.col("start").alias("begin"), "end", "name", "source", "element_type", "element_id", "priority")
     order = [F.col("priority").isNull(), F.col("priority"), F.col("begin"), F.col("element_id"), F.col("name")]
     e = e.withColumn("found", F.coalesce(F.nullif("element_id", F.lit("")), "name"))
-    once, again = _by_times(variants)
-    out = _at_places(once, best_covering(once, e, order, ["source", "element_type", "found"])).drop("n")
-    if again is not None:
-        out = out.unionByName(first_per(range_join(again, e), ["variant_id"], order).select(out.columns))
+    v = variants.select("variant_id", "CHROM", "pos")
+    once, best = _distinct_ids(v), ["source", "element_type", "found"]
+    out = best_covering(v, e, order, best if once else [*best, "priority", "begin", "element_id", "name"], key="variant_id")
+    if not once:  # the first of the rows' elements is the first of all
+        out = first_per(out, ["variant_id"], order)
     return out.select("variant_id", "source", "element_type", F.col("found").alias("element_id"))
 
 

@@ -121,14 +121,16 @@ COVER_CELLS = 1 << 22
 COVER_ROWS = 1 << 17
 
 
-def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Column], best: Sequence[str], lists: Sequence[str] = (), group: str | None = None, chrom: str = "CHROM", pos: str = "pos", begin: str = "begin", end: str = "end", segment: int = COVER_SEGMENT) -> DataFrame:
+def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Column], best: Sequence[str], lists: Sequence[str] = (), group: str | None = None, chrom: str = "CHROM", pos: str = "pos", begin: str = "begin", end: str = "end", segment: int = COVER_SEGMENT, key: str | None = None) -> DataFrame:
     """For each distinct position of the points the first interval in ``order`` that contains it: chromosome, position, columns ``best``, n and ``lists``.
 
     With ``group`` the first interval of each group counts; ``n`` is their
     number, the first of them all gives ``best``, and each text column of
     ``lists`` becomes a comma list of their texts in order, empty ones left out.
     Positions in no interval have no row; ``order`` must tell apart all
-    intervals that differ in the columns asked for.
+    intervals that differ in the columns asked for.  With ``key`` the rows are
+    those of the points, with that column instead of chromosome and position;
+    points are then dealt out packed and not joined with their places again.
 
     No pair of a point and an interval becomes a row.  Intervals are cut at the
     ends of segments, and one sort puts a segment's positions before its
@@ -145,21 +147,24 @@ def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Colum
     cut = cut.select("*", F.explode(F.sequence(seg(F.col("_b")), seg(F.col("_e") - 1))).alias("_s"))
     low, high = F.greatest(F.col("_b") - F.col("_s") * segment, F.lit(0)), F.least(F.col("_e") - F.col("_s") * segment, F.lit(segment))
     cut = cut.select("_c", "_s", low.cast("int").alias("_lo"), high.cast("int").alias("_hi"), "_g", "_f")
-    at = points.where(F.col(chrom).isNotNull() & F.col(pos).isNotNull()).select(F.col(chrom).alias("_c"), F.col(pos).cast("long").alias("_p")).distinct()
-    at = at.select("_c", seg(F.col("_p")).alias("_s"), (F.col("_p") - seg(F.col("_p")) * segment).cast("int").alias("_lo"), F.lit(None).cast("int").alias("_hi"), F.lit(None).cast("string").alias("_g"), F.lit(None).cast(cut.schema["_f"].dataType).alias("_f"))
-    laid = at.unionByName(cut).repartition("_c", "_s").sortWithinPartitions("_c", "_s", F.col("_hi").isNotNull(), F.desc("_f"), "_lo", "_hi")
+    at = points.where(F.col(chrom).isNotNull() & F.col(pos).isNotNull()).select(F.col(chrom).alias("_c"), F.col(pos).cast("long").alias("_p"), *([F.col(key).alias("_k")] if key else []))
+    at = (at if key else at.distinct()).select("_c", seg(F.col("_p")).alias("_s"), (F.col("_p") - seg(F.col("_p")) * segment).cast("int").alias("_lo"), *(["_k"] if key else []))
+    at = packed(at, ["_c", "_s"]).select("_c", "_s", F.lit(None).cast("int").alias("_lo"), "body") if key else at.withColumn("body", F.lit(None).cast("binary"))
+    at = at.select("_c", "_s", "_lo", F.lit(None).cast("int").alias("_hi"), F.lit(None).cast("string").alias("_g"), F.lit(None).cast(cut.schema["_f"].dataType).alias("_f"), "body")
+    laid = at.unionByName(cut.withColumn("body", F.lit(None).cast("binary"))).repartition("_c", "_s").sortWithinPartitions("_c", "_s", F.col("_hi").isNotNull(), F.desc("_f"), "_lo", "_hi")
     nb, values = len(best), [f"_v{i}" for i in range(len(best) + len(lists))]
-    laid = laid.select("_c", "_s", "_lo", "_hi", "_g", *[F.col(f"_f.{v}").alias(v) for v in values])
+    laid = laid.select("_c", "_s", "_lo", "_hi", "_g", *[F.col(f"_f.{v}").alias(v) for v in values], "body")
     types = [laid.schema["_c"].dataType, *[spark_types[c] for c in best]]
-    schema = ", ".join(["_c " + types[0].simpleString(), "_p bigint", *[f"`{c}` {t.simpleString()}" for c, t in zip(best, types[1:], strict=True)], "n int", *[f"`{c}` string" for c in lists]])
+    place = [f"_k {points.schema[key].dataType.simpleString()}"] if key else ["_c " + types[0].simpleString(), "_p bigint"]
+    schema = ", ".join([*place, *[f"`{c}` {t.simpleString()}" for c, t in zip(best, types[1:], strict=True)], "n int", *[f"`{c}` string" for c in lists]])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, where, spans, kept, size = None, [], [], [], 0
-        names = ["_c", "_p", *best, "n", *lists]
+        now, where, those, spans, kept, size = None, [], [], [], [], 0
+        names = [*(["_k"] if key else ["_c", "_p"]), *best, "n", *lists]
 
         def layers() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Positions, a block at a time, with the row on top in each line there, or -1."""
-            places = np.sort(np.concatenate(where))
+            places = np.unique(np.concatenate(where))
             lo, hi, line = (np.concatenate(x) for x in zip(*spans, strict=True))
             line = pa.array(line, pa.string()).dictionary_encode().indices.to_numpy()
             lo, hi, lines = np.searchsorted(places, lo), np.searchsorted(places, hi), int(line.max()) + 1
@@ -184,6 +189,8 @@ def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Colum
             if not where or not kept:
                 return
             table = pa.Table.from_batches(kept).combine_chunks()
+            points_at = np.concatenate(where)
+            points_keys = pa.chunked_array(those) if key else None
             texts = [table.column(1 + nb + i).to_numpy() for i in range(len(lists))]
             for here, top in layers():
                 top = -np.sort(-top.T, axis=1)
@@ -193,7 +200,12 @@ def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Colum
                     continue
                 joined = [[",".join(filter(None, t[top[p, : n[p]]].tolist())) for p in hit] for t in texts]
                 chosen = table.take(pa.array(top[hit, 0]))
-                columns = [chosen.column(0), pa.array(here[hit] + key[1] * segment, pa.int64()), *[chosen.column(1 + i) for i in range(nb)], pa.array(n[hit], pa.int32()), *[pa.array(j, pa.string()) for j in joined]]
+                found = [chosen.column(0), pa.array(here[hit] + now[1] * segment, pa.int64())]
+                columns = [*found, *[chosen.column(1 + i) for i in range(nb)], pa.array(n[hit], pa.int32()), *[pa.array(j, pa.string()) for j in joined]]
+                if key:
+                    at_hit = np.minimum(np.searchsorted(here[hit], points_at), len(hit) - 1)
+                    mine = np.flatnonzero(here[hit][at_hit] == points_at)
+                    columns = [points_keys.take(pa.array(mine)), *pa.table(columns[2:], names=names[1:]).take(pa.array(at_hit[mine])).columns]
                 yield from pa.table(columns, names=names).combine_chunks().to_batches(max_chunksize=2048)
 
         for batch in batches:
@@ -204,15 +216,19 @@ def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Colum
                 if x == y:
                     continue
                 new = (chroms[x].as_py(), int(segs[x]))
-                if new != key:
+                if new != now:
                     yield from emit()
-                    key, size = new, 0
-                    where.clear(), spans.clear(), kept.clear()
+                    now, size = new, 0
+                    where.clear(), those.clear(), spans.clear(), kept.clear()
                 part = batch.slice(x, y - x)
                 points_here = part.column(3).null_count
-                los = part.column(2).to_numpy()
-                if points_here:
-                    where.append(los[:points_here])
+                if key:
+                    for i in range(points_here):
+                        table = unpacked(part.column(part.num_columns - 1)[i].as_buffer())
+                        where.append(table.column(0).to_numpy())
+                        those.extend(table.column(1).chunks)
+                elif points_here:
+                    where.append(part.column(2).slice(0, points_here).to_numpy())
                 if points_here < y - x:
                     rest = part.slice(points_here)
                     spans.append((rest.column(2).to_numpy(), rest.column(3).to_numpy(), rest.column(4).to_numpy(zero_copy_only=False)))
@@ -223,7 +239,7 @@ def best_covering(points: DataFrame, intervals: DataFrame, order: Sequence[Colum
                         size = 0  # so many more before the next time
         yield from emit()
 
-    return laid.mapInArrow(lay, schema).withColumnsRenamed({"_c": chrom, "_p": pos})
+    return laid.mapInArrow(lay, schema).withColumnsRenamed({"_k": key} if key else {"_c": chrom, "_p": pos})
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, id: str, chrom: str = "CHROM", pos: str = "pos", begin: str = "begin", end: str = "end", key: str = "point_id", limit: int | None = None, segment: int = 1 << 22) -> DataFrame:
