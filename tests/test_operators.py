@@ -502,3 +502,14 @@ def test_regulatory_hits_need_no_join_and_no_pairs_of_repeated_ids(spark, monkey
     assert "Join" not in hits._jdf.queryExecution().optimizedPlan().toString()
     again = spark.createDataFrame([*v, (1, "1", 60), (5, "1", 49), (4, "2", 1)], "variant_id long, CHROM string, pos long")
     assert rows(annotation.regulatory_hits(again, elements).select("variant_id", "element_id")) == [(1, "a"), (2, "a"), (3, "a"), (4, "n"), (5, "a")]
+
+
+def test_criteria_travel_as_bits(spark):
+    left = spark.sql("SELECT 1 AS left_id, 'a' AS link_id, DATE'2020-01-01' AS day, 1 AS sex, 170 AS height, 70 AS weight, 50 AS age, 1970 AS birth_year")
+    right = left.withColumnRenamed("left_id", "right_id").withColumn("weight", F.lit(80))
+    for link, want in ((linkage.link_by_id, "ID,DATE,HEIGHT,AGE"), (linkage.link_by_traits, "SEX,DATE,AGE,HEIGHT,BIRTH_YEAR")):
+        out = link(left, right)
+        assert out.first()["criteria"] == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        below = [i for i, x in enumerate(plan) if "Window" in x][0]
+        assert not any("array_join" in x for x in plan[below:])

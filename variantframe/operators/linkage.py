@@ -42,6 +42,17 @@ def criteria(parts: dict[str, Column]) -> Column:
     return F.array_join(F.filter(F.array(*[F.when(c, n) for n, c in parts.items()]), lambda x: x.isNotNull()), ",")
 
 
+def criteria_bits(parts: dict[str, Column]) -> Column:
+    """The names whose condition holds as bits: what travels in a shuffle instead of their list."""
+    bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(parts.values())]
+    return sum(bits[1:], bits[0]).cast("byte")
+
+
+def criteria_of(bits: str, names: Sequence[str]) -> Column:
+    """`criteria` of `criteria_bits`."""
+    return criteria({n: F.col(bits).bitwiseAND(F.lit(1 << i).cast("byte")) != 0 for i, n in enumerate(names)})
+
+
 def link_by_id(left: DataFrame, right: DataFrame, days: int = 5) -> DataFrame:
     """Best partner with the same id, dates at most ``days`` apart: left_id, right_id, score, criteria.
 
@@ -55,8 +66,9 @@ def link_by_id(left: DataFrame, right: DataFrame, days: int = 5) -> DataFrame:
     dh, dw, da = (F.abs(F.col(f"r_{c}") - F.col(c)) for c in ("height", "weight", "age"))
     date = F.coalesce(F.when(gap == 0, 50).when(gap <= days, 30 - 5 * gap), F.lit(0))
     score = F.lit(ID_BASE) + date + tier_points(dh, ID_MEASURE, (2, -20)) + tier_points(dw, ID_MEASURE, (2, -20)) + tier_points(da, ID_AGE)
-    why = criteria({"ID": F.lit(True), "DATE": gap <= days, "HEIGHT": dh <= 2, "WEIGHT": dw <= 2, "AGE": da <= 2})
-    return first_per(j.select("left_id", "right_id", score.cast("int").alias("score"), why.alias("criteria")), ["left_id"], [F.desc("score"), F.col("right_id")])
+    why = {"ID": F.lit(True), "DATE": gap <= days, "HEIGHT": dh <= 2, "WEIGHT": dw <= 2, "AGE": da <= 2}
+    best = first_per(j.select("left_id", "right_id", score.cast("int").alias("score"), criteria_bits(why).alias("criteria")), ["left_id"], [F.desc("score"), F.col("right_id")])
+    return best.select("left_id", "right_id", "score", criteria_of("criteria", list(why)).alias("criteria"))
 
 
 #: Days of left rows that one group of `link_by_traits` holds, right rows that it adds up at once, and those that it gathers before equal ones are dropped.
@@ -238,8 +250,9 @@ def link_by_traits(left: DataFrame, right: DataFrame, days: int = 5, years: int
     gap = F.datediff("r_day", "day")
     dh, dw, da, db = (F.abs(F.col(f"r_{c}") - F.col(c)) for c in ("height", "weight", "age", "birth_year"))
     score = F.lit(TRAIT_BASE) + tier_points(gap, TRAIT_DATE) + tier_points(da, TRAIT_AGE) + tier_points(dh, TRAIT_MEASURE, (3, -10)) + tier_points(dw, TRAIT_MEASURE, (3, -10)) + tier_points(db, TRAIT_BIRTH, (2, -15))
-    why = criteria({"SEX": F.lit(True), "DATE": gap <= days, "AGE": da <= 2, "HEIGHT": dh <= 2, "WEIGHT": dw <= 2, "BIRTH_YEAR": db <= 1})
-    return first_per(j.select("left_id", "right_id", score.cast("int").alias("score"), why.alias("criteria")), ["left_id"], [F.desc("score"), F.col("right_id")])
+    why = {"SEX": F.lit(True), "DATE": gap <= days, "AGE": da <= 2, "HEIGHT": dh <= 2, "WEIGHT": dw <= 2, "BIRTH_YEAR": db <= 1}
+    best = first_per(j.select("left_id", "right_id", score.cast("int").alias("score"), criteria_bits(why).alias("criteria")), ["left_id"], [F.desc("score"), F.col("right_id")])
+    return best.select("left_id", "right_id", "score", criteria_of("criteria", list(why)).alias("criteria"))
 
 
 def arbitrate(left: DataFrame, by_id: DataFrame, by_traits: DataFrame) -> DataFrame:
